@@ -16,9 +16,11 @@ often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,25 @@ from .scratch import stored
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct chunks whose ids a Python worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 
 
 class ChunkEncoder:
     """Token ids of whole texts, each distinct chunk encoded once by the tokenizer.
 
-    A chunk starts at a single blank between two characters that aren't white
-    space. The tokenizer's pre-tokenization always cuts there, so the ids of a
-    text are the ids of its chunks, one after the other.
+    Texts are cut before a single blank and around a single line break that stand
+    between two characters that aren't white space, and between an ASCII letter and
+    ASCII punctuation. The tokenizer's pre-tokenization always cuts there, so the
+    ids of a text are the ids of its chunks, one after the other. New chunks without
+    line breaks are encoded together, as lines of one text.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -52,21 +58,43 @@ class ChunkEncoder:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, keys: list[int], chunks: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        n, m = len(self.place), len(keys)
-        while n + m > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + m] = sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.place.update(zip(keys, range(n, n + m)))
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of chunks."""
+        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        sizes = np.fromiter((len(e) for e in found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum())), sizes
+
+    def _encoded_lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks without white space but for one blank at their start, a few thousand at a time."""
+        parts = []
+        for a in range(0, len(chunks), 4096):
+            text = "\n".join(chunks[a : a + 4096]) + "\n"
+            parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        ids = np.concatenate(parts)
+        breaks = np.flatnonzero(ids == self.line_break)
+        return ids[ids != self.line_break], np.diff(breaks, prepend=-1) - 1
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        space = np.concatenate([[0], np.cumsum(T.BLANK[data] | (data == 0x85) | (data == 0xA0) | (data < 32) | (data == ord("<")))])
+        # "<" may begin a special token; 0x85, 0xA0 and the leads of wide white space go the plain way
+        wide = np.concatenate([[0], np.cumsum(_MAY_BE_SPACE[data])])
+        lead = starts + (data[starts] == 32)
+        plain = (space[ends] == space[lead]) & (wide[ends] == wide[starts]) & (ends > lead)
+        raw = data.tobytes()
+        for own, encode in ((plain, self._encoded_lines), (~plain, self._encoded)):
+            if not own.any():
+                continue
+            flat, sizes = encode([raw[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist())])
+            n, m = len(self.place), len(sizes)
+            while n + m > len(self.starts):
+                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[n : n + m] = sizes
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.place.update(zip(keys[own].tolist(), range(n, n + m)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, and how many there are up to each text's end."""
@@ -75,11 +103,15 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 2:
-            ahead, behind = data[2:], data[:-2]
-            cut[1:-2] = (data[1:-1] == 32) & ~T.BLANK[ahead] & ~T.BLANK[behind] & ~_MAY_BE_SPACE[ahead] & (ahead > 31) & (behind > 31)
-            wide = np.flatnonzero(cut[1:-2] & (behind >= 128))  # the character before has several bytes
+            ahead, here, behind = data[2:], data[1:-1], data[:-2]
+            lone = (here == 32) | (here == 10)
+            lone &= ~T.BLANK[ahead] & ~T.BLANK[behind] & ~_MAY_BE_SPACE[ahead] & (ahead > 31) & (behind > 31)
+            wide = np.flatnonzero(lone & (behind >= 128))  # the character before has several bytes
             two, three = data[np.maximum(wide - 1, 0)], data[np.maximum(wide - 2, 0)]
-            cut[1 + wide[(two == 0xC2) | np.isin(three, (0xE1, 0xE2, 0xE3))]] = False
+            lone[wide[(two == 0xC2) | np.isin(three, (0xE1, 0xE2, 0xE3))]] = False
+            cut[1:-2] = lone
+            cut[2:-1] |= lone & (here == 10)
+            cut[1:-1] |= _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
         cut[offsets] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
@@ -89,9 +121,7 @@ class ChunkEncoder:
         keys = key.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
-            raw = data.tobytes()
-            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            self._add([keys[i] for i in new], [raw[a:b].decode() for a, b in spans])
+            self._add(key[new], data, starts[at[new]], ends[at[new]])
         slot = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[which]
         sizes = self.sizes[slot]
         total = np.cumsum(sizes)
@@ -104,6 +134,12 @@ class ChunkEncoder:
 _MAY_BE_SPACE = np.zeros(256, bool)
 _MAY_BE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCTUATION[33:127] = True
+_PUNCTUATION[48:58] = _PUNCTUATION[65:91] = _PUNCTUATION[97:123] = False
+_PUNCTUATION[ord("|")] = False  # the special token has one after a letter
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
