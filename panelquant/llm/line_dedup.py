@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import counters
 from . import textops as T
-from .ngram_join import link_groups
+from .linking import compared, link_groups
 from .scratch import small, stored
 
 SHINGLE, MIN_CHARS, BANDS, ROWS = 8, 20, 12, 4
@@ -109,15 +110,25 @@ def _line_keys(data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
     return h, T.hashes(data ^ np.uint8(0x5A), starts, ends)
 
 
-def _all_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _all_lines(docs: DataFrame, min_chars: int, shingle: int) -> DataFrame:
+    """(doc, line, h1, h2, cells) of all lines; and each task's counters of shingles, in rows without doc, by block in ``h1``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "line", "h1", "h2", "cells"]
+        counts = counters.Counts()
         for batch in T.blocks(batches, "text"):
-            data, _, starts, ends, _, _, row, number = _long_lines(batch, min_chars)
+            data, points, starts, ends, p, q, row, number = _long_lines(batch, min_chars)
             h1, h2 = _line_keys(data, starts, ends)
+            counts.add(char_shingles(points, p, q, shingle)[0])
             ids = batch.column("id").take(pa.array(row))
-            yield pa.record_batch([ids, pa.array(number.astype(np.int32)), T.array(h1), T.array(h2)], ["doc", "line", "h1", "h2"])
+            yield pa.record_batch(
+                [ids, pa.array(number.astype(np.int32)), T.array(h1), T.array(h2), pa.nulls(len(row), pa.binary())], names
+            )
+        for block, cells in counts.blocks():
+            nulls = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
+            yield pa.record_batch([*nulls[:2], pa.array([block], pa.int64()), nulls[2], pa.array([cells], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc bigint, line int, h1 bigint, h2 bigint")
+    return docs.mapInArrow(run, "doc bigint, line int, h1 bigint, h2 bigint, cells binary")
 
 
 def _index(docs: DataFrame, min_chars: int, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -141,8 +152,9 @@ def _index(docs: DataFrame, min_chars: int, shingle: int, bands: int, rows: int)
     return docs.mapInArrow(run, "sig bigint, doc bigint, line int")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(id, elements): the stripped lower-case text of the lines whose numbers are in ``lines``."""
+def _texts(docs: DataFrame, shingle: int, popularity) -> DataFrame:
+    """(id, elements, score) of the lines whose numbers are in ``lines``: their stripped lower-case text, and its shingles' mean popularity."""
+    read = _reader(shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, "text"):
@@ -155,33 +167,24 @@ def _texts(docs: DataFrame) -> DataFrame:
                         line.append(k)
                         text.append(parts[k].lower().strip(_BLANKS))
             node = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32())], ["doc", "line"])
-            yield pa.record_batch([node, pa.array(text, pa.binary())], ["id", "elements"])
+            column = pa.array(text, pa.binary())
+            value, cut = read(column)
+            total = np.concatenate([[0], np.cumsum(popularity.value[counters.place(value)], dtype=np.int64)])[cut]
+            score = np.diff(total) / np.maximum(np.diff(cut), 1)
+            yield pa.record_batch([node, column, pa.array(score)], ["id", "elements", "score"])
 
-    return docs.mapInArrow(run, f"id {_LINE}, elements binary")
+    return docs.mapInArrow(run, f"id {_LINE}, elements binary, score double")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _reader(shingle: int):
+    def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(elements, cut): the sorted shingles of each line's text."""
         data, offsets = T.utf8(column.cast(pa.string()))
-        points, p, q = _points(data, offsets[:-1], offsets[1:])
-        return T.distinct(*char_shingles(points, p, q, shingle))
+        value, line = T.distinct(*char_shingles(*_points(data, offsets[:-1], offsets[1:]), shingle))
+        order = np.lexsort((value, line))
+        return value[order], np.searchsorted(line[order], np.arange(len(column) + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in T.blocks([whole.set_column(whole.schema.get_field_index("x"), "x", whole.column("x").cast(pa.string()))], "x"):
-                k = batch.num_rows
-                value, row = sets(batch.column("x"))
-                other, other_row = sets(batch.column("y"))
-                _, union_row = T.distinct(np.concatenate([value, other]), np.concatenate([row, other_row]))
-                total = np.bincount(union_row, minlength=k)
-                common = np.bincount(row, minlength=k) + np.bincount(other_row, minlength=k) - total
-                out = pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"])
-                yield out.filter(pa.array(den * common >= num * total))
-
-    x = texts.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    joined = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, f"a {_LINE}, b {_LINE}")
+    return read
 
 
 def duplicate_lines(
@@ -198,7 +201,8 @@ def duplicate_lines(
     """(doc, line, keeper): the lines that are not the first of their component, with the line that is kept instead."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     docs = docs.where("id is not null and text is not null")
-    lines = stored(_all_lines(docs, min_chars), "lines")
+    gathered = stored(_all_lines(docs, min_chars, shingle), "lines")
+    lines = gathered.where("doc is not null").drop("cells")
     own = F.struct("doc", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(own).alias("rep"), F.count("*").alias("k"))
     member = stored(lines.join(classes.where("k > 1"), ["h1", "h2"]).select(own.alias("id"), "rep"), "members")
@@ -213,8 +217,13 @@ def duplicate_lines(
     groups = stored(groups.join(several, "sig"), "groups")
     wanted = groups.select("node").distinct().groupBy(F.col("node.doc").alias("id")).agg(F.collect_set("node.line").alias("lines"))
     wanted = stored(wanted, "wanted")
-    texts = stored(_texts(docs.join(small(wanted, 64), "id")).dropDuplicates(["id"]), "texts")
-    labels = link_groups(groups, lambda pairs: _verified(pairs, texts, shingle, num, den))
+    popularity = docs.sparkSession.sparkContext.broadcast(
+        counters.merged(gathered.where("doc is null").select(F.col("h1").alias("block"), "cells"))
+    )
+    texts = stored(_texts(docs.join(small(wanted, 64), "id"), shingle, popularity).dropDuplicates(["id"]), "texts")
+    read = _reader(shingle)
+    scores = texts.select(F.col("id").alias("node"), "score")
+    labels = link_groups(groups, scores, lambda pairs: compared(pairs, texts, read, popularity, num, den), num, den)
     if labels is None:
         keepers = member.select("id", F.col("rep").alias("keeper"))
     else:

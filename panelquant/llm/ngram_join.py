@@ -2,18 +2,20 @@
 
 A document's set holds the hashes of its distinct word shingles. Sets are dealt
 to size bands; each band cuts the universe of shingles into segments by hash, and
-a set is indexed by the hash of its subset in each segment. Two sets of a band's
-sizes that link differ in at most H shingles, so with enough segments they agree
-on one: ``exact`` segments count for one difference (the subsets are equal) and
-``near`` segments for two (the subsets differ in one shingle at most, found
-through one-deletion neighbourhoods). :func:`allocation` chooses both numbers for
-each band by estimated cost. Candidate pairs are verified on the whole sets.
-
-Equal sets fold into one representative first. A signature's group is never
-expanded into all pairs at once: rounds of star candidates (a group's pivot
-against its members) link most of it, and only members of components that still
-differ are compared pair by pair after that, so no link that joins two
-components can be missed.
+a set is indexed by the hash of its subset in a segment. Two sets of a band's
+sizes that link differ in at most H shingles. Segments come in two kinds: in a
+``near`` segment subsets meet that differ in one shingle at most, through
+one-deletion neighbourhoods, so missing each other there uses up two differences;
+in an ``exact`` segment equal subsets meet, and missing uses up one. A set may
+leave out its most expensive exact segments: if all sets order their subsets by
+one common order, it is enough that each indexes its first H + 1 - 2 * near exact
+ones. The order is by cost: the count, over the whole corpus, of a subset's rarest
+shingle, from a table of counters of fixed size. :func:`allocation` chooses the
+numbers of segments for each band by estimated cost. Any choice is exact; costs
+only decide how many candidates there are. Candidates are verified on whole sets.
+
+Equal sets fold into one representative first. :mod:`.linking` compares the sets
+that share a signature, in large groups by way of pivots and not in all pairs.
 
 Cases: a null or empty text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows fold together; rows that
@@ -30,17 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import counters
 from . import textops as T
-from .components import components
+from .linking import compared, link_groups, packed_sets
 from .scratch import small, stored
 
-#: Numbers of units without elements that :func:`allocation` tries to leave out.
-SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-#: Rounds of star candidates before the rest is compared pair by pair.
-STAR_ROUNDS = 4
-#: Pair-by-pair comparison starts earlier if it makes so many pairs at most for each indexed row.
-PAIRS_PER_ROW = 1.0
-
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
     """Size ranges such that sets that link lie in the same or in neighbouring ranges."""
@@ -58,32 +54,23 @@ def difference(high: int, num: int, den: int) -> int:
 
 
 def allocation(size: int, most: int, rows: int) -> tuple[int, int, int]:
-    """(exact, near, spare) of a band: the cheapest of the choices with exact + 2 * near = most + 1 + spare.
+    """(exact, near, prefix) of a band of ``rows`` sets of about ``size`` elements that may differ in ``most``.
 
-    A near segment costs as many signatures as its subset has elements, and one
-    more. A segment in which a set has no element says nothing, and all such sets
-    would meet; ``spare`` such units may be left out, and only sets with more of
-    them index them. The estimate weighs signatures against the pairs that meet
-    by emptiness in a band of ``rows`` sets.
+    ``prefix`` of the ``exact`` segments are indexed. A near segment costs as many
+    signatures as its subset has elements, and one more, but strangers seldom
+    meet there if it has many; the estimate weighs signatures against such meetings.
     """
+    if not most:
+        return 0, 0, 0  # only equal sets link, and those are one
     best = None
-    for spare in (k for k in SPARES if k <= 4 + most // 4):
-        units = most + 1 + spare
-        for near in sorted({*range(0, min(units // 2, 6) + 1), units // 2}):
-            exact = units - 2 * near
-            load = size / (exact + near)
-            lost = exact * math.exp(-load) + 2 * near * (1 + load) * math.exp(-load)
-            over = 1.0 if spare == 0 else 0.0
-            if spare:  # chance that a set has more than spare units without elements
-                term, below = math.exp(-lost), 0.0
-                for k in range(spare + 1):
-                    below += term
-                    term *= lost / (k + 1)
-                over = max(0.0, 1.0 - below)
-            meet = rows * over * (math.exp(-load) ** 2 * exact + ((1 + load) * math.exp(-load)) ** 2 * near)
-            cost = exact + near * (1 + load) + 20.0 * meet
-            if best is None or cost < best[0]:
-                best = (cost, exact, near, spare)
+    for near in (0, most // 2 + 1):
+        prefix = max(0, most + 1 - 2 * near)
+        exact = max(prefix, round(size / 1.6)) if prefix else 0
+        load = size / (exact + near)
+        strange = prefix * 1e-3**load + near * ((1 + load) * math.exp(-load)) ** 2
+        cost = prefix + near * (1 + load) + 20 * rows * strange
+        if best is None or cost < best[0]:
+            best = (cost, exact, near, prefix)
     return best[1:]
 
 
@@ -92,24 +79,34 @@ def document_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return T.distinct(*T.shingles(*T.words(texts, T.BLANK), words))
 
 
+def _set_hash(value: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return T.sums(T.mix(value), row, n), T.sums(T.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), row, n)
+
+
 def _summary(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, h1, h2): size and 128-bit hash of each document's set."""
+    """(id, n, h1, h2, cells): size and 128-bit hash of each document's set; and each task's counters, with n below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "h1", "h2", "cells"]
+        counts = counters.Counts()
         for batch in T.blocks(batches, "text"):
             value, row = document_sets(batch.column("text"), words)
             k = batch.num_rows
-            h1, h2 = T.sums(T.mix(value), row, k), T.sums(T.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), row, k)
+            counts.add(value)
+            h1, h2 = _set_hash(value, row, k)
             n = np.bincount(row, minlength=k).astype(np.int64)
-            yield pa.record_batch([batch.column("id"), pa.array(n), T.array(h1), T.array(h2)], ["id", "n", "h1", "h2"])
+            yield pa.record_batch([batch.column("id"), pa.array(n), T.array(h1), T.array(h2), pa.nulls(k, pa.binary())], names)
+        for block, cells in counts.blocks():
+            nulls = [pa.nulls(1, pa.int64()) for _ in range(3)]
+            yield pa.record_batch([nulls[0], pa.array([-1 - block]), *nulls[1:], pa.array([cells], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint")
+    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, cells binary")
 
 
-def signatures(value, row, n, scheme, plan) -> tuple[np.ndarray, np.ndarray]:
+def signatures(value, row, scheme, plan, popularity) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of rows with sets ``value`` under band ``scheme[row]`` (below 0: none)."""
-    exact, near, spare = plan[np.maximum(scheme, 0)].T
-    exact, near = np.where(scheme < 0, 0, exact), np.where(scheme < 0, 0, near)
+    rows = len(scheme)
+    exact, near, prefix = np.where(scheme[:, None] < 0, 0, plan[np.maximum(scheme, 0)]).T
     segments = exact + near
     base = np.concatenate([[0], np.cumsum(segments)])
     keep = segments[row] > 0
@@ -119,27 +116,28 @@ def signatures(value, row, n, scheme, plan) -> tuple[np.ndarray, np.ndarray]:
     slot = base[row] + segment
     weight = T.mix(spread + np.uint64(7))
     total = T.sums(weight, slot, base[-1])
-    filled = np.bincount(slot, minlength=base[-1])
-    slot_row = np.repeat(np.arange(len(n)), segments)
+    slot_row = np.repeat(np.arange(rows), segments)
     slot_segment = np.arange(base[-1]) - base[slot_row]
     is_near = slot_segment < near[slot_row]
     key = T.mix(scheme[slot_row].astype(np.uint64) << np.uint64(32) | slot_segment.astype(np.uint64))
-    lost = np.bincount(slot_row, np.where(is_near, 2 * (filled <= 1), filled == 0), len(n))
-    emit_all = lost > spare
-    out_value = [T.mix(total ^ key)]
-    out_row = [slot_row]
-    chosen = (filled > 0) | emit_all[slot_row]
-    out_value, out_row = [out_value[0][chosen]], [slot_row[chosen]]
+    own = T.mix(total ^ key)
+    # near segments: the subset, and the subset without each of its elements
     of_near = is_near[slot]
-    slots, weights = slot[of_near], weight[of_near]
-    worth = (filled[slots] > 1) | emit_all[slot_row[slots]]
-    slots, weights = slots[worth], weights[worth]
-    out_value.append(T.mix((total[slots] - weights) ^ key[slots]))
-    out_row.append(slot_row[slots])
-    return np.concatenate(out_value), np.concatenate(out_row)
-
-
-def _index(docs: DataFrame, words: int, sizes: list[tuple[int, int]], plan: np.ndarray, num: int, den: int) -> DataFrame:
+    out = [own[is_near], T.mix((total[slot[of_near]] - weight[of_near]) ^ key[slot[of_near]])]
+    out_row = [slot_row[is_near], row[of_near]]
+    # exact segments: the first ones in the common order
+    cost = np.full(base[-1], 255, np.uint8)
+    np.minimum.at(cost, slot, popularity[counters.place(value)])
+    pool = np.flatnonzero(~is_near)
+    order = pool[np.argsort(cost[pool].astype(np.uint64) << np.uint64(56) | own[pool] >> np.uint64(8))]
+    small_int = np.uint16 if rows < 65536 else np.int64  # the first is sorted by digits
+    order = order[np.argsort(slot_row[order].astype(small_int), kind="stable")]
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(exact) - exact, exact)
+    order = order[rank < prefix[slot_row[order]]]
+    return np.concatenate([*out, own[order]]), np.concatenate([*out_row, slot_row[order]])
+
+
+def _index(docs, words: int, sizes: list[tuple[int, int]], plan: np.ndarray, popularity, num: int, den: int) -> DataFrame:
     """(sig, id, code): code is twice the set's size, plus 1 if the set probes the band below its own."""
     lows, highs = np.array([b[0] for b in sizes]), np.array([b[1] for b in sizes])
 
@@ -149,7 +147,7 @@ def _index(docs: DataFrame, words: int, sizes: list[tuple[int, int]], plan: np.n
             value, row = document_sets(batch.column("text"), words)
             k = batch.num_rows
             n = np.bincount(row, minlength=k)
-            h1, h2 = T.sums(T.mix(value), row, k), T.sums(T.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), row, k)
+            h1, h2 = _set_hash(value, row, k)
             fresh = n > 0
             for i, own in enumerate(zip(h1.tolist(), h2.tolist())):
                 fresh[i] &= own not in seen
@@ -159,7 +157,7 @@ def _index(docs: DataFrame, words: int, sizes: list[tuple[int, int]], plan: np.n
             below = np.where(n * num <= highs[np.maximum(below, 0)] * den, below, -1)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for up, scheme in ((0, own_band), (1, below)):
-                sig, at = signatures(value, row, n, scheme, plan)
+                sig, at = signatures(value, row, scheme, plan, popularity.value)
                 yield pa.record_batch(
                     [T.array(sig), pa.array(ids[at]), pa.array((2 * n[at] + up).astype(np.int32))], ["sig", "id", "code"]
                 )
@@ -167,7 +165,9 @@ def _index(docs: DataFrame, words: int, sizes: list[tuple[int, int]], plan: np.n
     return docs.mapInArrow(run, "sig bigint, id bigint, code int")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, popularity) -> DataFrame:
+    """(id, elements, score): the sorted set, and the mean popularity of its elements."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, "text"):
             value, row = document_sets(batch.column("text"), words)
@@ -175,80 +175,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             value = value[order]
             cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             packed = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary())], ["id", "elements"])
-
-    return docs.mapInArrow(run, "id bigint, elements binary")
+            total = np.bincount(row[order], popularity.value[counters.place(value)], batch.num_rows)
+            score = total / np.maximum(np.diff(cut), 1)
+            yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary()), pa.array(score)], ["id", "elements", "score"])
 
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (u, v) if len(u) <= len(v) else (v, u)
-                at = np.searchsorted(long, short)
-                common = int((long[np.minimum(at, len(long) - 1)] == short).sum()) if len(long) else 0
-                keep.append(den * common >= num * (len(u) + len(v) - common))
-            out = pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    x = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def link_groups(rows: DataFrame, verify, star_rounds: int = STAR_ROUNDS, pairs_per_row: float = PAIRS_PER_ROW, may_pair=None):
-    """Components of the nodes of ``rows`` (sig, node, code), linked by ``verify`` among nodes that share a sig.
-
-    ``verify`` maps pairs (a, b) to those that link. ``may_pair(c, d)`` is a
-    column that says which codes may pair. Returns (node, component), or None if
-    nothing links. Every link between different components is found: the last
-    round compares all that share a signature and lie in different components.
-    """
-    spark = rows.sparkSession
-    may_pair = may_pair or (lambda c, d: F.lit(True))
-    edges, labels = None, None
-    total = rows.count()
-    for step in range(star_rounds + 1):
-        if labels is None:
-            open_rows = rows.withColumn("component", F.col("node"))
-        else:
-            open_rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
-        mixed = mixed.where("lo < hi")
-        if step:
-            mixed = stored(mixed, "mixed")
-            groups, pairs_left = mixed.agg(F.count("*"), F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2)).first()
-            if not groups:
-                break
-            last = step == star_rounds or pairs_left <= pairs_per_row * total
-            open_rows = open_rows.join(mixed.select("sig"), "sig")
-        else:
-            last = False
-        if last:
-            left = open_rows.select("sig", F.col("node").alias("a"), F.col("code").alias("c"), F.col("component").alias("p"))
-            right = open_rows.select("sig", F.col("node").alias("b"), F.col("code").alias("d"), F.col("component").alias("q"))
-            pairs = left.join(right, "sig").where((F.col("p") < F.col("q")) & may_pair(F.col("c"), F.col("d")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            near = Window.partitionBy("sig").orderBy(F.expr("code & 1"), F.xxhash64("sig", "node", F.lit(step)), "node")
-            pivot = F.first(F.struct("node", "code", "component")).over(near)
-            met = open_rows.withColumn("pivot", pivot).where("pivot.component <> component")
-            met = met.where(may_pair(F.col("pivot.code"), F.col("code")))
-            met = met.groupBy("node", F.col("pivot.node").alias("other")).agg(F.count("*").alias("k"))
-            met = met.groupBy("node").agg(F.max(F.struct("k", "other")).alias("m"))
-            pairs = met.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
-        found = stored(verify(pairs), "edges")
-        if found.count():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges, "a", "b")
-            edges = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        if last:
-            break
-    return labels
+    return docs.mapInArrow(run, "id bigint, elements binary, score double")
 
 
 def jaccard_components(
@@ -261,7 +192,8 @@ def jaccard_components(
     broadcast their ids. The shuffled index has about 0.4 rows a shingle.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    summary = stored(_summary(docs, words), "summary")
+    gathered = stored(_summary(docs, words), "summary")
+    summary = gathered.where("n >= 0").drop("cells")
     classes = summary.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     member = summary.join(classes, ["h1", "h2", "n"], "left")
     largest = summary.agg(F.max("n")).first()[0] or 0
@@ -278,13 +210,14 @@ def jaccard_components(
         plan = np.array(
             [
                 allocation(low, difference(high, num, den), count.get(math.floor(math.log2(low) * 2), 0) + 1)
-                if difference(high, num, den)
-                else (1, 0, 0)
                 for low, high in sizes
             ],
             np.int64,
         )
-        index = _index(docs.where("id is not null"), words, sizes, plan, num, den)
+        popularity = docs.sparkSession.sparkContext.broadcast(
+            counters.merged(gathered.where("n < 0").select((-1 - F.col("n")).alias("block"), "cells"))
+        )
+        index = _index(docs.where("id is not null"), words, sizes, plan, popularity, num, den)
         group = Window.partitionBy("sig").orderBy("id")
         shared = index.repartition("sig").withColumn("before", F.lag("id").over(group)).withColumn("after", F.lead("id").over(group))
         shared = shared.where("before is not null or after is not null").select("sig", "id", "code")
@@ -293,13 +226,18 @@ def jaccard_components(
         rows = shared.join(small(reps, 24), "id").select("sig", F.col("rep").alias("node"), "code").distinct()
         rows = stored(rows, "rows")
         wanted = stored(rows.select(F.col("node").alias("id")).distinct(), "wanted")
-        sets = stored(_sets(docs.join(small(wanted, 16), "id", "left_semi"), words).dropDuplicates(), "sets")
+        sets = stored(_sets(docs.join(small(wanted, 16), "id", "left_semi"), words, popularity).dropDuplicates(), "sets")
 
         def may_pair(c, d):
             n, m = F.shiftright(c, 1), F.shiftright(d, 1)
             return ((c.bitwiseAND(1) == 0) | (d.bitwiseAND(1) == 0)) & (F.least(n, m) * den >= F.greatest(n, m) * num)
 
-        labels = link_groups(rows, lambda pairs: verified(pairs, sets, num, den), may_pair=may_pair)
+        scores = sets.groupBy(F.col("id").alias("node")).agg(F.max("score").alias("score"))
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            return compared(pairs, sets, packed_sets, popularity, num, den)
+
+        labels = link_groups(rows, scores, compare, num, den, may_pair)
     if labels is None:
         out = member.withColumn("component", F.lit(None).cast("bigint"))
     else:
