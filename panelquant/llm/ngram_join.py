@@ -67,7 +67,7 @@ def allocation(size: int, most: int, rows: int) -> tuple[int, int, int]:
         prefix = max(0, most + 1 - 2 * near)
         exact = max(prefix, round(size / 1.6)) if prefix else 0
         load = size / (exact + near)
-        strange = prefix * 1e-3**load + near * ((1 + load) * math.exp(-load)) ** 2
+        strange = prefix * 1e-3 ** (1 + load) + near * ((1 + load) * math.exp(-load)) ** 2
         cost = prefix + near * (1 + load) + 20 * rows * strange
         if best is None or cost < best[0]:
             best = (cost, exact, near, prefix)
