@@ -39,7 +39,7 @@ def bootstrap_index(spark: SparkSession, n: DataFrame, replicates: int, mean_blo
 def series_arrays(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], by: str = "date") -> DataFrame:
     """One row a key: its values in order, as arrays, and their number."""
     rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *columns))).alias("s"))
-    return rows.select(*keys, F.size("s").alias("n"), *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return rows.select(*keys, F.size("s").alias("n"), *[F.col("s").getField(c).alias(c) for c in columns])
 
 
 def resampled(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, mean_block: float, seed: int, by: str = "date") -> DataFrame:
