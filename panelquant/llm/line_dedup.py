@@ -110,25 +110,15 @@ def _line_keys(data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
     return h, T.hashes(data ^ np.uint8(0x5A), starts, ends)
 
 
-def _all_lines(docs: DataFrame, min_chars: int, shingle: int) -> DataFrame:
-    """(doc, line, h1, h2, cells) of all lines; and each task's counters of shingles, in rows without doc, by block in ``h1``."""
-
+def _all_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "line", "h1", "h2", "cells"]
-        counts = counters.Counts()
         for batch in T.blocks(batches, "text"):
-            data, points, starts, ends, p, q, row, number = _long_lines(batch, min_chars)
+            data, _, starts, ends, _, _, row, number = _long_lines(batch, min_chars)
             h1, h2 = _line_keys(data, starts, ends)
-            counts.add(char_shingles(points, p, q, shingle)[0])
             ids = batch.column("id").take(pa.array(row))
-            yield pa.record_batch(
-                [ids, pa.array(number.astype(np.int32)), T.array(h1), T.array(h2), pa.nulls(len(row), pa.binary())], names
-            )
-        for block, cells in counts.blocks():
-            nulls = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
-            yield pa.record_batch([*nulls[:2], pa.array([block], pa.int64()), nulls[2], pa.array([cells], pa.binary())], names)
+            yield pa.record_batch([ids, pa.array(number.astype(np.int32)), T.array(h1), T.array(h2)], ["doc", "line", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc bigint, line int, h1 bigint, h2 bigint, cells binary")
+    return docs.mapInArrow(run, "doc bigint, line int, h1 bigint, h2 bigint")
 
 
 def _index(docs: DataFrame, min_chars: int, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -152,11 +142,14 @@ def _index(docs: DataFrame, min_chars: int, shingle: int, bands: int, rows: int)
     return docs.mapInArrow(run, "sig bigint, doc bigint, line int")
 
 
-def _texts(docs: DataFrame, shingle: int, popularity) -> DataFrame:
-    """(id, elements, score) of the lines whose numbers are in ``lines``: their stripped lower-case text, and its shingles' mean popularity."""
+def _texts(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, elements, block, cells): the stripped lower-case text of the lines whose numbers are in ``lines``;
+    and, in rows with ``block``, each task's counters of their shingles."""
     read = _reader(shingle)
+    kind = pa.struct([("doc", pa.int64()), ("line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["id", "elements", "block", "cells"], counters.Counts()
         for batch in T.blocks(batches, "text"):
             doc, line, text = [], [], []
             for own, numbers, whole in zip(*(batch.column(c).to_pylist() for c in ("id", "lines", "text"))):
@@ -168,12 +161,25 @@ def _texts(docs: DataFrame, shingle: int, popularity) -> DataFrame:
                         text.append(parts[k].lower().strip(_BLANKS))
             node = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32())], ["doc", "line"])
             column = pa.array(text, pa.binary())
-            value, cut = read(column)
+            counts.add(read(column)[0])
+            yield pa.record_batch([node, column, pa.nulls(len(text), pa.int64()), pa.nulls(len(text), pa.binary())], names)
+        for block, cells in counts.blocks():
+            yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names)
+
+    return docs.mapInArrow(run, f"id {_LINE}, elements binary, block bigint, cells binary")
+
+
+def _scores(texts: DataFrame, shingle: int, popularity) -> DataFrame:
+    """(node, score): the mean popularity of each line's shingles."""
+    read = _reader(shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, cut = read(batch.column("elements"))
             total = np.concatenate([[0], np.cumsum(popularity.value[counters.place(value)], dtype=np.int64)])[cut]
-            score = np.diff(total) / np.maximum(np.diff(cut), 1)
-            yield pa.record_batch([node, column, pa.array(score)], ["id", "elements", "score"])
+            yield pa.record_batch([batch.column("id"), pa.array(np.diff(total) / np.maximum(np.diff(cut), 1))], ["node", "score"])
 
-    return docs.mapInArrow(run, f"id {_LINE}, elements binary, score double")
+    return texts.select("id", "elements").mapInArrow(run, f"node {_LINE}, score double")
 
 
 def _reader(shingle: int):
@@ -201,8 +207,7 @@ def duplicate_lines(
     """(doc, line, keeper): the lines that are not the first of their component, with the line that is kept instead."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     docs = docs.where("id is not null and text is not null")
-    gathered = stored(_all_lines(docs, min_chars, shingle), "lines")
-    lines = gathered.where("doc is not null").drop("cells")
+    lines = stored(_all_lines(docs, min_chars), "lines")
     own = F.struct("doc", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(own).alias("rep"), F.count("*").alias("k"))
     member = stored(lines.join(classes.where("k > 1"), ["h1", "h2"]).select(own.alias("id"), "rep"), "members")
@@ -217,12 +222,11 @@ def duplicate_lines(
     groups = stored(groups.join(several, "sig"), "groups")
     wanted = groups.select("node").distinct().groupBy(F.col("node.doc").alias("id")).agg(F.collect_set("node.line").alias("lines"))
     wanted = stored(wanted, "wanted")
-    popularity = docs.sparkSession.sparkContext.broadcast(
-        counters.merged(gathered.where("doc is null").select(F.col("h1").alias("block"), "cells"))
-    )
-    texts = stored(_texts(docs.join(small(wanted, 64), "id"), shingle, popularity).dropDuplicates(["id"]), "texts")
+    gathered = stored(_texts(docs.join(small(wanted, 64), "id"), shingle), "texts")
+    texts = stored(gathered.where("block is null").select("id", "elements").dropDuplicates(["id"]), "texts")
+    popularity = docs.sparkSession.sparkContext.broadcast(counters.merged(gathered.where("block is not null")))
     read = _reader(shingle)
-    scores = texts.select(F.col("id").alias("node"), "score")
+    scores = stored(_scores(texts, shingle, popularity), "scores")
     labels = link_groups(groups, scores, lambda pairs: compared(pairs, texts, read, popularity, num, den), num, den)
     if labels is None:
         keepers = member.select("id", F.col("rep").alias("keeper"))
