@@ -81,6 +81,13 @@ def cagr(start: Column, end: Column, rows: Column) -> Column:
     )
 
 
+def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Null where one side doesn't vary (``corr`` would divide by zero)."""
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    both, dx, dy = [p.over(over) for p in parts] if over is not None else parts
+    return F.when(dx * dy > 1e-14, both / (dx * dy))
+
+
 def yearly_from_mean(mean: Column) -> Column:
     """What a mean daily return compounds to over a year."""
     base = mean + 1

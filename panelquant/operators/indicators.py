@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelquant.functions.columns import DAYS, change, expanding, last_rows, ordered, positive, rolling, so_far
+from panelquant.functions.columns import DAYS, change, correlation, expanding, last_rows, ordered, positive, rolling, so_far
 
 KEY = ("series_id",)
 RETURN_LAGS = (1, 2, 3, 5, 10)
@@ -102,7 +102,7 @@ def regime_features(bars: DataFrame, vol: int = 20, trend: int = 60, long: int =
         "sma_slope": (F.col("sma_mid") - F.lag("sma_mid", 20).over(w)) / close,
         "efficiency_ratio": F.abs(close - F.lag("close", trend).over(w))
         / F.nullif(rolling(F.sum, F.abs("delta"), trend, w), F.lit(0.0)),
-        "autocorr_60": F.when(pair == trend, F.corr("r", "lagged_r").over(last_rows(w, trend))),
+        "autocorr_60": F.when(pair == trend, correlation("r", "lagged_r", last_rows(w, trend))),
         "drawdown_252d": close / rolling(F.max, close, long, w, vol) - 1,
         "downside_share": rms_down / F.nullif(rms, F.lit(0.0)),
     }

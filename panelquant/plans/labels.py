@@ -26,11 +26,20 @@ def labels5(spark, sf_dir) -> DataFrame:
     return regimes.confirmed(regimes.rules_labels(features(spark, sf_dir)), 5)
 
 
-@query(q.with_(*_HEAD, select="SELECT series_id, date, " + ", ".join(f"{q.r6(c)} AS {c}" for c in q.FEATURES) + " FROM feats"))
+#: Ratios of small counts would meet ties at six decimals.
+_DIGITS = {"volume_trend": 9, "vol_percentile": 9}
+
+
+@query(
+    q.with_(
+        *_HEAD,
+        select="SELECT series_id, date, " + ", ".join(f"round({c}, {_DIGITS.get(c, 6)}) + 0.0::DOUBLE AS {c}" for c in q.FEATURES) + " FROM feats",
+    )
+)
 def regime_features(spark, sf_dir):
     """Fifteen regime features."""
     rows = features(spark, sf_dir)
-    return rows.select("series_id", "date", *[r6(c).alias(c) for c in q.FEATURES])
+    return rows.select("series_id", "date", *[(F.round(c, _DIGITS.get(c, 6)) + F.lit(0.0)).alias(c) for c in q.FEATURES])
 
 
 _Z = ("vol_20d", "trend_60d", "volume_z")

@@ -113,7 +113,8 @@ f1 AS (
          close / ({full("avg", "close", 252)}) - 1 AS price_vs_sma200,
          (sma_mid - lag(sma_mid, 20) OVER ({S})) / close AS sma_slope,
          abs(close - lag(close, 60) OVER ({S})) / nullif({full("sum", "ad", 60)}, 0) AS efficiency_ratio,
-         CASE WHEN count(lagged_r) {rows(60)} = 60 THEN corr(r, lagged_r) {rows(60)} END AS autocorr_60,
+         CASE WHEN count(lagged_r) {rows(60)} = 60 AND stddev_pop(r) {rows(60)} * stddev_pop(lagged_r) {rows(60)} > 1e-14
+           THEN covar_pop(r, lagged_r) {rows(60)} / (stddev_pop(r) {rows(60)} * stddev_pop(lagged_r) {rows(60)}) END AS autocorr_60,
          close / ({full("max", "close", 252, 20)}) - 1 AS drawdown_252d,
          sqrt({full("avg", "dd", 20)}) / nullif(sqrt({full("avg", "rr", 20)}), 0) AS downside_share,
          sqrt(({full("avg", "lr2", 20)}) / (4 * ln(2)) * 252) AS parkinson_vol, {full("avg", "rp", 20)} AS range_pct,

@@ -126,7 +126,7 @@ def rolling_beta(spark, sf_dir):
     market = rows.groupBy("date").agg(F.avg("r").alias("mkt"))
     rows = rows.join(market, "date").where("r is not null")
     own = last_rows(ordered(), 60)
-    beta = F.when(F.count("r").over(own) == 60, F.regr_slope("r", "mkt").over(own))
+    beta = F.when(F.count("r").over(own) == 60, F.covar_pop("r", "mkt").over(own) / F.nullif(F.var_pop("mkt").over(own), F.lit(0.0)))
     return rows.select("series_id", "date", r6(beta).alias("beta"))
 
 

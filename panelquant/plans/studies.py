@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelquant.functions.columns import r6
+from panelquant.functions.columns import correlation, r6
 from panelquant.operators import adaptive, backtest, indicators, learning, reports, signals, validation
 from panelquant.sources import panels
 
@@ -55,7 +55,7 @@ def compare_strategies(spark, sf_dir):
         """pr AS (SELECT run_id, series_id, round(max(CASE WHEN half = 'in_sample' THEN sharpe_ratio END), 6) AS a, round(max(CASE WHEN half = 'out_of_sample' THEN sharpe_ratio END), 6) AS b FROM rep GROUP BY ALL),
         rk AS (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY a) + (count(*) OVER (PARTITION BY series_id, a) - 1) / 2 AS ra,
           rank() OVER (PARTITION BY series_id ORDER BY b) + (count(*) OVER (PARTITION BY series_id, b) - 1) / 2 AS rb FROM pr)""",
-        select="SELECT series_id, count(*) AS runs, round(corr(ra, rb), 6) + 0.0::DOUBLE AS rank_correlation FROM rk GROUP BY series_id",
+        select="SELECT series_id, count(*) AS runs, round(CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 1e-14 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END, 6) + 0.0::DOUBLE AS rank_correlation FROM rk GROUP BY series_id",
     )
 )
 def rank_correlation(spark, sf_dir):
@@ -68,7 +68,7 @@ def rank_correlation(spark, sf_dir):
     )
     rank = lambda c: F.rank().over(Window.partitionBy("series_id").orderBy(c)) + (F.count("*").over(Window.partitionBy("series_id", c)) - 1) / 2
     wide = wide.withColumns({"ra": rank("a"), "rb": rank("b")})
-    return wide.groupBy("series_id").agg(F.count("*").alias("runs"), r6(F.corr("ra", "rb")).alias("rank_correlation"))
+    return wide.groupBy("series_id").agg(F.count("*").alias("runs"), r6(correlation("ra", "rb")).alias("rank_correlation"))
 
 
 _FOLDS = """
