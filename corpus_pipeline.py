@@ -37,8 +37,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents, the one with the smallest id stays."""
-    found = ngram_join.jaccard_components(docs)
+    """Of each group of near-duplicate documents (Jaccard similarity of five-word shingles 0.8 or more), the one with the smallest id stays."""
+    found = ngram_join.jaccard_components(docs, words=5, num=80)
     return _without(docs, found.where("component_id <> doc_id"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_lines
+from tests.llm.test_operators import brute_components, brute_lines, docs_of, sentence
 
 
 def test_stages(spark, sf_dir):
@@ -38,3 +40,21 @@ def test_stages(spark, sf_dir):
             assert all(after[i] == before[i] for i in after)
         docs, before = out, after
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_near_duplicates_by_five_words(spark, sf_dir):
+    """Pairs that link by five words and 0.8 but not by four words and 0.85: two changed words, and a block put in."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        words = sentence(rng, 96, 10**6).split(" ")
+        changed = [f"z{k}" if k in (30, 60) else x for k, x in enumerate(words)]
+        longer = words[:40] + sentence(rng, 12, 10**6).split(" ") + words[40:]
+        beyond = [f"y{k}" if k in (20, 45, 70) else x for k, x in enumerate(words)]
+        texts += [" ".join(x) for x in (words, changed, longer, beyond)]
+    pairs = list(enumerate(texts))
+    want = {i for i, (_, c) in brute_components(pairs, words=5, num=80).items() if c == i}
+    assert want == {i for i in range(16) if i % 4 in (0, 3)}
+    assert all(c == i for i, (_, c) in brute_components(pairs).items())
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), sf_dir)
+    assert {r["doc_id"] for r in kept.collect()} == want
