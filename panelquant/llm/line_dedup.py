@@ -9,8 +9,8 @@ shingle sets decides, and connected components keep their first line by
 (document id, line number). With 12 bands of 4 rows, lines of similarity 0.8 meet
 with a chance of 0.998.
 
-Cases: lines of fewer than ``min_chars`` characters (blank lines, braces, short
-headings) are always kept; a null text has no lines and stays null; rows that
+Cases: lines of fewer than ``min_chars`` characters (by default those shorter than
+one shingle: blank lines, braces) are always kept; a null text has no lines and stays null; rows that
 share a document id count as one document, whose equal lines at equal places
 are kept together; an empty table gives no rows.
 """
@@ -29,7 +29,7 @@ from . import textops as T
 from .linking import compared, link_groups
 from .scratch import small, stored
 
-SHINGLE, MIN_CHARS, BANDS, ROWS = 8, 20, 12, 4
+SHINGLE, MIN_CHARS, BANDS, ROWS = 8, 8, 12, 4
 NUM, DEN = 4, 5
 
 _BLANKS = b" \t\r\x0b\x0c"

@@ -124,6 +124,14 @@ def test_line_dedup_empty_table(spark):
     assert line_dedup.drop_duplicate_lines(docs_of(spark, [None, ""])).count() == 2
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of 8 to 19 characters count, near copies included; shorter ones are kept."""
+    texts = ["Subscribe now\n}\nMenu", "  subscribe NOW \n}\nMenu", "12345678\n1234567", "12345678\n1234567", "今日はとても良い天気です。\nabcdefghijklmnopqr", "今日はとても良い天気です。\nabcdefghijklmnopqrs"]
+    want = ["Subscribe now\n}\nMenu", "}\nMenu", "12345678\n1234567", "1234567", texts[4], ""]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.drop_duplicate_lines(docs_of(spark, texts)).collect()}
+    assert [rows[i] for i in range(6)] == want
+
+
 # 3 ------------------------------------------------------------------------------------------------------------
 
 
