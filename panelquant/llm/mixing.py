@@ -11,10 +11,14 @@ length, and so its probability.
 
 The tables are counted over the whole training corpus: each task adds up its
 share and sends the cells that it touched, keyed by blocks of the table; their size is
-fixed, so the merged tables can be broadcast. Trees, mixing weights and the map
-are learned online, in order, from a bounded sample of training documents that
-the counts leave out, so that the weights fit unseen text. Scoring changes
-nothing: a text's score doesn't depend on how texts are dealt to tasks.
+fixed, so the merged tables can be broadcast. Trees come from the pairs of
+symbols of all training rows. Mixing weights and the map are learned online from
+all training rows, each predicted by the counts of the other half of the corpus
+(halves by a hash of the id), so that the weights fit unseen text; each task
+learns from its own rows, and the tasks' results are averaged by how often each
+weight was used. Scoring takes the counts of both halves and changes nothing:
+given a model, a text's score doesn't depend on how texts are dealt to tasks. The
+weights depend a little on how the training rows are dealt.
 
 Cases: a null or empty text is the end alone; without training rows the model is
 uniform over the trees; repeated rows get equal scores.
@@ -35,8 +39,8 @@ from . import textops as T
 from .labelled import held_out
 from .scratch import stored
 
-#: Training documents that trees, weights and map are learned from, at most.
-SAMPLE_ROWS = 400
+#: Parts of the training rows; weights are learned on each from the counts of the others.
+HALVES = 2
 #: Words whose counts are broadcast; the others' are joined.
 HEAD_WORDS = 1 << 17
 SYMBOLS, END = 257, 256
@@ -190,10 +194,13 @@ class Mixer:
         of, depth, bit, slots = decisions(trees, symbol, before, offsets)
         square = getattr(self, "_square", None) or (np.full_like(self.by_gate, 1.0), np.full_like(self.by_depth, 1.0))
         self._square = square
+        used = self.used = getattr(self, "used", None) or [np.zeros(GATES), np.zeros(DEPTHS), np.zeros(SYMBOLS * STAGES)]
         for a in range(0, len(of), batch):
             own = slice(a, a + batch)
             gate, deep, s, z = self._mixed(table, depth[own], slots[:, own])
             error = bit[own] - 1 / (1 + np.exp(-z))
+            used[0] += np.bincount(gate, minlength=GATES)
+            used[1] += np.bincount(deep, minlength=DEPTHS)
             for weights, seen, which in ((self.by_gate, square[0], gate), (self.by_depth, square[1], deep)):
                 gradient = np.stack([np.bincount(which, error * x, len(weights)) for x in s], axis=1)
                 seen += gradient**2
@@ -203,11 +210,16 @@ class Mixer:
             cell = before[of[own]] * STAGES + near
             count = np.bincount(cell, minlength=SYMBOLS * STAGES)
             ones = np.bincount(cell, bit[own], SYMBOLS * STAGES)
+            used[2] += count
             hit = np.flatnonzero(count)
             flat = self.refined.reshape(-1)
             step = 1 - 0.98 ** count[hit]
             flat[hit] += step * (ones[hit] / count[hit] - flat[hit])
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights and map with a row for each count in ``used``."""
+        return self.by_gate, self.by_depth, self.refined.reshape(-1, 1)
+
 
 @dataclass
 class Model:
@@ -233,11 +245,33 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([word, np.full(n, END_WORD, np.uint64)]), np.concatenate([T.row_of(first), np.arange(n)])
 
 
-def _gathered(docs: DataFrame, trees: Trees, left_out: set) -> DataFrame:
-    """(kind, key, n, cells): word counts (kind 0; key: the hash) and touched cells by table block (kind 1) of each task."""
+def _halves(docs: DataFrame) -> DataFrame:
+    """The rows with their ``half``; rows that share an id share it, and it doesn't follow from ``held_out``."""
+    return docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(HALVES)).cast("int"))
+
+
+def _pairs(docs: DataFrame) -> np.ndarray:
+    """SYMBOLS x SYMBOLS: how often each symbol follows each, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        for batch in T.blocks(batches, "text"):
+            symbol, before, _ = symbols(batch.column("text"))
+            total += np.bincount(before * SYMBOLS + symbol, minlength=len(total))
+        hit = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(hit), pa.array(total[hit])], ["key", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(SYMBOLS * SYMBOLS)
+    pairs[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    return pairs.reshape(SYMBOLS, SYMBOLS)
+
+
+def _gathered(docs: DataFrame, trees: Trees) -> DataFrame:
+    """(kind, key, n, cells): word counts (kind 0; key: the hash) and touched cells by table block (kind 1; a cell for each half) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * TABLE_START[-1], np.uint32)
+        counts = np.zeros(2 * HALVES * TABLE_START[-1], np.uint32)
         words, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
         def fold() -> None:
@@ -252,10 +286,10 @@ def _gathered(docs: DataFrame, trees: Trees, left_out: set) -> DataFrame:
             times.append(n)
             if len(words) > 32:
                 fold()
-            use = np.array([i not in left_out for i in batch.column("id").to_pylist()])
-            if use.any():
-                _, _, bit, slots = decisions(trees, *symbols(batch.filter(pa.array(use)).column("text")))
-                np.add.at(counts, (slots * 2 + bit).reshape(-1), 1)
+            symbol, before, offsets = symbols(batch.column("text"))
+            of, _, bit, slots = decisions(trees, symbol, before, offsets)
+            half = np.repeat(batch.column("half").to_numpy(), np.diff(offsets))[of]
+            np.add.at(counts, ((slots * 2 + bit) * HALVES + half).reshape(-1), 1)
         fold()
         for a in range(0, len(words[0]), 1 << 16):
             part = words[0][a : a + (1 << 16)]
@@ -265,10 +299,11 @@ def _gathered(docs: DataFrame, trees: Trees, left_out: set) -> DataFrame:
                 ["kind", "key", "n", "cells"],
             )
         touched = np.flatnonzero(counts)
-        block = touched >> (BLOCK_BITS + 1)
+        size = 2 * HALVES << BLOCK_BITS
+        block = touched // size
         for b in np.unique(block).tolist():
             own = touched[block == b] if len(touched) < 1000 else touched[slice(*np.searchsorted(block, [b, b + 1]))]
-            cells = np.stack([(own & ((2 << BLOCK_BITS) - 1)).astype("<u4"), counts[own].astype("<u4")]).tobytes()
+            cells = np.stack([(own - b * size).astype("<u4"), counts[own].astype("<u4")]).tobytes()
             yield pa.record_batch(
                 [pa.array([1], pa.int32()), pa.array([b]), pa.array([len(own)]), pa.array([cells], pa.binary())], ["kind", "key", "n", "cells"]
             )
@@ -277,11 +312,14 @@ def _gathered(docs: DataFrame, trees: Trees, left_out: set) -> DataFrame:
 
 
 def _merged(gathered: DataFrame) -> np.ndarray:
-    """The tables as log odds; as many bytes as the tables have cells come to the driver."""
+    """HALVES + 1 tables of log odds: of all rows but each half's, and of all rows. As many bytes come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(block: int, total: np.ndarray) -> pa.RecordBatch:
-            odds = np.log((total[1::2] + PRIOR) / (total[0::2] + PRIOR))
+            each = total.reshape(-1, 2, HALVES)
+            whole = each.sum(2, keepdims=True)
+            each = np.concatenate([whole - each, whole], axis=2) + PRIOR
+            odds = np.log(each[:, 1] / each[:, 0]).T
             value = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
             return pa.record_batch([pa.array([block], pa.int64()), pa.array([value.tobytes()], pa.binary())], ["key", "cells"])
 
@@ -291,42 +329,64 @@ def _merged(gathered: DataFrame) -> np.ndarray:
                 if key != block:
                     if block is not None:
                         yield done(block, total)
-                    block, total = key, np.zeros(2 << BLOCK_BITS)
+                    block, total = key, np.zeros(2 * HALVES << BLOCK_BITS)
                 place, count = np.frombuffer(cells.as_buffer(), "<u4").reshape(2, -1)
                 total[place] += count
         if block is not None:
             yield done(block, total)
 
-    table = np.zeros(-(-TABLE_START[-1] >> BLOCK_BITS << BLOCK_BITS) + (1 << BLOCK_BITS), np.int8)
+    table = np.zeros((HALVES + 1, -(-TABLE_START[-1] >> BLOCK_BITS << BLOCK_BITS) + (1 << BLOCK_BITS)), np.int8)
     blocks = gathered.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key")
     for row in blocks.mapInArrow(run, "key bigint, cells binary").toLocalIterator():
-        own = np.frombuffer(bytes(row["cells"]), np.int8)
-        table[row["key"] << BLOCK_BITS : (row["key"] + 1) << BLOCK_BITS] = own
+        own = np.frombuffer(bytes(row["cells"]), np.int8).reshape(HALVES + 1, -1)
+        table[:, row["key"] << BLOCK_BITS : (row["key"] + 1) << BLOCK_BITS] = own
     return table
 
 
-def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
+def _learned(docs: DataFrame, trees: Trees, table: np.ndarray) -> Mixer:
+    """Weights and map from all rows: each task learns from its own, and each entry is averaged by its uses."""
+    shared = docs.sparkSession.sparkContext.broadcast((trees, table[:HALVES]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_trees, without = shared.value
+        mixer = Mixer.new()
+        for batch in T.blocks(batches, "text", STEP_BYTES):
+            half = batch.column("half").to_numpy()
+            for k in np.unique(half).tolist():
+                texts = batch.filter(pa.array(half == k)).column("text")
+                mixer.learn(without[k], own_trees, *symbols(texts))
+        for k, (values, used) in enumerate(zip(mixer.parts(), getattr(mixer, "used", ()))):
+            hit = np.flatnonzero(used)
+            sums = pa.FixedSizeListArray.from_arrays(pa.array((values[hit] * used[hit, None]).reshape(-1)), values.shape[1])
+            yield pa.record_batch(
+                [pa.array(np.full(len(hit), k, np.int32)), pa.array(hit), pa.array(used[hit]), sums.cast(pa.list_(pa.float64()))],
+                ["part", "row", "used", "sums"],
+            )
+
+    gathered = docs.mapInArrow(run, "part int, row bigint, used double, sums array<double>")
+    totals = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(len(TABLE_BITS))]
+    mixer = Mixer.new()
+    parts = mixer.parts()
+    for r in gathered.groupBy("part", "row").agg(F.sum("used").alias("used"), *totals).collect():
+        values = parts[r["part"]]
+        values[r["row"]] = [r[f"s{k}"] / r["used"] for k in range(values.shape[1])]
+    return mixer
+
+
+def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the stored word counts (key, n), from the rows for which ``where`` (on ``id``) holds."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(where)
-    chosen = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    sample = sorted((r["id"], r["text"]) for r in rows.join(F.broadcast(chosen), "id").collect())
-    pairs = np.zeros(SYMBOLS * SYMBOLS)
-    for start in range(0, len(sample), 16):
-        symbol, before, _ = symbols(pa.array([t for _, t in sample[start : start + 16]], pa.large_string()))
-        pairs += np.bincount(before * SYMBOLS + symbol, minlength=len(pairs))
-    trees = build_trees(pairs.reshape(SYMBOLS, SYMBOLS))
-    gathered = stored(_gathered(rows, trees, {i for i, _ in sample}), "gathered")
+    rows = _halves(rows)
+    trees = build_trees(_pairs(rows))
+    gathered = stored(_gathered(rows, trees), "gathered")
     table = _merged(gathered)
     counts = stored(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
     key = head.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(key)
-    mixer = Mixer.new()
-    for start in range(0, len(sample), 16):
-        mixer.learn(table, trees, *symbols(pa.array([t for _, t in sample[start : start + 16]], pa.large_string())))
-    mixer = Mixer(mixer.by_gate, mixer.by_depth, mixer.refined)
-    return Model(trees, table, mixer, key[order], head.column("n").to_numpy()[order], int(total), int(distinct)), counts
+    mixer = _learned(rows, trees, table)
+    return Model(trees, table[HALVES], mixer, key[order], head.column("n").to_numpy()[order], int(total), int(distinct)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

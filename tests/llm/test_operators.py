@@ -167,6 +167,25 @@ def test_mixing_is_a_probability():
     assert total == pytest.approx(1.0, abs=1e-3)
 
 
+def test_mixing_learns_from_every_training_row(spark):
+    """A small corpus fills the tables, the trees and the weights, each row's own text included."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(("stone", "river", "cloud", "amber")) + rng.choice("xyz") for _ in range(30)) + f" only{i}" for i in range(60)]
+    model, _ = mixing.train(docs_of(spark, texts), mixing.F.lit(True))
+    column = pa.array(texts)
+    _, _, bit, slots = mixing.decisions(model.trees, *mixing.symbols(column))
+    known = model.table[slots[:4]]
+    assert (known != 0).mean() > 0.9 and ((known > 0) == (bit == 1)).mean() > 0.7
+    # contexts tell more than the frequencies of pairs of bytes that the trees and the map know
+    plain = mixing.Model(model.trees, np.zeros_like(model.table), model.mixer, model.head, model.head_counts, 0, 0)
+    assert model.code_length(column).sum() < 0.7 * plain.code_length(column).sum()
+    fresh = mixing.Mixer.new()
+    assert not np.allclose(model.mixer.by_gate, fresh.by_gate) and not np.allclose(model.mixer.refined, fresh.refined)
+    pairs = mixing._pairs(docs_of(spark, texts).select("text"))
+    want = Counter(zip(*(x.tolist() for x in mixing.symbols(column)[1::-1])))
+    assert {k: int(pairs[k]) for k in want} == want and pairs.sum() == sum(want.values())
+
+
 def test_mixing_edge_cases(spark):
     docs = docs_of(spark, EDGE)
     rows = {r["doc_id"]: r for r in mixing.score_documents(docs).collect()}
