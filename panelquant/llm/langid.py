@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
 A word's features are hashed: the word itself (a learned lexicon), prefixes and
-suffixes of one to three bytes, and byte trigrams. The field has a weight for each
+suffixes of one to three bytes, and the byte trigrams at all its positions. The field has a weight for each
 (feature, language), and learned transitions between the languages of neighbouring
 words; forward-backward gives each word's language probabilities, so text that
 switches languages is labelled word by word. A text's language is the one with the
@@ -31,7 +31,7 @@ from .labelled import held_out
 HASH_BITS = 18
 #: Documents of each language that the field is fitted on, at most.
 SAMPLE_ROWS = 300
-#: Words of a chain; longer texts are several chains.
+#: Words of a chain in fitting, where longer texts are several chains; in scoring each text is one.
 CHAIN = 64
 EPOCHS, RATE, RIDGE = 6, 0.3, 1e-4
 UNKNOWN = "und"
@@ -42,21 +42,24 @@ _NOT_LETTER[97:123] = False
 _NOT_LETTER[128:] = False
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """words x features: hashed features of each word; 0 stands for a missing one."""
-    kinds = [(starts, ends)]
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word): the hashed features of each word."""
+    words = np.arange(len(starts))
+    kinds = [(starts, ends, words, 0)]
     for k in (1, 2, 3):
-        kinds += [(starts, np.minimum(starts + k, ends)), (np.maximum(ends - k, starts), ends)]
-    for k in range(6):
-        kinds.append((starts + k, starts + k + 3))
-    out = np.zeros((len(starts), len(kinds)), np.int64)
+        kinds += [(starts, np.minimum(starts + k, ends), words, 2 * k - 1), (np.maximum(ends - k, starts), ends, words, 2 * k)]
+    count = np.maximum(ends - starts - 2, 0)
+    of = np.repeat(words, count)
+    at = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    kinds.append((at, at + 3, of, 7))  # trigrams share their weights wherever they stand
     mask = np.uint64((1 << HASH_BITS) - 1)
-    for i, (a, b) in enumerate(kinds):
-        there = b <= ends
-        kind = i if i < 7 else 7  # trigrams share their weights wherever they stand
-        key = T.hashes(data, a[there], b[there])
-        out[there, i] = (T.mix(key + np.uint64(kind)) & mask).astype(np.int64)
-    return out
+    feature = [(T.mix(T.hashes(data, a, b) + np.uint64(kind)) & mask).astype(np.int64) for a, b, _, kind in kinds]
+    return np.concatenate(feature), np.concatenate([of for _, _, of, _ in kinds])
+
+
+def _summed(weights: np.ndarray, feature: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """n x languages: the weights of each word's features, added up."""
+    return np.stack([np.bincount(word, weights[feature, c], n) for c in range(weights.shape[1])], axis=1)
 
 
 def _words(column: pa.Array):
@@ -76,8 +79,7 @@ class Field:
         if not len(starts):
             return np.zeros((0, len(self.languages)))
         _, at, which = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        features = word_features(data, starts[at], ends[at])
-        return sum(self.weights[features[:, k]] for k in range(features.shape[1]))[which]
+        return _summed(self.weights, *word_features(data, starts[at], ends[at]), len(at))[which]
 
 
 def chains(first: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -99,22 +101,22 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, starts: np.nd
     local = np.exp(emission - emission.max(1, keepdims=True))
     steps = int(lengths[0]) if len(lengths) else 0
     active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(steps)]  # chains longer than t come first
-    alpha = np.zeros((steps, len(starts), labels))
+    alpha = np.zeros_like(emission)
     for t in range(steps):
         k = active[t]
         own = local[starts[:k] + t]
-        a = own if t == 0 else (alpha[t - 1, :k] @ move) * own
-        alpha[t, :k] = a / a.sum(1, keepdims=True)
+        a = own if t == 0 else (alpha[starts[:k] + t - 1] @ move) * own
+        alpha[starts[:k] + t] = a / a.sum(1, keepdims=True)
     posterior = np.zeros_like(emission)
     expected = np.zeros((labels, labels))
     beta = np.ones((len(starts), labels))
     for t in range(steps - 1, -1, -1):
         k = active[t]
-        p = alpha[t, :k] * beta[:k]
+        p = alpha[starts[:k] + t] * beta[:k]
         posterior[starts[:k] + t] = p / p.sum(1, keepdims=True)
         if t:
             ahead = local[starts[:k] + t] * beta[:k]
-            joint = np.einsum("ni,nj->nij", alpha[t - 1, :k], ahead) * move
+            joint = np.einsum("ni,nj->nij", alpha[starts[:k] + t - 1], ahead) * move
             expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = ahead @ move.T
             beta[:k] = b / b.sum(1, keepdims=True)
@@ -134,21 +136,16 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Field:
         data, starts, ends, first = _words(pa.array([texts[i] for i in part], pa.large_string()))
         if len(starts):
             truth = np.array([number[labels[i]] for i in part])[T.row_of(first)]
-            blocks.append((word_features(data, starts, ends), truth, *chains(first)))
+            blocks.append((*word_features(data, starts, ends), truth, *chains(first)))
     for _ in range(epochs):
-        for features, truth, starts, lengths in blocks:
-            emission = sum(field.weights[features[:, k]] for k in range(features.shape[1]))
+        for feature, word, truth, starts, lengths in blocks:
+            emission = _summed(field.weights, feature, word, len(truth))
             posterior, expected = forward_backward(emission, field.transitions, starts, lengths)
             delta = -posterior
             delta[np.arange(len(truth)), truth] += 1
-            slots = np.unique(features)
-            place = np.searchsorted(slots, features)
-            gradient = np.zeros((len(slots), n))
-            for c in range(n):
-                for k in range(features.shape[1]):
-                    gradient[:, c] += np.bincount(place[:, k], delta[:, c], len(slots))
+            slots, place = np.unique(feature, return_inverse=True)
+            gradient = _summed(delta, word, place, len(slots))
             gradient -= RIDGE * len(truth) * field.weights[slots]
-            gradient[slots == 0] = 0
             square[slots] += gradient**2
             field.weights[slots] += RATE * gradient / np.sqrt(square[slots])
             observed = np.zeros((n, n))
@@ -183,7 +180,8 @@ def _has_letter(text: str | None) -> bool:
 def _label(batch: pa.RecordBatch, field: Field):
     column = batch.column("text")
     data, starts, ends, first = _words(column)
-    posterior, _ = forward_backward(field.emissions(data, starts, ends), field.transitions, *chains(first))
+    whole = chains(first, max(1, int(np.diff(first).max(initial=0))))  # a text is one chain
+    posterior, _ = forward_backward(field.emissions(data, starts, ends), field.transitions, *whole)
     ascii_letter = ~_NOT_LETTER.copy()
     ascii_letter[128:] = False
     _, offsets = T.utf8(column)

@@ -376,6 +376,24 @@ def test_language_held_out_accuracy_and_edges(spark, sf_dir):
     assert langid.classify(docs_of(spark, [])).count() == 0
 
 
+def test_language_reads_words_to_their_end_and_chains_across_pieces():
+    column = pa.array(["abcdefghijklmnopqrs", "今日はとても良い天気です"])
+    data, starts, ends, _ = langid._words(column)
+    _, word = langid.word_features(data, starts, ends)
+    assert np.bincount(word).tolist() == [7 + 17, 7 + 34]
+    tails = ["今日はとても" + x * 6 + "今日はとても" for x in "あんえき"]
+    own = langid.fit([x for x in tails for _ in range(8)], [c for c in "aabb" for _ in range(8)])
+    posterior, _, _ = langid._label(pa.RecordBatch.from_arrays([pa.array(tails)], ["text"]), own)
+    assert posterior.argmax(1).tolist() == [0, 0, 1, 1]
+    # words without a feature of their own get their language from a word beyond the 64th
+    weights = np.zeros((1 << langid.HASH_BITS, 2))
+    only, _ = langid.word_features(*langid._words(pa.array(["zz"]))[:3])
+    weights[only] = (0.0, 5.0)
+    linked = langid.Field(["a", "b"], weights, np.array([[9.0, 0.0], [0.0, 9.0]]))
+    posterior, _, _ = langid._label(pa.RecordBatch.from_arrays([pa.array([" ".join(["q"] * 70 + ["zz"])])], ["text"]), linked)
+    assert (posterior[:, 1] > 0.9).all()
+
+
 def test_code_switched_words():
     rng = random.Random(11)
     texts = [" ".join(rng.choice(["the", "and", "thing", "whing"]) for _ in range(30)) for _ in range(30)]
