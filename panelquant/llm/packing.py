@@ -6,7 +6,10 @@ many there are), at most ``capacity`` of each, however many documents there are.
 In a superstep the pieces of one run, longest first, sweep to their successor
 gaps (the smallest that take them); where they compete, the i-th piece by rank
 takes the i-th gap; the gaps shrink, and the sweep repeats until the run is
-placed, opening new sequences when no gap is left. The supersteps yield
+placed, opening new sequences when no gap is left. The matching runs on the driver
+(:func:`placements`), over the histogram of runs, because that has at most
+``capacity`` entries whatever the input; gaps are never a distributed table, and
+only the ranking sort and the look-up by rank run in Spark. The supersteps yield
 placements of whole rank ranges; each piece then finds its own by its rank,
 which comes from the distributed sort.
 
