@@ -1,36 +1,42 @@
 """Linking sets of high Jaccard similarity inside groups of candidates, without comparing all pairs of a group.
 
-Groups of few members are compared pair by pair. In a larger group every member x
-is compared with one pivot p only, which gives its delta D(x), the elements in
-which x and p differ. For two members, |x ^ y| = |D(x) ^ D(y)|. So if they link,
-with at most H differing elements, either |D(x)| + |D(y)| <= H, and then both link
-with the pivot and lie in one component already; or their deltas have
-c = ceil((|D(x)| + |D(y)| - H) / 2) elements in common at least, and so share one
-among the first |D| - c + 1 of each, in any common order. The order puts first what
-few deltas will hold: rare elements that the pivot lacks, then common ones that only it
-has; the pivot is the member whose elements are the commonest. Members that share such
-an element form the groups of the next level; there, one of a pair has the element
-among its first H / 2 ("low"), so only low members are compared with a pivot again,
-and a low and another member directly, if their ranks and deltas allow. Groups whose members lie in one component are dropped
-between levels. The last level compares all that is left pair by pair, so the
-components are those of all links inside groups.
+Every group of candidates has a pivot p, and each member x is compared with it: that
+may link the two, and gives x's delta D(x), the elements in which x and p differ. For
+two members, |x ^ y| = |D(x) ^ D(y)|. Where a pivot's members fall into several
+components afterwards, their pairs are looked at, in a small group one by one, in a
+large one by their deltas. Two members of which none links with the pivot, or one
+only, can link, with at most H differing elements, only if | |D(x)| - |D(y)| | <= H,
+and their deltas then have c = ceil((|D(x)| + |D(y)| - H) / 2) elements in common at
+least. So they share one among the first |D| - c + 1 of each, in any common order; a
+member that links with the pivot needs few of them, as the other's delta is the
+longer. The order puts first what few deltas will hold: rare elements that the
+pivot lacks, then common ones that only it has. Members that share such an element are
+the candidates of the next level: pairs in small groups, a pivot of their own in
+large ones. Nothing is done for groups whose members lie in one component already.
+The last level compares all that is left pair by pair, so the components are those of
+all links inside groups.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import counters
+from . import counters, packed
+from . import textops as T
 from .components import components
 from .scratch import stored
 
 #: Members of a group that is compared pair by pair, at most; and levels before everything is.
-FEW, LEVELS = 12, 5
+FEW, LEVELS = 12, 6
+
+_DELTA = np.dtype([("key", "<u8"), ("order", "<i4"), ("node", "<i8"), ("component", "<i8"), ("n", "<i4"), ("rank", "<i4")])
+_PAIRS = "x bigint, p bigint, star boolean"
 
 
 def packed_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +47,26 @@ def packed_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint64), (offsets - offsets[0]) // 8
 
 
-def compared(pairs: DataFrame, sets: DataFrame, read: Callable, popularity, num: int, den: int) -> DataFrame:
-    """Compare the whole sets of pairs (a, b, pivot): (a, b, pivot, linked, n, differing, delta).
+def pair_batch(x: np.ndarray, p: np.ndarray, star: bool) -> pa.RecordBatch:
+    """Each pair of different nodes once."""
+    keep = x != p
+    pairs = np.unique(np.stack([x[keep], p[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+    return pa.record_batch(
+        [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.full(len(pairs), star))], ["x", "p", "star"]
+    )
+
+
+def first_pairs(chunks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(x, p, star): the nodes of a bucket's records (key, order, node) with the pivots of the groups that they are in."""
+    for x, p, star in packed.meetings(chunks, 1, packed.no_pairs):
+        yield pair_batch(x, p, star)
 
-    ``sets`` has (id, elements), which ``read`` turns into sets. Where ``pivot`` holds, ``delta``
-    has the first elements of a's delta to b: as many as can matter. ``popularity`` is the broadcast
+
+def compared(pairs: DataFrame, items: DataFrame, read: Callable, popularity, num: int, den: int) -> DataFrame:
+    """Compare the sets of pairs (x, p, star, deep): linked, n, d (differing elements) and delta are added.
+
+    ``items`` has (node, content), which ``read`` turns into sets. Where ``deep`` holds, ``delta``
+    has the first elements of x's delta to p: as many as can matter. ``popularity`` is the broadcast
     table of :mod:`.counters`.
     """
 
@@ -63,106 +84,133 @@ def compared(pairs: DataFrame, sets: DataFrame, read: Callable, popularity, num:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                (xs, x_cut), (ys, y_cut) = read(batch.column("x")), read(batch.column("y"))
+                (xs, x_cut), (ys, y_cut) = read(batch.column("own")), read(batch.column("other"))
                 linked, sizes, differing, deltas = [], [], [], []
-                for i, pivot in enumerate(batch.column("pivot").to_pylist()):
+                for i, deep in enumerate(batch.column("deep").to_pylist()):
                     x, y = xs[x_cut[i] : x_cut[i + 1]], ys[y_cut[i] : y_cut[i + 1]]
                     at = np.searchsorted(y, x)
                     in_y = y[np.minimum(at, len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
-                    common = int(in_y.sum())
-                    linked.append(common > 0 and den * common >= num * (len(x) + len(y) - common))
-                    sizes.append(len(x))
-                    differing.append(len(x) + len(y) - 2 * common)
+                    n, m, common = len(x), len(y), int(in_y.sum())
+                    links = common > 0 and den * common >= num * (n + m - common)
+                    d = n + m - 2 * common
+                    linked.append(links)
+                    sizes.append(n)
+                    differing.append(d)
                     delta = None
-                    if pivot:
-                        most = (den - num) * (len(x) + len(x) * den // num) // (den + num) + 1
-                        lacking = np.ones(len(y), bool)
+                    if deep:
+                        most = (den - num) * (n + n * den // num) // (den + num)
+                        if links:  # a partner's delta is longer than what links with the pivot
+                            most = min(most, (d + max(0, (den - num) * (n - m) // (den + num)) + 2) // 2)
+                        lacking = np.ones(m, bool)
                         lacking[at[in_y]] = False
-                        delta = ordered(x[~in_y], y[lacking], y)[:most]
-                        delta = delta.view(np.int64)
+                        delta = ordered(x[~in_y], y[lacking], y)[: most + 1].tobytes()
                     deltas.append(delta)
                 yield pa.record_batch(
                     [
-                        batch.column("a"),
-                        batch.column("b"),
-                        batch.column("pivot"),
+                        *(batch.column(c) for c in ("x", "p", "star", "k")),
                         pa.array(linked, pa.bool_()),
                         pa.array(sizes, pa.int32()),
                         pa.array(differing, pa.int32()),
-                        pa.array(deltas, pa.list_(pa.int64())),
+                        pa.array(deltas, pa.binary()),
                     ],
-                    ["a", "b", "pivot", "linked", "n", "differing", "delta"],
+                    ["x", "p", "star", "k", "linked", "n", "d", "delta"],
                 )
 
-    x = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "pivot", "x", "y")
-    return joined.mapInArrow(
-        run, f"a {kind}, b {kind}, pivot boolean, linked boolean, n int, differing int, delta array<bigint>"
-    )
-
+    x = items.select(F.col("node").alias("x"), F.col("content").alias("own"))
+    p = items.select(F.col("node").alias("p"), F.col("content").alias("other"))
+    joined = pairs.join(x, "x").join(p, "p").select("x", "p", "star", "k", "deep", "own", "other")
+    return joined.mapInArrow(run, f"{_PAIRS}, k bigint, linked boolean, n int, d int, delta binary")
+
+
+def _by_deltas(rows: DataFrame, count: int, num: int, den: int, few: int) -> DataFrame:
+    """(x, p, star): candidates among the members (x, p, component, n, d, delta) of large groups."""
+    n_buckets = packed.buckets(40 * count)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, cut = packed_sets(batch.column("delta"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            out = np.zeros(len(row), _DELTA)
+            out["key"] = T.mix(elements ^ T.mix(batch.column("p").to_numpy().view(np.uint64))[row])
+            for name, column in (("order", "d"), ("node", "x"), ("component", "component"), ("n", "n")):
+                out[name] = batch.column(column).to_numpy()[row]
+            out["rank"] = np.arange(len(row)) - cut[row]
+            yield packed.rows(packed.deal(out["key"], n_buckets), out)
+
+    def of_few(records: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = packed.all_pairs(group)
+        a, b = records[i], records[j]
+        most = (den - num) * (a["n"].astype(np.int64) + b["n"]) // (den + num)
+        apart = a["order"].astype(np.int64) - b["order"]
+        wanted = (a["component"] != b["component"]) & (2 * a["rank"] <= most + apart) & (2 * b["rank"] <= most - apart)
+        x, p = a["node"][wanted], b["node"][wanted]
+        return np.maximum(x, p), np.minimum(x, p)
 
-def link_groups(
-    rows: DataFrame,
-    scores: DataFrame,
-    compare: Callable[[DataFrame], DataFrame],
-    num: int,
-    den: int,
-    may_pair: Callable[[Column, Column], Column] | None = None,
-    few: int = FEW,
-    levels: int = LEVELS,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def several(records: np.ndarray) -> np.ndarray:
+            """Without the groups whose members lie in one component."""
+            records = records[np.argsort(records["key"], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]]))
+            size = np.diff(np.append(first, len(records)))
+            mixed = np.minimum.reduceat(records["component"], first) != np.maximum.reduceat(records["component"], first)
+            return records[np.repeat(mixed, size)]
+
+        for _, pieces in packed.by_bucket(batches):
+            chunks = (packed.unpack(column, _DELTA) for _, column in pieces)
+            held = []
+            for chunk in chunks:
+                held.append(chunk)
+                if sum(map(len, held)) > 1 << 20:
+                    break
+            else:
+                held = [several(np.concatenate(held))]
+            for x, p, star in packed.meetings(itertools.chain(held, chunks), few, of_few):
+                yield pair_batch(x, p, star)
+
+    columns = rows.select("x", "p", "component", "n", "d", "delta")
+    return packed.exchanged(columns.mapInArrow(index, packed.SCHEMA)).mapInArrow(run, _PAIRS)
+
+
+def link(
+    pairs: DataFrame, items: DataFrame, read: Callable, popularity, num: int, den: int, few: int = FEW, levels: int = LEVELS
 ) -> DataFrame | None:
-    """(node, component) of the nodes that link, directly or through others, inside groups; None if nothing links.
+    """(node, component) of the nodes that link, directly or through others; None if nothing links.
 
-    ``rows`` has (sig, node, code), each node once a group, ``scores`` has (node, score): pivots have high scores. ``may_pair(c, d)`` tells from two codes whether their pair
-    is wanted; ``compare`` is :func:`compared` on (a, b, pivot).
+    ``pairs`` has (x, p, star), each once: where ``star`` holds, p is a pivot of a group with x.
+    The other parameters are those of :func:`compared`.
     """
-    rows = rows.select("sig", "node", "code", F.lit(0).alias("n"), F.lit(0).alias("d"), F.lit(0).alias("rank"))
     edges, labels = None, None
     for level in range(levels):
+        sizes = pairs.where("star").groupBy("p").agg(F.count("*").alias("k"))
+        sized = pairs.join(sizes, "p", "left").withColumn("deep", F.col("star") & (F.col("k") > few))
+        done = stored(compared(sized, items, read, popularity, num, den), "compared")
+        links = done.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        if not links.isEmpty():
+            labels = components(links if edges is None else edges.unionByName(links), "a", "b")
+            edges = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        members = done.where("star and k > 1")
         if labels is None:
-            marked = rows.withColumn("component", F.col("node"))
+            members = members.withColumn("component", F.col("x"))
         else:
-            marked = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        most = F.floor(F.lit(den - num) * (F.col("n") + F.floor(F.col("n") * den / num)) / F.lit(den + num))
-        marked = marked.withColumn("low", 2 * F.col("rank") <= most)
-        mixed = marked.groupBy("sig").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("low").alias("k")
-        )
-        marked = stored(marked.join(mixed.where("lo < hi and k > 0").select("sig", "k"), "sig"), "open")
-        if not marked.count():
-            break
+            members = members.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        mixed = members.groupBy("p").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("p")
+        members = stored(members.join(mixed, "p"), "open")
         last = level == levels - 1
-        columns = ("node", "code", "n", "d", "rank", "component", "low")
-        left = marked.where("low").select("sig", "k", *[F.col(c).alias(c + "1") for c in columns])
-        right = marked.select("sig", *[F.col(c).alias(c + "2") for c in columns])
-        wanted = (F.col("component1") != F.col("component2")) & (~F.col("low2") | (F.col("node1") < F.col("node2")))
-        if not last:
-            wanted &= (F.col("k") <= few) | ~F.col("low2")
-        if level:
-            most = F.floor(F.lit(den - num) * (F.col("n1") + F.col("n2")) / F.lit(den + num))
-            apart = F.col("d1") - F.col("d2")
-            wanted &= (2 * F.col("rank1") <= apart + most) & (2 * F.col("rank2") <= most - apart)
-        elif may_pair:
-            wanted &= may_pair(F.col("code1"), F.col("code2"))
-        pairs = left.join(right, "sig").where(wanted)
-        pairs = pairs.select(
-            F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"), F.lit(False).alias("pivot")
-        )
-        if not last:
-            order = Window.partitionBy("sig").orderBy(F.desc("score"), "node")
-            met = marked.where(F.col("low") & (F.col("k") > few)).join(scores, "node").withColumn("b", F.first("node").over(order)).where("node <> b")
-            pairs = pairs.unionByName(met.select(F.col("node").alias("a"), "b", F.lit(True).alias("pivot")))
-        pairs = pairs.groupBy("a", "b").agg(F.max("pivot").alias("pivot"))
-        done = stored(compare(pairs), "compared")
-        links = done.where("linked").select("a", "b")
-        if links.count():
-            labels = components(links if edges is None else edges.unionByName(links), "a", "b")
-            edges = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        rows = done.where("pivot").select("a", "b", "n", "differing", F.posexplode("delta").alias("rank", "element"))
-        rows = rows.select(
-            F.xxhash64("b", "element").alias("sig"), F.col("a").alias("node"), F.lit(0).alias("code"), "n",
-            F.col("differing").alias("d"), "rank",
-        )
+        one = members.where(F.lit(last) | (F.col("k") <= few)).select("p", "x", "n", "d", "component")
+        two = one.select("p", *[F.col(c).alias(c + "2") for c in ("x", "n", "d", "component")])
+        most = F.floor(F.lit(den - num) * (F.col("n") + F.col("n2")) / F.lit(den + num))
+        near = (F.col("x2") < F.col("x")) & (F.col("component") != F.col("component2")) & (F.abs(F.col("d") - F.col("d2")) <= most)
+        found = one.join(two, "p").where(near).select("x", F.col("x2").alias("p"), F.lit(False).alias("star"))
+        large = members.where(f"k > {few}")
+        count = 0 if last else large.count()
+        if count:
+            found = found.unionByName(_by_deltas(large, count, num, den, few))
+        pairs = stored(found.groupBy("x", "p").agg(F.max("star").alias("star")), "pairs")
+        if pairs.isEmpty():
+            break
+        if last:
+            done = compared(pairs.withColumn("k", F.lit(0).cast("bigint")).withColumn("deep", F.lit(False)), items, read, popularity, num, den)
+            links = stored(done.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")), "links")
+            if not links.isEmpty():
+                labels = components(links if edges is None else edges.unionByName(links), "a", "b")
     return labels

@@ -14,8 +14,8 @@ shingle, from a table of counters of fixed size. :func:`allocation` chooses the
 numbers of segments for each band by estimated cost. Any choice is exact; costs
 only decide how many candidates there are. Candidates are verified on whole sets.
 
-Equal sets fold into one representative first. :mod:`.linking` compares the sets
-that share a signature, in large groups by way of pivots and not in all pairs.
+Equal sets fold into one representative. :mod:`.linking` compares the sets that share
+a signature, by way of pivots and not in all pairs.
 
 Cases: a null or empty text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows fold together; rows that
@@ -29,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import counters
+from . import counters, packed
 from . import textops as T
-from .linking import compared, link_groups, packed_sets
+from .linking import first_pairs, link, packed_sets
 from .scratch import small, stored
 
+_SIGNED = np.dtype([("key", "<u8"), ("order", "<u2"), ("node", "<i8")])
+
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
     """Size ranges such that sets that link lie in the same or in neighbouring ranges."""
@@ -137,49 +139,83 @@ def signatures(value, row, scheme, plan, popularity) -> tuple[np.ndarray, np.nda
     return np.concatenate([*out, own[order]]), np.concatenate([*out_row, slot_row[order]])
 
 
-def _index(docs, words: int, sizes: list[tuple[int, int]], plan: np.ndarray, popularity, num: int, den: int) -> DataFrame:
-    """(sig, id, code): code is twice the set's size, plus 1 if the set probes the band below its own."""
+class _Seen:
+    """Sets that a task has met of late, in a table of fixed size."""
+
+    def __init__(self, bits: int = 16):
+        self.table = np.zeros((1 << bits, 2), np.uint64)
+        self.bits = np.uint64(64 - bits)
+
+    def new(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Whether each set is not in the table and not among those before it in the arrays; all are put in."""
+        both = np.stack([h1, h2], axis=1)
+        place = (h1 >> self.bits).astype(np.int64)
+        fresh = (self.table[place] != both).any(axis=1)
+        self.table[place] = both
+        _, first = np.unique(both, axis=0, return_index=True)
+        once = np.zeros(len(h1), bool)
+        once[first] = True
+        return fresh & once
+
+
+def _index(docs, words: int, sizes: list[tuple[int, int]], plan: np.ndarray, popularity, num: int, den: int, n_buckets: int) -> DataFrame:
+    """Packed records (key: signature, order: pivots have low ones, node: id) of all sets, in their own band and in that below."""
     lows, highs = np.array([b[0] for b in sizes]), np.array([b[1] for b in sizes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()  # sets that this task has indexed already
+        seen, held = _Seen(), []
         for batch in T.blocks(batches, "text"):
             value, row = document_sets(batch.column("text"), words)
             k = batch.num_rows
             n = np.bincount(row, minlength=k)
             h1, h2 = _set_hash(value, row, k)
-            fresh = n > 0
-            for i, own in enumerate(zip(h1.tolist(), h2.tolist())):
-                fresh[i] &= own not in seen
-                seen.add(own)
+            fresh = (n > 0) & seen.new(h1, h2)
+            keep = fresh[row]
+            value, row = value[keep], row[keep]
             own_band = np.where(fresh, np.searchsorted(lows, n, "right") - 1, -1)
             below = np.where(own_band > 0, own_band - 1, -1)
             below = np.where(n * num <= highs[np.maximum(below, 0)] * den, below, -1)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for up, scheme in ((0, own_band), (1, below)):
+            score = np.bincount(row, popularity.value[counters.place(value)], k) / np.maximum(n, 1)
+            order = (65535 - 256 * score).astype(np.uint16)
+            for scheme in (own_band, below):
                 sig, at = signatures(value, row, scheme, plan, popularity.value)
-                yield pa.record_batch(
-                    [T.array(sig), pa.array(ids[at]), pa.array((2 * n[at] + up).astype(np.int32))], ["sig", "id", "code"]
-                )
+                out = np.zeros(len(sig), _SIGNED)
+                out["key"], out["order"], out["node"] = sig, order[at], ids[at]
+                held.append(out)
+            if sum(map(len, held)) > 1 << 19:
+                out = np.concatenate(held)
+                held = []
+                yield packed.rows(packed.deal(out["key"], n_buckets), out)
+        if held:
+            out = np.concatenate(held)
+            yield packed.rows(packed.deal(out["key"], n_buckets), out)
+
+    return docs.mapInArrow(run, packed.SCHEMA)
+
+
+def _meetings(index: DataFrame) -> DataFrame:
+    """(x, p, star): every id with the pivots of the signatures that it shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in packed.by_bucket(batches):
+            yield from first_pairs(packed.unpack(column, _SIGNED) for _, column in pieces)
 
-    return docs.mapInArrow(run, "sig bigint, id bigint, code int")
+    return packed.exchanged(index).mapInArrow(run, "x bigint, p bigint, star boolean")
 
 
-def _sets(docs: DataFrame, words: int, popularity) -> DataFrame:
-    """(id, elements, score): the sorted set, and the mean popularity of its elements."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, content): the id, and the sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, "text"):
             value, row = document_sets(batch.column("text"), words)
-            order = np.lexsort((value, row))
-            value = value[order]
+            value = value[np.lexsort((value, row))]
             cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            packed = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            total = np.bincount(row[order], popularity.value[counters.place(value)], batch.num_rows)
-            score = total / np.maximum(np.diff(cut), 1)
-            yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary()), pa.array(score)], ["id", "elements", "score"])
+            content = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.record_batch([batch.column("id"), pa.array(content, pa.binary())], ["node", "content"])
 
-    return docs.mapInArrow(run, "id bigint, elements binary, score double")
+    return docs.mapInArrow(run, "node bigint, content binary")
 
 
 def jaccard_components(
@@ -189,14 +225,14 @@ def jaccard_components(
 
     The text is read three times (sizes; signatures; sets of candidates) and
     not shuffled, except for the sets of candidates, where they are too many to
-    broadcast their ids. The shuffled index has about 0.4 rows a shingle.
+    broadcast their ids. The shuffled index has about 0.4 records of 18 bytes a shingle.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     gathered = stored(_summary(docs, words), "summary")
     summary = gathered.where("n >= 0").drop("cells")
     classes = summary.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     member = summary.join(classes, ["h1", "h2", "n"], "left")
-    largest = summary.agg(F.max("n")).first()[0] or 0
+    largest, shingles = summary.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     labels = None
     if largest:
         sizes = bands(largest, num, den)
@@ -217,27 +253,22 @@ def jaccard_components(
         popularity = docs.sparkSession.sparkContext.broadcast(
             counters.merged(gathered.where("n < 0").select((-1 - F.col("n")).alias("block"), "cells"))
         )
-        index = _index(docs.where("id is not null"), words, sizes, plan, popularity, num, den)
-        group = Window.partitionBy("sig").orderBy("id")
-        shared = index.repartition("sig").withColumn("before", F.lag("id").over(group)).withColumn("after", F.lead("id").over(group))
-        shared = shared.where("before is not null or after is not null").select("sig", "id", "code")
-        shared = stored(shared, "shared")
-        reps = stored(member.where("rep is not null").select("id", "rep").distinct(), "reps")
-        rows = shared.join(small(reps, 24), "id").select("sig", F.col("rep").alias("node"), "code").distinct()
-        rows = stored(rows, "rows")
-        wanted = stored(rows.select(F.col("node").alias("id")).distinct(), "wanted")
-        sets = stored(_sets(docs.join(small(wanted, 16), "id", "left_semi"), words, popularity).dropDuplicates(), "sets")
-
-        def may_pair(c, d):
-            n, m = F.shiftright(c, 1), F.shiftright(d, 1)
-            return ((c.bitwiseAND(1) == 0) | (d.bitwiseAND(1) == 0)) & (F.least(n, m) * den >= F.greatest(n, m) * num)
-
-        scores = sets.groupBy(F.col("id").alias("node")).agg(F.max("score").alias("score"))
-
-        def compare(pairs: DataFrame) -> DataFrame:
-            return compared(pairs, sets, packed_sets, popularity, num, den)
-
-        labels = link_groups(rows, scores, compare, num, den, may_pair)
+        named = docs.where("id is not null")
+        index = _index(named, words, sizes, plan, popularity, num, den, packed.buckets(shingles // 2))
+        pairs = stored(_meetings(index).groupBy("x", "p").agg(F.max("star").alias("star")), "pairs")
+        reps = member.where("rep is not null").select("id", "rep").distinct()
+        others = stored(reps.where("id <> rep"), "copies")
+        others = small(others, 24)
+        for c in ("x", "p"):
+            as_rep = others.select(F.col("id").alias(c), F.col("rep").alias("__rep"))
+            pairs = pairs.join(as_rep, c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
+        pairs = stored(pairs.where("x <> p").groupBy("x", "p").agg(F.max("star").alias("star")), "pairs")
+        wanted = stored(pairs.select(F.explode(F.array("x", "p")).alias("id")).distinct(), "wanted")
+        sets = _sets(named.join(small(wanted, 16), "id", "left_semi"), words)
+        if not summary.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+            sets = sets.dropDuplicates()  # else a row that repeats would be compared as often
+        sets = stored(sets, "sets")
+        labels = link(pairs, sets, packed_sets, popularity, num, den)
     if labels is None:
         out = member.withColumn("component", F.lit(None).cast("bigint"))
     else:
