@@ -1,32 +1,33 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is the sequence of its lower-cased (A-Z) bytes and an end symbol. Each
-symbol is a path of binary decisions in a code tree chosen by the symbol before
-it. Several hashed contexts (the tree node alone, two and four bytes, the word's
-beginning, the word's beginning with the word before) each predict every decision
-from the counts that the training corpus left in a table; the predictions are
-mixed in the logistic domain with weights that a gate selects, and an adaptive
-probability map refines the result. The sum over all decisions is the text's code
-length, and so its probability.
-
-The tables are counted over the whole training corpus: each task adds up its
-share and sends the cells that it touched, keyed by blocks of the table; their size is
-fixed, so the merged tables can be broadcast. Trees come from the pairs of
-symbols of all training rows. Mixing weights and the map are learned online from
-all training rows, each predicted by the counts of the other half of the corpus
-(halves by a hash of the id), so that the weights fit unseen text; each task
-learns from its own rows, and the tasks' results are averaged by how often each
-weight was used. Scoring takes the counts of both halves and changes nothing:
-given a model, a text's score doesn't depend on how texts are dealt to tasks. The
-weights depend a little on how the training rows are dealt.
-
-Cases: a null or empty text is the end alone; without training rows the model is
-uniform over the trees; repeated rows get equal scores.
+A text (A-Z lower-cased) is a sequence of words and of the white space before each,
+closed by an end. Each is a path of binary decisions in a code tree: frequent words
+(met twice at least) and separators have a leaf, others take an escape and are spelled byte
+by byte in a third tree. Every decision is predicted several times, from the counts that hashed contexts
+left in tables: the tree node alone, and the node with the one, two and three words before
+(for bytes: with two, three and five bytes before). The predictions are mixed in the logistic domain with weights that a gate selects, and an
+adaptive probability map refines the result. The sum over all decisions is the
+text's code length, and so its probability.
+
+Trees and tables come from the whole training corpus. Each task goes through its rows
+once: it predicts a block of texts from what it has counted so far, learns weights and
+map online from the outcome, and counts the block; a word with a leaf is spelled too when a
+task meets it first, since new words are spelled like those. Tasks send the cells that they
+touched, keyed by blocks of the table, and the counts are summed; weights and map are
+averaged by how often each was used. A task takes ``TASK_BYTES`` of text, so what
+is gathered grows with the corpus; each table has as many cells as there are training bytes,
+rounded up to a power of two, and at most ``2 ** TABLE_BITS``, so the merged
+tables can be broadcast. Beyond that size unrelated contexts share cells. Scoring
+changes nothing: given a model, a text's score doesn't depend on how texts are dealt to
+tasks. The weights depend a little on how the training rows are dealt.
+
+Cases: a null or empty text is the end alone; without training rows every decision
+is even; repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,116 +40,255 @@ from . import textops as T
 from .labelled import held_out
 from .scratch import stored
 
-#: Parts of the training rows; weights are learned on each from the counts of the others.
-HALVES = 2
-#: Words whose counts are broadcast; the others' are joined.
-HEAD_WORDS = 1 << 17
-SYMBOLS, END = 257, 256
-#: log2 of each context's table size.
-TABLE_BITS = (17, 20, 22, 22, 22)
-TABLE_START = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
-BLOCK_BITS = 16
-#: Text bytes whose decisions are held at once.
-STEP_BYTES = 1 << 18
+#: Words and separators with a leaf of their own.
+HEAD_WORDS, HEAD_BLANKS = 1 << 17, 1 << 8
+#: log2 of the largest table of a context, contexts besides the node alone, and cells that travel together (log2).
+TABLE_BITS, CONTEXTS, BLOCK_BITS = 23, 3, 16
+#: Text bytes whose decisions are held at once, and those of a counting task.
+STEP_BYTES, TASK_BYTES = 1 << 18, 80 << 20
 PRIOR, SCALE = 0.4, 16.0
-GATES, DEPTHS, STAGES = 27, 8, 33
-END_WORD = 0x6A09E667F3BCC908
+#: Kinds of symbols: white space, words, bytes of rare ones.
+KINDS = BLANKS, WORDS, BYTES = 0, 1, 2
+DEPTHS, STAGES, LEVELS = 8, 33, 27
+END_WORD, END_BYTE = 0x6A09E667F3BCC908, 256
+
+_LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+
+
+def tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(start, length, node, bit, nodes): each leaf's path in the Huffman tree of the weights; the root has the last number."""
+    order = np.argsort(weight, kind="stable").tolist()
+    n = len(order)
+    parent, side = [0] * (2 * n - 1), [0] * (2 * n - 1)
+    leaves, made = deque((float(weight[i]), i) for i in order), deque()
+    for number in range(n, 2 * n - 1):
+        total = 0.0
+        for s in (0, 1):
+            source = leaves if leaves and (not made or leaves[0][0] <= made[0][0]) else made
+            w, i = source.popleft()
+            parent[i], side[i] = number, s
+            total += w
+        made.append((total, number))
+    depth = np.zeros(2 * n - 1, np.int64)
+    parent, side = np.array(parent, np.int64), np.array(side, np.int8)
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    length = depth[:n]
+    start = np.cumsum(length) - length
+    node, bit = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.int8)
+    at, place = np.arange(n), start + length - 1
+    while len(at):
+        going = at != 2 * n - 2
+        at, place = at[going], place[going]
+        node[place], bit[place] = parent[at] - n, side[at]
+        at, place = parent[at], place - 1
+    return start, length, node, bit, n - 1
 
 
 @dataclass
-class Trees:
-    """For (symbol before) * SYMBOLS + symbol: where its path starts in ``node`` and ``bit``, and its length."""
-
+class Code:
+    """The three trees, their leaves one after another: separators and escape, words and escape, bytes and end."""
+
+    blanks: np.ndarray  # sorted hashes
+    words: np.ndarray
+    word_counts: np.ndarray
+    word_leaf: np.ndarray  # among those of the words; the escape for words that were met once
+    first: tuple[int, int, int]  # leaf
     start: np.ndarray
     length: np.ndarray
     node: np.ndarray
     bit: np.ndarray
+    nodes: int
 
+    @classmethod
+    def build(cls, blanks, blank_counts, blank_escape, words, word_counts, word_escape, byte_counts) -> Code:
+        twice = (word_counts > 1) | (words == np.uint64(END_WORD))
+        leaf = np.where(twice, np.cumsum(twice) - 1, twice.sum())
+        parts = [np.append(blank_counts, blank_escape), np.append(word_counts[twice], word_escape), byte_counts + 0.5]
+        start, length, node, bit, nodes, used = [], [], [], [], 0, 0
+        for weight in parts:
+            s, n, v, b, k = tree(weight)
+            start.append(s + used)
+            length.append(n)
+            node.append(v + nodes)
+            bit.append(b)
+            nodes, used = nodes + k, used + len(v)
+        first = (0, len(parts[0]), len(parts[0]) + len(parts[1]))
+        return cls(blanks, words, word_counts, leaf, first, *map(np.concatenate, (start, length, node, bit)), nodes)
 
-def build_trees(pairs: np.ndarray) -> Trees:
-    """A Huffman tree for each symbol before, from counts of pairs (SYMBOLS x SYMBOLS)."""
-    start, length, node, bit = [], [], [], []
-    overall = pairs.sum(0) + 0.05
-    for before in range(SYMBOLS):
-        weight = pairs[before] + overall * (0.5 / overall.sum())
-        heap = [(w, i) for i, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent, made = {}, SYMBOLS
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i], parent[j] = (made, 0), (made, 1)
-            heapq.heappush(heap, (a + b, made))
-            made += 1
-        for symbol in range(SYMBOLS):
-            path, at = [], symbol
-            while at in parent:
-                at, side = parent[at]
-                path.append((before * SYMBOLS + made - 1 - at, side))
-            start.append(len(node))
-            length.append(len(path))
-            node += [n for n, _ in reversed(path)]
-            bit += [s for _, s in reversed(path)]
-    return Trees(np.array(start), np.array(length), np.array(node, np.int64), np.array(bit, np.int64))
-
-
-def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, before, offsets): all texts' bytes with an end after each, and the symbol before each in its text."""
+    @staticmethod
+    def _find(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(known, key)
+        return at, known[np.minimum(at, len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+
+    def blank_leaves(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, whether it is the escape) of hashed separators."""
+        at, has = self._find(self.blanks, key)
+        return np.where(has, at, len(self.blanks)), ~has
+
+    def word_leaves(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of hashed words."""
+        at, has = self._find(self.words, key)
+        escape = self.first[BYTES] - self.first[WORDS] - 1
+        leaf = np.where(has, np.append(self.word_leaf, 0)[np.where(has, at, 0)], escape)
+        return leaf + self.first[WORDS], leaf == escape
+
+    def counts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether it is known) of hashed words among the most frequent ones."""
+        at, has = self._find(self.words, key)
+        return np.append(self.word_counts, 0)[np.where(has, at, 0)], has
+
+
+class Met:
+    """Words that a task has met of late, in a table of fixed size."""
+
+    def __init__(self, bits: int = 18):
+        self.table, self.shift = np.zeros(1 << bits, np.uint64), np.uint64(64 - bits)
+
+    def new(self, key: np.ndarray) -> np.ndarray:
+        """Whether each word isn't in the table, once a word; all are put in."""
+        value, first = np.unique(key, return_index=True)
+        place = (value >> self.shift).astype(np.int64)
+        fresh = np.zeros(len(key), bool)
+        fresh[first[self.table[place] != value]] = True
+        self.table[place] = value
+        return fresh
+
+
+def _tokens(texts: pa.Array):
+    """(data, hash, start, end, blank's start, row, place in its text) of all words and of an end a text."""
     data, offsets = T.utf8(texts)
-    symbol = np.insert(T.LOWER[data].astype(np.int64), offsets[1:], END)
-    offsets = offsets + np.arange(len(offsets))
-    before = np.empty_like(symbol)
-    before[1:] = symbol[:-1]
-    before[offsets[:-1]] = END
-    return symbol, before, offsets
-
-
-def contexts(symbol: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(contexts - 1) x symbols: the hashed context of each symbol, from those before it in its text."""
-    n = len(symbol)
-    at = np.arange(n)
-    begin = np.repeat(offsets[:-1], np.diff(offsets))
-    padded = np.concatenate([np.zeros(4, np.uint64), symbol.astype(np.uint64) + np.uint64(1)])
-    back = [np.where(at - k >= begin, padded[4 - k : 4 - k + n], 0) for k in (1, 2, 3, 4)]
-    two = T.mix(back[0] | back[1] << np.uint64(10))
-    four = T.mix(back[0] | back[1] << np.uint64(10) | back[2] << np.uint64(20) | back[3] << np.uint64(30) | np.uint64(1 << 60))
-    blank = np.concatenate([T.BLANK, [True]])[symbol]
-    # a word's beginning: the sum over its bytes so far of value * base ** position, moved back to the word's start
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(T.mix(symbol.astype(np.uint64) + np.uint64(77)) * T._power_table(T._BASE, n), out=total[1:])
-    new = np.zeros(n, bool)
-    new[1:] = blank[:-1]
-    new[offsets[:-1]] = True
-    word_start = np.maximum.accumulate(np.where(new, at, 0))
-    prefix = T.mix((total[:-1] - total[word_start]) * T._power_table(T._BASE_INVERSE, n + 1)[word_start] + np.uint64(3))
-    starts = np.flatnonzero(new)
-    which = np.cumsum(new) - 1
-    stop = np.append(starts[1:], n)
-    whole = T.mix((total[stop] - total[starts]) * T._power_table(T._BASE_INVERSE, n + 1)[starts])
-    previous = np.concatenate([[np.uint64(0)], whole[:-1]])
-    previous[np.searchsorted(starts, offsets[:-1])] = 0
-    return np.stack([two, four, prefix, T.mix(prefix ^ T.mix(previous[which] + np.uint64(9)))])
-
-
-def decisions(trees: Trees, symbol: np.ndarray, before: np.ndarray, offsets: np.ndarray):
-    """(symbol number, depth, bit, slots) of all decisions; slots: their cells in the tables, contexts x decisions."""
-    key = before * SYMBOLS + symbol
-    length = trees.length[key]
-    of = np.repeat(np.arange(len(symbol)), length)
+    data = T.LOWER[data]
+    starts, ends, first = T.spans(data, offsets, T.BLANK)
+    n = len(texts)
+    own = np.arange(len(starts)) + T.row_of(first)
+    last = first[1:] + np.arange(n)
+    begin = first[:-1] + np.arange(n)
+    total = len(starts) + n
+    token, start, end = np.empty(total, np.uint64), np.empty(total, np.int64), np.empty(total, np.int64)
+    token[own], start[own], end[own] = T.hashes(data, starts, ends), starts, ends
+    token[last], start[last], end[last] = np.uint64(END_WORD), offsets[1:], offsets[1:]
+    blank = np.empty(total, np.int64)
+    blank[1:] = end[:-1]
+    blank[begin] = offsets[:-1]
+    row = np.repeat(np.arange(n), np.diff(first) + 1)
+    return data, token, start, end, blank, row, np.arange(total) - begin[row]
+
+
+def _joined(*parts: np.ndarray) -> np.ndarray:
+    out = np.full(len(parts[0]), len(parts), np.uint64)
+    for part in parts:
+        out = T.mix(out * T._ODD + part)
+    return out
+
+
+def symbols(code: Code, texts: pa.Array, met: Met | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, kind, row, contexts x symbols) of all symbols, kind by kind; words that ``met`` hasn't are spelled too."""
+    data, token, start, end, blank, row, place = _tokens(texts)
+    padded = np.concatenate([np.zeros(3, np.uint64), token])
+    back = [np.where(place >= k, padded[3 - k : 3 - k + len(token)], 0).astype(np.uint64) for k in (1, 2, 3)]
+    space = T.hashes(data, blank, start)
+    before = np.where(place >= 1, np.concatenate([[np.uint64(0)], space[:-1]]), 0).astype(np.uint64)
+    one, two, three = _joined(back[0]), _joined(back[0], back[1]), _joined(*back)
+    blank_leaf, rare_blank = code.blank_leaves(space)
+    word_leaf, spelled = code.word_leaves(token)
+    if met:
+        spelled = spelled | (met.new(token) & (end > start))
+    # the bytes of what has no leaf, and an end of each
+    a, b = np.concatenate([blank[rare_blank], start[spelled]]), np.concatenate([start[rare_blank], end[spelled]])
+    size = b - a + 1
+    of = np.repeat(np.arange(len(a)), size)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    at = a[of] + within
+    byte = np.where(at < b[of], np.append(data, 0)[np.minimum(at, len(data))], END_BYTE).astype(np.int64)
+    last = [np.where(within >= k, np.roll(byte, k) + 1, 0).astype(np.uint64) for k in (1, 2, 3, 4, 5)]
+    byte_row = np.concatenate([row[rare_blank], row[spelled]])[of]
+    context = np.concatenate(
+        [
+            np.stack([one, two, _joined(back[0], before)]),
+            np.stack([one, two, three]),
+            np.stack([_joined(*last[:k]) for k in (2, 3, 5)]),
+        ],
+        axis=1,
+    )
+    kind = np.repeat(KINDS, [len(token), len(token), len(of)])
+    leaf = np.concatenate([blank_leaf, word_leaf, byte + code.first[BYTES]])
+    return leaf, kind, np.concatenate([row, row, byte_row]), context
+
+
+def decisions(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
+    """(symbol number, depth, outcome, node, slots) of all decisions; slots: the cells of the contexts, contexts x decisions."""
+    length = code.length[leaf]
+    of = np.repeat(np.arange(len(leaf)), length)
     depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-    path = np.repeat(trees.start[key], length) + depth
-    node, bit = trees.node[path], trees.bit[path]
+    path = code.start[leaf][of] + depth
+    node, bit = code.node[path].astype(np.int64), code.bit[path]
     spread = node.astype(np.uint64) * T._ODD
-    slots = np.empty((len(TABLE_BITS), len(of)), np.int64)
-    slots[0] = node
-    for k, own in enumerate(contexts(symbol, offsets), 1):
-        hashed = (own[of] + spread) * np.uint64(T._BASE)
-        slots[k] = (hashed >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + TABLE_START[k]
-    return of, depth, bit, slots
+    slots = np.empty((CONTEXTS, len(of)), np.int64)
+    for k in range(CONTEXTS):
+        hashed = (context[k][of] + spread) * np.uint64(T._BASE)
+        slots[k] = (hashed >> np.uint64(64 - bits)).astype(np.int64) + (k << bits)
+    return of, np.minimum(depth, DEPTHS - 1), bit, node, slots
+
+
+def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """SCALE times the log odds of cells with such counts, in a byte."""
+    return np.clip(np.rint((np.log(ones + PRIOR) - np.log(zeros + PRIOR)) * SCALE), -127, 127).astype(np.int8)
+
+
+class Counts:
+    """A task's counts of outcomes: by node, and by cell in 16 bits (both of a cell are halved when one is full)."""
+
+    def __init__(self, code: Code, bits: int):
+        self.node = np.zeros((code.nodes, 2), np.int64)
+        self.cell = np.zeros((CONTEXTS << bits, 2), np.uint16)
+
+    def read(self, node: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """(contexts + 1) x decisions, as :func:`odds`."""
+        out = np.empty((CONTEXTS + 1, len(node)), np.int8)
+        out[0] = odds(self.node[:, 0], self.node[:, 1])[node]
+        for k in range(CONTEXTS):
+            pair = self.cell[slots[k]]
+            out[k + 1] = np.clip(np.rint((_LOGS[pair[:, 1]] - _LOGS[pair[:, 0]]) * np.float32(SCALE)), -127, 127)
+        return out
+
+    def add(self, node: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> None:
+        self.node += np.bincount(node * 2 + bit, minlength=self.node.size).reshape(-1, 2)
+        flat = self.cell.reshape(-1)
+        for k in range(CONTEXTS):
+            key = np.sort((slots[k] * 2 + bit).astype(np.uint32))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            place, total = key[first], np.diff(np.append(first, len(key)))
+            new = flat[place] + total
+            full = np.flatnonzero(new > 65535)
+            flat[place] = np.minimum(new, 65535)
+            for i in full.tolist():
+                pair = flat[place[i] & ~np.uint32(1) : (place[i] | np.uint32(1)) + 1]
+                pair >>= 1
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """(block, touched cells) of the nodes (from block 0 on) and then of the contexts' cells; :func:`_cells` reads them."""
+        size, base = 1 << BLOCK_BITS, 0
+        for table in (self.node, self.cell):
+            for a in range(0, len(table), size):
+                own = table[a : a + size]
+                touched = np.flatnonzero(own.any(axis=1))
+                if len(touched):
+                    parts = (touched.astype("<u2"), *(own[touched].astype("<u4").T.copy()))
+                    # byte by byte, as the high ones are mostly 0
+                    yield base + a // size, b"".join(x.view(np.uint8).reshape(len(touched), -1).T.tobytes() for x in parts)
+            base += -(-len(table) // size)
+
+
+def _cells(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(packed, np.uint8).reshape(10, -1)
+    read = lambda rows, kind: np.ascontiguousarray(planes[rows].T).view(kind).reshape(-1)
+    return read(slice(0, 2), "<u2"), np.stack([read(slice(2, 6), "<u4"), read(slice(6, 10), "<u4")], axis=1)
 
 
 @dataclass
 class Mixer:
-    """Weights by gate and by depth, and the adaptive map by (symbol before, stage)."""
+    """Weights by gate and by depth, and the adaptive map by (kind and depth, stage)."""
 
     by_gate: np.ndarray
     by_depth: np.ndarray
@@ -156,19 +296,18 @@ class Mixer:
 
     @classmethod
     def new(cls) -> Mixer:
-        k = len(TABLE_BITS)
         stage = 1 / (1 + np.exp(-np.linspace(-8, 8, STAGES)))
-        return cls(np.full((GATES, k), 0.25), np.full((DEPTHS, k), 0.1), np.tile(stage, (SYMBOLS, 1)))
+        start = np.array([0.5, 0.2, 0.2, 0.2])
+        return cls(np.tile(start, (len(KINDS) * LEVELS, 1)), np.zeros((len(KINDS) * DEPTHS, CONTEXTS + 1)), np.tile(stage, (len(KINDS) * DEPTHS, 1)))
 
-    def _mixed(self, table, depth, slots):
-        raw = table[slots]
-        size = np.abs(raw[2:].astype(np.int16))
+    def _mixed(self, raw, kind, depth):
+        size = np.abs(raw[1:].astype(np.int16))
         level = (size > 0).astype(np.int64) + (size > 32)
-        gate = level[0] * 9 + level[1] * 3 + level[2]
-        depth = np.minimum(depth, DEPTHS - 1)
+        gate = kind * LEVELS + level[0] * 9 + level[1] * 3 + level[2]
+        deep = kind * DEPTHS + depth
         s = raw.astype(np.float32) / np.float32(SCALE)
-        weight = self.by_gate[gate].astype(np.float32) + self.by_depth[depth].astype(np.float32)
-        return gate, depth, s, np.einsum("kn,nk->n", s, weight)
+        weight = self.by_gate.astype(np.float32)[gate] + self.by_depth.astype(np.float32)[deep]
+        return gate, deep, s, np.einsum("kn,nk->n", s, weight)
 
     @staticmethod
     def _stage(z):
@@ -176,45 +315,38 @@ class Mixer:
         low = place.astype(np.int64)
         return low, place - low
 
-    def _final(self, z, before):
-        p = 1 / (1 + np.exp(-z))
+    def chance(self, raw, kind, depth) -> np.ndarray:
+        """The probability of outcome 1 of each decision."""
+        _, deep, _, z = self._mixed(raw, kind, depth)
         low, part = self._stage(z)
-        refined = self.refined[before, low] * (1 - part) + self.refined[before, low + 1] * part
-        return np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-
-    def bits(self, table, trees: Trees, symbol, before, offsets) -> np.ndarray:
-        """Code length in bits of each symbol."""
-        of, depth, bit, slots = decisions(trees, symbol, before, offsets)
-        _, _, _, z = self._mixed(table, depth, slots)
-        p = self._final(z, before[of])
-        return np.bincount(of, -np.log2(np.where(bit == 1, p, 1 - p)), len(symbol))
+        refined = self.refined[deep, low] * (1 - part) + self.refined[deep, low + 1] * part
+        return np.clip((1 / (1 + np.exp(-z.astype(np.float64))) + refined) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, table, trees: Trees, symbol, before, offsets, batch: int = 4096, rate: float = 0.05) -> None:
+    def learn(self, raw, kind, depth, bit, rate: float = 0.05) -> None:
         """Online updates of weights (AdaGrad on coding cost) and map, in order, a small batch at a time."""
-        of, depth, bit, slots = decisions(trees, symbol, before, offsets)
-        square = getattr(self, "_square", None) or (np.full_like(self.by_gate, 1.0), np.full_like(self.by_depth, 1.0))
-        self._square = square
-        used = self.used = getattr(self, "used", None) or [np.zeros(GATES), np.zeros(DEPTHS), np.zeros(SYMBOLS * STAGES)]
-        for a in range(0, len(of), batch):
-            own = slice(a, a + batch)
-            gate, deep, s, z = self._mixed(table, depth[own], slots[:, own])
+        if not hasattr(self, "square"):
+            self.square = [np.full_like(self.by_gate, 1.0), np.full_like(self.by_depth, 1.0)]
+            self.used = [np.zeros(len(self.by_gate)), np.zeros(len(self.by_depth)), np.zeros(self.refined.size)]
+            self.steps = 0
+        a = 0
+        while a < len(bit):
+            own = slice(a, a + (2048 if self.steps < 64 else 16384))
+            a, self.steps = own.stop, self.steps + 1
+            gate, deep, s, z = self._mixed(raw[:, own], kind[own], depth[own])
             error = bit[own] - 1 / (1 + np.exp(-z))
-            used[0] += np.bincount(gate, minlength=GATES)
-            used[1] += np.bincount(deep, minlength=DEPTHS)
-            for weights, seen, which in ((self.by_gate, square[0], gate), (self.by_depth, square[1], deep)):
+            for weights, seen, which, used in zip((self.by_gate, self.by_depth), self.square, (gate, deep), self.used):
+                used += np.bincount(which, minlength=len(used))
                 gradient = np.stack([np.bincount(which, error * x, len(weights)) for x in s], axis=1)
                 seen += gradient**2
                 weights += rate * gradient / np.sqrt(seen)
             low, part = self._stage(z)
-            near = low + (part > 0.5)
-            cell = before[of[own]] * STAGES + near
-            count = np.bincount(cell, minlength=SYMBOLS * STAGES)
-            ones = np.bincount(cell, bit[own], SYMBOLS * STAGES)
-            used[2] += count
+            cell = deep * STAGES + low + (part > 0.5)
+            count = np.bincount(cell, minlength=self.refined.size)
+            ones = np.bincount(cell, bit[own], self.refined.size)
+            self.used[2] += count
             hit = np.flatnonzero(count)
             flat = self.refined.reshape(-1)
-            step = 1 - 0.98 ** count[hit]
-            flat[hit] += step * (ones[hit] / count[hit] - flat[hit])
+            flat[hit] += (1 - 0.98 ** count[hit]) * (ones[hit] / count[hit] - flat[hit])
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights and map with a row for each count in ``used``."""
@@ -223,170 +355,160 @@ class Mixer:
 
 @dataclass
 class Model:
-    trees: Trees
-    table: np.ndarray  # int8: SCALE times the log odds of each cell
+    code: Code
+    bits: int
+    nodes: np.ndarray  # int8: SCALE times the log odds
+    table: np.ndarray
     mixer: Mixer
-    head: np.ndarray  # sorted word hashes
-    head_counts: np.ndarray
     train_tokens: int
     distinct: int
 
     def code_length(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text."""
-        symbol, before, offsets = symbols(texts)
-        bits = self.mixer.bits(self.table, self.trees, symbol, before, offsets)
-        return np.add.reduceat(bits, offsets[:-1]) if len(bits) else np.zeros(0)
+        leaf, kind, row, context = symbols(self.code, texts)
+        of, depth, bit, node, slots = decisions(self.code, self.bits, leaf, context)
+        raw = np.concatenate([self.nodes[node][None], self.table[slots]])
+        p = self.mixer.chance(raw, kind[of], depth)
+        return np.bincount(row[of], -np.log2(np.where(bit == 1, p, 1 - p)), len(texts))
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word hash, row) of all tokens: the words and one end a text."""
-    word, first = T.words(texts, T.BLANK)
-    n = len(texts)
-    return np.concatenate([word, np.full(n, END_WORD, np.uint64)]), np.concatenate([T.row_of(first), np.arange(n)])
-
+def _gathered(docs: DataFrame) -> DataFrame:
+    """(kind, key, n): counts of separators, words and bytes by hash or value; kind 3 has the bytes of text."""
 
-def _halves(docs: DataFrame) -> DataFrame:
-    """The rows with their ``half``; rows that share an id share it, and it doesn't follow from ``held_out``."""
-    return docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(HALVES)).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list] = [[], []]
+        byte_counts, size = np.zeros(257, np.int64), 0
 
+        def folded(k: int) -> tuple[np.ndarray, np.ndarray]:
+            value, which = np.unique(np.concatenate([v for v, _ in found[k]]), return_inverse=True)
+            total = np.bincount(which, np.concatenate([n for _, n in found[k]]), len(value)).astype(np.int64)
+            found[k] = [(value, total)]
+            return value, total
 
-def _pairs(docs: DataFrame) -> np.ndarray:
-    """SYMBOLS x SYMBOLS: how often each symbol follows each, over all rows."""
+        def out(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(key), 1 << 16):
+                part = key[a : a + (1 << 16)]
+                yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), T.array(part), pa.array(n[a : a + (1 << 16)])], ["kind", "key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in T.blocks(batches, "text"):
-            symbol, before, _ = symbols(batch.column("text"))
-            total += np.bincount(before * SYMBOLS + symbol, minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(hit), pa.array(total[hit])], ["key", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(SYMBOLS * SYMBOLS)
-    pairs[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
-    return pairs.reshape(SYMBOLS, SYMBOLS)
+            data, token, start, end, blank, _, _ = _tokens(batch.column("text"))
+            for k, hashed in enumerate((T.hashes(data, blank, start), token)):
+                found[k].append(np.unique(hashed, return_counts=True))
+                if len(found[k]) > 16:
+                    folded(k)
+                    if len(found[k][0][0]) > 1 << 20:  # what a task holds stays small; Spark adds up
+                        yield from out(k, *found[k].pop())
+            byte_counts[:256] += np.bincount(data, minlength=256)
+            byte_counts[256] += len(token)
+            size += len(data)
+        for k in (BLANKS, WORDS):
+            if found[k]:
+                yield from out(k, *folded(k))
+        yield from out(BYTES, np.arange(257, dtype=np.uint64), byte_counts)
+        yield from out(3, np.zeros(1, np.uint64), np.array([size]))
+
+    return docs.mapInArrow(run, "kind int, key bigint, n bigint")
+
+
+def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted hashes, counts) of the ``limit`` most frequent ones, and the weight of all others and unseen ones."""
+    total, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    head = counts.orderBy(F.desc("n"), "key").limit(limit).toArrow()
+    key = head.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    n = head.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order], float(total - n.sum() + once + 1)
 
 
-def _gathered(docs: DataFrame, trees: Trees) -> DataFrame:
-    """(kind, key, n, cells): word counts (kind 0; key: the hash) and touched cells by table block (kind 1; a cell for each half) of each task."""
+def _learned(docs: DataFrame, code: Code, bits: int) -> DataFrame:
+    """(part, key, used, sums, cells) of each task: weights and map entries (part 0 to 2), and touched cells by block (part 3)."""
+    shared = docs.sparkSession.sparkContext.broadcast(code)
+    names = ["part", "key", "used", "sums", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * HALVES * TABLE_START[-1], np.uint32)
-        words, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-        def fold() -> None:
-            value, which = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(which, np.concatenate(times), len(value)).astype(np.int64)
-            words[:], times[:] = [value], [total]
-
+        own, mixer, met, counts = shared.value, Mixer.new(), Met(), None
         for batch in T.blocks(batches, "text", STEP_BYTES):
-            word, _ = _tokens(batch.column("text"))
-            value, n = np.unique(word, return_counts=True)
-            words.append(value)
-            times.append(n)
-            if len(words) > 32:
-                fold()
-            symbol, before, offsets = symbols(batch.column("text"))
-            of, _, bit, slots = decisions(trees, symbol, before, offsets)
-            half = np.repeat(batch.column("half").to_numpy(), np.diff(offsets))[of]
-            np.add.at(counts, ((slots * 2 + bit) * HALVES + half).reshape(-1), 1)
-        fold()
-        for a in range(0, len(words[0]), 1 << 16):
-            part = words[0][a : a + (1 << 16)]
-            k = len(part)
+            for part in [batch] if counts else T.blocks([batch], "text", STEP_BYTES // 64):
+                counts = counts or Counts(own, bits)
+                leaf, kind, _, context = symbols(own, part.column("text"), met)
+                of, depth, bit, node, slots = decisions(own, bits, leaf, context)
+                mixer.learn(counts.read(node, slots), kind[of], depth, bit)
+                counts.add(node, bit, slots)
+        if counts is None:
+            return
+        for k, (values, used) in enumerate(zip(mixer.parts(), mixer.used)):
+            hit = np.flatnonzero(used)
+            sums = pa.FixedSizeListArray.from_arrays(pa.array((values[hit] * used[hit, None]).reshape(-1)), values.shape[1])
+            n = len(hit)
             yield pa.record_batch(
-                [pa.array(np.zeros(k, np.int32)), T.array(part), pa.array(times[0][a : a + (1 << 16)]), pa.nulls(k, pa.binary())],
-                ["kind", "key", "n", "cells"],
+                [pa.array(np.full(n, k, np.int32)), pa.array(hit), pa.array(used[hit]), sums.cast(pa.list_(pa.float64())), pa.nulls(n, pa.binary())], names
             )
-        touched = np.flatnonzero(counts)
-        size = 2 * HALVES << BLOCK_BITS
-        block = touched // size
-        for b in np.unique(block).tolist():
-            own = touched[block == b] if len(touched) < 1000 else touched[slice(*np.searchsorted(block, [b, b + 1]))]
-            cells = np.stack([(own - b * size).astype("<u4"), counts[own].astype("<u4")]).tobytes()
+        for block, cells in counts.blocks():
             yield pa.record_batch(
-                [pa.array([1], pa.int32()), pa.array([b]), pa.array([len(own)]), pa.array([cells], pa.binary())], ["kind", "key", "n", "cells"]
+                [pa.array([3], pa.int32()), pa.array([block], pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([cells], pa.binary())],
+                names,
             )
 
-    return docs.mapInArrow(run, "kind int, key bigint, n bigint, cells binary")
+    return docs.mapInArrow(run, "part int, key bigint, used double, sums array<double>, cells binary")
 
 
-def _merged(gathered: DataFrame) -> np.ndarray:
-    """HALVES + 1 tables of log odds: of all rows but each half's, and of all rows. As many bytes come to the driver."""
+def _merged(cells: DataFrame, n_nodes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log odds of all nodes and cells, from the tasks' blocks (key, cells). As many bytes come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(block: int, total: np.ndarray) -> pa.RecordBatch:
-            each = total.reshape(-1, 2, HALVES)
-            whole = each.sum(2, keepdims=True)
-            each = np.concatenate([whole - each, whole], axis=2) + PRIOR
-            odds = np.log(each[:, 1] / each[:, 0]).T
-            value = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
+            value = odds(total[:, 0], total[:, 1])
             return pa.record_batch([pa.array([block], pa.int64()), pa.array([value.tobytes()], pa.binary())], ["key", "cells"])
 
         block, total = None, None
         for batch in batches:
-            for key, cells in zip(batch.column("key").to_pylist(), batch.column("cells")):
+            for key, packed in zip(batch.column("key").to_pylist(), batch.column("cells")):
                 if key != block:
                     if block is not None:
                         yield done(block, total)
-                    block, total = key, np.zeros(2 * HALVES << BLOCK_BITS)
-                place, count = np.frombuffer(cells.as_buffer(), "<u4").reshape(2, -1)
+                    block, total = key, np.zeros((1 << BLOCK_BITS, 2), np.int64)
+                place, count = _cells(packed.as_buffer())
                 total[place] += count
         if block is not None:
             yield done(block, total)
 
-    table = np.zeros((HALVES + 1, -(-TABLE_START[-1] >> BLOCK_BITS << BLOCK_BITS) + (1 << BLOCK_BITS)), np.int8)
-    blocks = gathered.where("kind = 1").select("key", "cells").repartition("key").sortWithinPartitions("key")
+    size = 1 << BLOCK_BITS
+    n_blocks = -(-n_nodes // size)
+    nodes, table = np.zeros(n_blocks * size, np.int8), np.zeros(max(CONTEXTS << bits, size), np.int8)
+    blocks = cells.repartition("key").sortWithinPartitions("key")
     for row in blocks.mapInArrow(run, "key bigint, cells binary").toLocalIterator():
-        own = np.frombuffer(bytes(row["cells"]), np.int8).reshape(HALVES + 1, -1)
-        table[:, row["key"] << BLOCK_BITS : (row["key"] + 1) << BLOCK_BITS] = own
-    return table
+        target, at = (nodes, row["key"]) if row["key"] < n_blocks else (table, row["key"] - n_blocks)
+        target[at * size : (at + 1) * size] = np.frombuffer(bytes(row["cells"]), np.int8)[: len(target) - at * size]
+    return nodes[:n_nodes], table
 
 
-def _learned(docs: DataFrame, trees: Trees, table: np.ndarray) -> Mixer:
-    """Weights and map from all rows: each task learns from its own, and each entry is averaged by its uses."""
-    shared = docs.sparkSession.sparkContext.broadcast((trees, table[:HALVES]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_trees, without = shared.value
-        mixer = Mixer.new()
-        for batch in T.blocks(batches, "text", STEP_BYTES):
-            half = batch.column("half").to_numpy()
-            for k in np.unique(half).tolist():
-                texts = batch.filter(pa.array(half == k)).column("text")
-                mixer.learn(without[k], own_trees, *symbols(texts))
-        for k, (values, used) in enumerate(zip(mixer.parts(), getattr(mixer, "used", ()))):
-            hit = np.flatnonzero(used)
-            sums = pa.FixedSizeListArray.from_arrays(pa.array((values[hit] * used[hit, None]).reshape(-1)), values.shape[1])
-            yield pa.record_batch(
-                [pa.array(np.full(len(hit), k, np.int32)), pa.array(hit), pa.array(used[hit]), sums.cast(pa.list_(pa.float64()))],
-                ["part", "row", "used", "sums"],
-            )
-
-    gathered = docs.mapInArrow(run, "part int, row bigint, used double, sums array<double>")
-    totals = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(len(TABLE_BITS))]
+def _averaged(rows: DataFrame) -> Mixer:
+    """Each weight and map entry, averaged over the tasks by its uses."""
+    totals = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(CONTEXTS + 1)]
     mixer = Mixer.new()
     parts = mixer.parts()
-    for r in gathered.groupBy("part", "row").agg(F.sum("used").alias("used"), *totals).collect():
+    for r in rows.groupBy("part", "key").agg(F.sum("used").alias("used"), *totals).collect():  # a fixed number of entries
         values = parts[r["part"]]
-        values[r["row"]] = [r[f"s{k}"] / r["used"] for k in range(values.shape[1])]
+        values[r["key"]] = [r[f"s{k}"] / r["used"] for k in range(values.shape[1])]
     return mixer
 
 
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the stored word counts (key, n), from the rows for which ``where`` (on ``id``) holds."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(where)
-    rows = _halves(rows)
-    trees = build_trees(_pairs(rows))
-    gathered = stored(_gathered(rows, trees), "gathered")
-    table = _merged(gathered)
-    counts = stored(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(where).select("text")
+    gathered = stored(_gathered(rows).groupBy("kind", "key").agg(F.sum("n").alias("n")), "symbols")
+    counts = gathered.where(f"kind = {WORDS}").select("key", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
-    key = head.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    mixer = _learned(rows, trees, table)
-    return Model(trees, table[HALVES], mixer, key[order], head.column("n").to_numpy()[order], int(total), int(distinct)), counts
+    bytes_ = np.zeros(258, np.int64)
+    for kind, key, n in gathered.where(f"kind >= {BYTES}").select("kind", "key", "n").collect():  # 258 rows
+        bytes_[key if kind == BYTES else 257] += n
+    code = Code.build(*_head(gathered.where(f"kind = {BLANKS}"), HEAD_BLANKS), *_head(counts, HEAD_WORDS), bytes_[:257])
+    bits = int(np.clip(int(bytes_[257]).bit_length(), BLOCK_BITS, TABLE_BITS))
+    tasks = max(1, -(-int(bytes_[257]) // TASK_BYTES))
+    learned = stored(_learned(rows.coalesce(tasks), code, bits), "learned")
+    nodes, table = _merged(learned.where("part = 3").select("key", "cells"), code.nodes, bits)
+    mixer = _averaged(learned.where("part < 3"))
+    return Model(code, bits, nodes, table, mixer, int(total), int(distinct)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,14 +527,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             texts = batch.column("text")
             bits = own.code_length(texts)
             _, offsets = T.utf8(texts)
-            word, row = _tokens(texts)
-            at = np.minimum(np.searchsorted(own.head, word), max(len(own.head) - 1, 0))
-            known = own.head[at] == word if len(own.head) else np.zeros(len(word), bool)
-            count = own.head_counts[at] if len(own.head) else np.zeros(len(word))
-            base = np.bincount(row, np.where(known, np.log10((count + 0.5) / norm), 0.0), n)
+            _, word, _, _, _, row, _ = _tokens(texts)
+            count, known = own.code.counts(word)
+            base = np.bincount(row[known], np.log10((count[known] + 0.5) / norm), n)
             n_known = np.bincount(row, known, n).astype(np.int64)
-            order = np.argsort(row[~known], kind="stable")
-            rest, rest_row = word[~known][order], row[~known][order]
+            rest, rest_row = word[~known], row[~known]
             rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest_row, np.arange(n + 1)), pa.int32()), T.array(rest))
             yield pa.record_batch(
                 [batch.column("id"), pa.array(np.diff(offsets)), pa.array(bits), pa.array(np.bincount(row, minlength=n)), pa.array(n_known), pa.array(base), rest],

@@ -151,39 +151,126 @@ def test_mixing_base_scores_and_held_out_gain(spark, sf_dir):
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] < 0
 
 
+def random_model(rng, words=("stone", "river", "cloud"), bits=16):
+    """A model with random trees, tables, weights and map."""
+    key = lambda parts: np.sort(np.concatenate([mixing.T.hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])) for x in parts]))
+    known = np.sort(np.append(key([w.encode() for w in words]), np.uint64(mixing.END_WORD)))
+    blanks = key([b"", b" "])
+    code = mixing.Code.build(blanks, np.array([2, 9]), 1.0, known, rng.integers(2, 9, len(known)), 2.0, rng.integers(0, 5, 257))
+    mixer = mixing.Mixer.new()
+    mixer.by_gate[:] = rng.normal(0.4, 0.2, mixer.by_gate.shape)
+    mixer.by_depth[:] = rng.normal(0, 0.1, mixer.by_depth.shape)
+    mixer.refined[:] = rng.uniform(0.01, 0.99, mixer.refined.shape)
+    small = lambda n: rng.integers(-90, 90, n).astype(np.int8)
+    return mixing.Model(code, bits, small(code.nodes), small(mixing.CONTEXTS << bits), mixer, 9, 4)
+
+
 def test_mixing_is_a_probability():
+    """The outcomes of every decision add up to 1, so all leaves of a tree do, in any context."""
     rng = np.random.default_rng(3)
-    trees = mixing.build_trees(rng.integers(0, 3, (mixing.SYMBOLS, mixing.SYMBOLS)).astype(float))
-    table = rng.integers(-40, 40, mixing.TABLE_START[-1] + (1 << mixing.BLOCK_BITS)).astype(np.int8)
-    mixer = mixing.Mixer.new()
-    texts = pa.array(["ab" + chr(c) for c in range(128)])
-    symbol, before, offsets = mixing.symbols(texts)
-    symbol, before = symbol.reshape(-1, 4), before.reshape(-1, 4)
-    total = 0.0
-    for s in range(mixing.SYMBOLS):  # all continuations of one beginning add up to 1
-        own, prior = symbol[0].copy(), before[0].copy()
-        own[2], prior[3] = s, s
-        total += 2.0 ** -mixer.bits(table, trees, own, prior, np.array([0, 4]))[2]
-    assert total == pytest.approx(1.0, abs=1e-3)
+    model = random_model(rng)
+    code = model.code
+    for kind, (a, b) in enumerate(itertools.pairwise([*code.first, len(code.start)])):
+        leaf = np.arange(a, b)
+        context = np.tile(rng.integers(0, 1 << 60, (3, 1)).astype(np.uint64), (1, len(leaf)))
+        of, depth, bit, node, slots = mixing.decisions(code, model.bits, leaf, context)
+        p = model.mixer.chance(np.concatenate([model.nodes[node][None], model.table[slots]]), np.full(len(of), kind), depth)
+        assert np.exp(np.bincount(of, np.log(np.where(bit == 1, p, 1 - p)))).sum() == pytest.approx(1.0, abs=1e-6)
+
+
+def test_mixing_score_matches_plain_loops():
+    """Code lengths against a symbol-by-symbol computation with Python's own integers."""
+    rng = np.random.default_rng(5)
+    model = random_model(rng)
+    code, mask = model.code, (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    def joined(*parts):
+        out = len(parts)
+        for p in parts:
+            out = mix(out * 0x9E3779B97F4A7C15 + p & mask)
+        return out
+
+    def hashed(x):
+        value = [mix((b + 1) * 0x9E3779B97F4A7C15 & mask) for b in x]
+        return mix(sum(v * pow(0x5851F42D4C957F2D, k, 1 << 64) for k, v in enumerate(value)) + len(x) * 0x9E3779B97F4A7C15 & mask)
+
+    def cost(leaf, kind, contexts):
+        bits = 0.0
+        for k in range(code.length[leaf]):
+            node, bit = int(code.node[code.start[leaf] + k]), int(code.bit[code.start[leaf] + k])
+            cells = [((c + node * 0x9E3779B97F4A7C15) * 0x5851F42D4C957F2D & mask) >> (64 - model.bits) for c in contexts]
+            raw = [int(model.nodes[node])] + [int(model.table[(i << model.bits) + c]) for i, c in enumerate(cells)]
+            gate = kind * 27 + sum(w * ((abs(r) > 0) + (abs(r) > 32)) for w, r in zip((9, 3, 1), raw[1:]))
+            deep = kind * 8 + min(k, 7)
+            z = sum(r / 16 * (a + b) for r, a, b in zip(raw, model.mixer.by_gate[gate], model.mixer.by_depth[deep]))
+            place = min(max((z + 8) * 2, 0), 31.999)
+            low = int(place)
+            refined = model.mixer.refined[deep, low] * (1 - place + low) + model.mixer.refined[deep, low + 1] * (place - low)
+            p = min(max((1 / (1 + math.exp(-z)) + refined) / 2, 1e-6), 1 - 1e-6)
+            bits -= math.log2(p if bit else 1 - p)
+        return bits
+
+    def spelled(x):
+        bits = 0.0
+        for k, b in enumerate([*x, 256]):
+            back = [x[k - j] + 1 if k >= j else 0 for j in (1, 2, 3, 4, 5)]
+            bits += cost(code.first[2] + b, 2, [joined(*back[:2]), joined(*back[:3]), joined(*back)])
+        return bits
+
+    texts = ["", "stone river", "Stone  RIVER unseen cloud\n", " über stone", "stone stone river stone stone river"]
+    got = model.code_length(pa.array(texts))
+    for text, found in zip(texts, got):
+        parts = re.split(rb"([^\x20\x09-\x0d]+)", text.translate(LOWER).encode())
+        want, back, before = 0.0, [0, 0, 0], 0
+        for space, word in zip(parts[::2], [*parts[1::2], None]):
+            own = [joined(*back[:k]) for k in (1, 2, 3)]
+            space_key, key = hashed(space), mixing.END_WORD if word is None else hashed(word)
+            at = {int(h): i for i, h in enumerate(code.blanks)}.get(space_key)
+            want += cost(len(code.blanks) if at is None else at, 0, [own[0], own[1], joined(back[0], before)])
+            want += 0 if at is not None else spelled(space)
+            at = {int(h): i for i, h in enumerate(code.words)}.get(key)
+            want += cost(code.first[2] - 1 if at is None else code.first[1] + at, 1, own)
+            want += 0 if at is not None else spelled(word)
+            back, before = [key, *back[:2]], space_key
+        assert found == pytest.approx(want, rel=1e-4)
 
 
 def test_mixing_learns_from_every_training_row(spark):
-    """A small corpus fills the tables, the trees and the weights, each row's own text included."""
+    """A small corpus fills the tables and the weights, each row's own text included."""
     rng = random.Random(13)
     texts = [" ".join(rng.choice(("stone", "river", "cloud", "amber")) + rng.choice("xyz") for _ in range(30)) + f" only{i}" for i in range(60)]
-    model, _ = mixing.train(docs_of(spark, texts), mixing.F.lit(True))
+    model, counts = mixing.train(docs_of(spark, texts), mixing.F.lit(True))
     column = pa.array(texts)
-    _, _, bit, slots = mixing.decisions(model.trees, *mixing.symbols(column))
-    known = model.table[slots[:4]]
+    leaf, kind, _, context = mixing.symbols(model.code, column)
+    of, _, bit, node, slots = mixing.decisions(model.code, model.bits, leaf, context)
+    known = model.table[slots]
     assert (known != 0).mean() > 0.9 and ((known > 0) == (bit == 1)).mean() > 0.7
-    # contexts tell more than the frequencies of pairs of bytes that the trees and the map know
-    plain = mixing.Model(model.trees, np.zeros_like(model.table), model.mixer, model.head, model.head_counts, 0, 0)
-    assert model.code_length(column).sum() < 0.7 * plain.code_length(column).sum()
+    assert ((leaf == model.code.first[2] - 1).sum(), counts.where("n = 1").count()) == (60, 60)
+    # contexts tell more than the trees and the map know
+    plain = mixing.Model(model.code, model.bits, np.zeros_like(model.nodes), np.zeros_like(model.table), model.mixer, 0, 0)
+    assert model.code_length(column).sum() < 0.8 * plain.code_length(column).sum()
     fresh = mixing.Mixer.new()
     assert not np.allclose(model.mixer.by_gate, fresh.by_gate) and not np.allclose(model.mixer.refined, fresh.refined)
-    pairs = mixing._pairs(docs_of(spark, texts).select("text"))
-    want = Counter(zip(*(x.tolist() for x in mixing.symbols(column)[1::-1])))
-    assert {k: int(pairs[k]) for k in want} == want and pairs.sum() == sum(want.values())
+
+
+def test_mixing_counts_are_whole(spark):
+    """Full cells keep their ratio, and packed blocks come back as they were."""
+    code = random_model(np.random.default_rng(7)).code
+    counts = mixing.Counts(code, 16)
+    node, slots = np.zeros(70000, np.int64), np.tile(np.array([[5], [70000], [140000]]), (1, 70000))
+    bit = (np.arange(70000) % 4 == 0).astype(np.int8)
+    counts.add(node, bit, slots)
+    counts.add(node, bit, slots)
+    assert counts.node[0].tolist() == [105000, 35000]
+    assert counts.cell[5][0] / counts.cell[5][1] == pytest.approx(3, rel=0.2)
+    back = {block: mixing._cells(cells) for block, cells in counts.blocks()}
+    assert back[0][0].tolist() == [0] and back[0][1].tolist() == [[105000, 35000]]
+    assert back[1][0].tolist() == [5] and back[1][1][0].tolist() == counts.cell[5].tolist()
 
 
 def test_mixing_edge_cases(spark):
