@@ -237,7 +237,7 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """A task's counts of outcomes: by node, and by cell in 16 bits (both of a cell are halved when one is full)."""
+    """A task's counts of outcomes: by node, and by cell in 16 bits (both of a cell are halved while one is too large)."""
 
     def __init__(self, code: Code, bits: int):
         self.node = np.zeros((code.nodes, 2), np.int64)
@@ -260,11 +260,16 @@ class Counts:
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             place, total = key[first], np.diff(np.append(first, len(key)))
             new = flat[place] + total
-            full = np.flatnonzero(new > 65535)
             flat[place] = np.minimum(new, 65535)
-            for i in full.tolist():
-                pair = flat[place[i] & ~np.uint32(1) : (place[i] | np.uint32(1)) + 1]
-                pair >>= 1
+            for pair in np.unique(place[new > 65535] >> 1).tolist():
+                both = [int(flat[q]) for q in (2 * pair, 2 * pair + 1)]
+                for i in (0, 1):
+                    at = int(np.searchsorted(place, 2 * pair + i))
+                    if at < len(place) and place[at] == 2 * pair + i:
+                        both[i] = int(new[at])
+                while max(both) > 65535:
+                    both = [x >> 1 for x in both]
+                flat[2 * pair : 2 * pair + 2] = both
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """(block, touched cells) of the nodes (from block 0 on) and then of the contexts' cells; :func:`_cells` reads them."""
