@@ -14,11 +14,11 @@ never cross documents; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Store the positional index of the lower-cased words; one row a shard, its arrays as little-endian binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.blocks(batches, "text", shard_bytes):
+        for ordinal, batch in enumerate(T.blocks(batches, "text", shard_bytes)):
             parts = [T.words(b.column("text"), T.NOT_ALNUM) for b in T.blocks([batch], "text")]
             word = np.concatenate([w for w, _ in parts])
             counts = np.concatenate([np.diff(first) for _, first in parts])
@@ -49,7 +49,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gaps[begins] = order[begins]
             ids = batch.column("id")
             row = [
-                hashlib.md5(word.tobytes() + starts.tobytes() + str(ids.to_pylist()).encode()).hexdigest(),
+                f"{TaskContext.get().partitionId()}-{ordinal}",  # the rows are stored, so the name stays this block's own
                 ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
                 ids.is_valid().to_numpy(zero_copy_only=False).tobytes(),
                 starts.tobytes(),
@@ -162,7 +162,7 @@ def _windows(items: Sequence[tuple], size: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``limit`` characters; one block at a time is held by the driver."""
+    """The items in blocks of about ``limit`` characters; the driver holds the first and one more at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars // limit + 1
@@ -222,19 +222,20 @@ def contamination(
             run, "shard string, ordinal int, doc_id bigint, n_words bigint, hits array<int>, items array<string>"
         )
 
-    results = [search(items) for items in _blocks(benchmark, id_col, text_col, query_chars)]
-    if len(results) == 1:
-        return results[0].drop("shard", "ordinal")
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy("shard", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    blocks = _blocks(benchmark, id_col, text_col, query_chars)
+    first = search(next(blocks))
+    found = None
+    for items in blocks:  # of later blocks, only the documents that they hit are kept
+        more = stored(search(items).where(F.size("hits") > 0).select("shard", "ordinal", "hits", "items"), "found")
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return first.drop("shard", "ordinal")
+    found = found.groupBy("shard", "ordinal").agg(
+        F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items")
     )
-    return merged.drop("shard", "ordinal")
+    joined = first.join(found, ["shard", "ordinal"], "left")
+    both = lambda a, b: F.array_sort(F.array_distinct(F.concat(a, F.coalesce(b, F.array().cast(first.schema[a].dataType)))))
+    return joined.select("doc_id", "n_words", both("hits", F.col("more_hits")).alias("hits"), both("items", F.col("more_items")).alias("items"))
 
 
 def proximity(index: DataFrame, query: Sequence[str], width: int) -> DataFrame:

@@ -279,16 +279,17 @@ class Counts:
                 own = table[a : a + size]
                 touched = np.flatnonzero(own.any(axis=1))
                 if len(touched):
-                    parts = (touched.astype("<u2"), *(own[touched].astype("<u4").T.copy()))
+                    parts = (touched.astype("<u2"), *own[touched].T.copy())
                     # byte by byte, as the high ones are mostly 0
-                    yield base + a // size, b"".join(x.view(np.uint8).reshape(len(touched), -1).T.tobytes() for x in parts)
+                    yield base + a // size, b"".join(x.view(np.uint8).reshape(len(touched), -1).T.tobytes() for x in (np.full(len(touched), table.itemsize, np.uint8), *parts))
             base += -(-len(table) // size)
 
 
 def _cells(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(packed, np.uint8).reshape(10, -1)
-    read = lambda rows, kind: np.ascontiguousarray(planes[rows].T).view(kind).reshape(-1)
-    return read(slice(0, 2), "<u2"), np.stack([read(slice(2, 6), "<u4"), read(slice(6, 10), "<u4")], axis=1)
+    planes, width = np.frombuffer(packed, np.uint8), packed[0]
+    planes = planes.reshape(3 + 2 * width, -1)
+    read = lambda a, n: np.ascontiguousarray(planes[a : a + n].T).view(f"<u{n}").reshape(-1)
+    return read(1, 2), np.stack([read(3, width), read(3 + width, width)], axis=1).astype(np.int64)
 
 
 @dataclass
@@ -457,45 +458,50 @@ def _learned(docs: DataFrame, code: Code, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, key bigint, used double, sums array<double>, cells binary")
 
 
-def _merged(cells: DataFrame, n_nodes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The log odds of all nodes and cells, from the tasks' blocks (key, cells). As many bytes come to the driver."""
+def _summed(learned: DataFrame, n_nodes: int, bits: int) -> tuple[np.ndarray, np.ndarray, Mixer]:
+    """The log odds of all nodes and cells, and the averaged weights and map, from the tasks' parts. As many bytes come to the driver."""
+    names = ["part", "key", "used", "sums", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, total: np.ndarray) -> pa.RecordBatch:
-            value = odds(total[:, 0], total[:, 1])
-            return pa.record_batch([pa.array([block], pa.int64()), pa.array([value.tobytes()], pa.binary())], ["key", "cells"])
+        def done(own: tuple[int, int], used, total: np.ndarray) -> pa.RecordBatch:
+            cells = odds(total[:, 0], total[:, 1]).tobytes() if own[0] == 3 else None
+            sums = None if own[0] == 3 else total
+            return pa.record_batch(
+                [pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int64()), pa.array([used], pa.float64()), pa.array([sums], pa.list_(pa.float64())), pa.array([cells], pa.binary())],
+                names,
+            )
 
-        block, total = None, None
+        own, used, total = None, None, None
         for batch in batches:
-            for key, packed in zip(batch.column("key").to_pylist(), batch.column("cells")):
-                if key != block:
-                    if block is not None:
-                        yield done(block, total)
-                    block, total = key, np.zeros((1 << BLOCK_BITS, 2), np.int64)
-                place, count = _cells(packed.as_buffer())
-                total[place] += count
-        if block is not None:
-            yield done(block, total)
+            columns = [batch.column(c).to_pylist() for c in ("part", "key", "used", "sums")]
+            for part, key, n, sums, cells in zip(*columns, batch.column("cells")):
+                if (part, key) != own:
+                    if own is not None:
+                        yield done(own, used, total)
+                    own = (part, key)
+                    used, total = (None, np.zeros((1 << BLOCK_BITS, 2), np.int64)) if part == 3 else (0.0, np.zeros(len(sums)))
+                if part == 3:
+                    place, count = _cells(cells.as_buffer().to_pybytes())
+                    total[place] += count
+                else:
+                    used, total = used + n, total + sums
+        if own is not None:
+            yield done(own, used, total)
 
     size = 1 << BLOCK_BITS
     n_blocks = -(-n_nodes // size)
     nodes, table = np.zeros(n_blocks * size, np.int8), np.zeros(max(CONTEXTS << bits, size), np.int8)
-    blocks = cells.repartition("key").sortWithinPartitions("key")
-    for row in blocks.mapInArrow(run, "key bigint, cells binary").toLocalIterator():
-        target, at = (nodes, row["key"]) if row["key"] < n_blocks else (table, row["key"] - n_blocks)
-        target[at * size : (at + 1) * size] = np.frombuffer(bytes(row["cells"]), np.int8)[: len(target) - at * size]
-    return nodes[:n_nodes], table
-
-
-def _averaged(rows: DataFrame) -> Mixer:
-    """Each weight and map entry, averaged over the tasks by its uses."""
-    totals = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(CONTEXTS + 1)]
     mixer = Mixer.new()
     parts = mixer.parts()
-    for r in rows.groupBy("part", "key").agg(F.sum("used").alias("used"), *totals).collect():  # a fixed number of entries
-        values = parts[r["part"]]
-        values[r["key"]] = [r[f"s{k}"] / r["used"] for k in range(values.shape[1])]
-    return mixer
+    dealt = learned.repartition("part", "key").sortWithinPartitions("part", "key")
+    for row in dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in learned.schema)).toLocalIterator():
+        key = row["key"]
+        if row["part"] < 3:
+            parts[row["part"]][key] = np.array(row["sums"]) / row["used"]
+            continue
+        target, at = (nodes, key) if key < n_blocks else (table, key - n_blocks)
+        target[at * size : (at + 1) * size] = np.frombuffer(bytes(row["cells"]), np.int8)[: len(target) - at * size]
+    return nodes[:n_nodes], table, mixer
 
 
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -510,9 +516,7 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
     code = Code.build(*_head(gathered.where(f"kind = {BLANKS}"), HEAD_BLANKS), *_head(counts, HEAD_WORDS), bytes_[:257])
     bits = int(np.clip(int(bytes_[257]).bit_length(), BLOCK_BITS, TABLE_BITS))
     tasks = max(1, -(-int(bytes_[257]) // TASK_BYTES))
-    learned = stored(_learned(rows.coalesce(tasks), code, bits), "learned")
-    nodes, table = _merged(learned.where("part = 3").select("key", "cells"), code.nodes, bits)
-    mixer = _averaged(learned.where("part < 3"))
+    nodes, table, mixer = _summed(_learned(rows.coalesce(tasks), code, bits), code.nodes, bits)
     return Model(code, bits, nodes, table, mixer, int(total), int(distinct)), counts
 
 
