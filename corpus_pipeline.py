@@ -1,10 +1,20 @@
-"""A corpus pipeline of five stages; each takes what its predecessor kept."""
+"""A corpus pipeline of five stages; each takes what its predecessor kept.
+
+Stages 3 and 4 know a row by a 64-bit hash of its id and text, so rows that share an id
+but not the text stand for themselves, and a row without id is treated like any other.
+
+Cases: a null or empty text has no words: the line, join and benchmark stages keep it, and
+packing gives it the end id; of rows that repeat with id and text, stage 3 keeps one; of a group
+of near duplicates it keeps the row with the smallest id, rows without id coming last;
+texts of any length are processed whole; extra columns go through the stages up to packing;
+an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelquant.llm import decontaminate, line_dedup, ngram_join, packing, quality
@@ -15,10 +25,19 @@ from panelquant.llm.tokenizer import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't among ``ids``."""
-    ids = stored(ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "gone")
-    return docs.join(small(ids, 16), docs["doc_id"] == ids["__id"], "left_anti")
+def _key() -> Column:
+    """A hash of a row's id and text; a null counts as something else than any value."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose key is (``left_semi``) or isn't (``left_anti``) in the column ``key`` of a stored table."""
+    keys = keys.select(F.col("key").alias("__key"))
+    return docs.join(small(keys, 16), _key() == F.col("__key"), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +57,27 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents (Jaccard similarity of five-word shingles 0.8 or more), the one with the smallest id stays."""
-    found = ngram_join.jaccard_components(docs, words=5, num=80)
-    return _without(docs, found.where("component_id <> doc_id"))
+    found = stored(ngram_join.jaccard_components(_keyed(docs), words=5, num=80), "groups")
+    repeated = stored(found.groupBy(F.col("doc_id").alias("key")).count().where("count > 1"), "repeated")
+    roots = found.where("doc_id <> component_id").select("component_id").distinct()
+    grouped = stored(found.join(roots, "component_id").select(F.col("doc_id").alias("key"), "component_id").distinct(), "grouped")
+    rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), _key().alias("key")).join(grouped, "key")
+    own = F.struct("last", "id", "key")
+    keepers = rows.groupBy("component_id").agg(F.min(own).getField("key").alias("keeper"))
+    gone = stored(grouped.join(keepers, "component_id").where("key <> keeper").select("key"), "gone")
+    docs = _among(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return docs
+    once = _among(docs, repeated, "left_semi").withColumn("__key", _key()).dropDuplicates(["__key"]).drop("__key")
+    return _among(docs, repeated, "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of ten words of the benchmark go."""
-    index = decontaminate.build_index(docs)
+    index = decontaminate.build_index(_keyed(docs))
     found = decontaminate.contamination(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(F.size("hits") > 0))
+    gone = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return _among(docs, gone, "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
