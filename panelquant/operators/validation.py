@@ -101,13 +101,37 @@ def fold_summary(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def positions(samples: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    return numbered(samples, keys, "t0")
+    """Samples numbered by t0; a missing end, a label that ends before its decision, or a t0 that repeats in a key is an error."""
+    rows = numbered(samples, keys, "t0")
+    again = F.lag("t0").over(ordered(keys, "t0")) == F.col("t0")
+    wrong = F.col("t0").isNull() | F.col("t1").isNull() | (F.col("t1") < F.col("t0")) | F.coalesce(again, F.lit(False))
+    message = F.lit("samples need t0 and t1, t0 <= t1, and rising t0")
+    return rows.withColumn("t0", F.when(wrong, F.raise_error(message).cast(samples.schema["t0"].dataType)).otherwise(F.col("t0")))
+
+
+def first_test(rows: DataFrame, min_train: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, start): the earliest position from ``min_train`` on that leaves as many training samples after purging.
+
+    A sample before the test block is kept if its label ends before the block starts, so a
+    running count of ended labels over both kinds of dates tells how many are left.
+    """
+    dates = rows.select(*keys, F.col("t0").alias("at"), F.lit(0).alias("ended"), "pos")
+    dates = dates.unionByName(rows.select(*keys, F.col("t1").alias("at"), F.lit(1).alias("ended"), F.lit(None).cast("int").alias("pos")))
+    kept = F.sum("ended").over(Window.partitionBy(*keys).orderBy("at", "ended").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dates = dates.withColumn("kept", kept).where((F.col("pos") >= min_train) & (F.col("kept") >= min_train))
+    return dates.groupBy(*keys).agg(F.min("pos").alias("start"))
 
 
 def walk_forward_folds(samples: DataFrame, min_train: int, test_size: int, embargo: int = 0, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """(fold, sample, role): expanding training windows; samples whose label interval meets the test span are purged."""
+    """(fold, sample, role): expanding training windows; samples whose label interval meets the test span are purged.
+
+    The first test block starts at :func:`first_test`; a key without such a position has no folds.
+    """
+    if min_train < 1 or test_size < 1 or embargo < 0:
+        raise ValueError("min_train and test_size must be 1 or more, embargo 0 or more")
     rows = positions(samples, keys)
-    spans = rows.where(F.col("pos") >= min_train).withColumn("fold", F.floor((F.col("pos") - min_train) / test_size).cast("int"))
+    spans = rows.join(first_test(rows, min_train, keys), list(keys)).where("pos >= start")
+    spans = spans.withColumn("fold", F.floor((F.col("pos") - F.col("start")) / test_size).cast("int"))
     spans = spans.groupBy(*keys, "fold").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("t0").alias("span_start"), F.max("t1").alias("span_end")
     )
