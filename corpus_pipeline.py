@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each takes what its predecessor kept.
 
-Stages 3 and 4 know a row by a 64-bit hash of its id and text, so rows that share an id
+Stages 3 and 4 tell rows apart by a 64-bit hash of its id and text, so rows that share an id
 but not the text stand for themselves, and a row without id is treated like any other.
 
 Cases: a null or empty text has no words: the line, join and benchmark stages keep it, and
