@@ -18,7 +18,8 @@ from .studies import MONTHLY
 _HEAD = (q.BARS, q.RETURNS, MONTH_ENDS, MONTHLY)
 _FOLDS = f"""
 mp AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t0) - 1 AS pos FROM monthly),
-ms AS (SELECT series_id, floor((pos - 24) / 12)::INT AS fold, min(pos) AS a, max(pos) AS b, min(t0) AS s, max(t1) AS e FROM mp WHERE pos >= 24 GROUP BY 1, 2),
+sp AS (SELECT x.series_id, min(x.pos) AS start FROM mp x WHERE x.pos >= 24 AND (SELECT count(*) FROM mp y WHERE y.series_id = x.series_id AND y.t1 < x.t0) >= 24 GROUP BY 1),
+ms AS (SELECT series_id, floor((pos - start) / 12)::INT AS fold, min(pos) AS a, max(pos) AS b, min(t0) AS s, max(t1) AS e FROM mp JOIN sp USING (series_id) WHERE pos >= start GROUP BY 1, 2),
 mr AS (SELECT mp.*, ms.fold, CASE WHEN mp.pos BETWEEN a AND b THEN 'test' WHEN mp.t0 <= e AND mp.t1 >= s THEN 'purged' ELSE 'train' END AS role FROM mp JOIN ms USING (series_id) WHERE mp.pos <= b)"""
 
 

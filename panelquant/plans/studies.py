@@ -255,7 +255,8 @@ from .runs import MONTH_ENDS  # noqa: E402
 _SPAN = "min(pos) AS a, max(pos) AS b, min(t0) AS s, max(t1) AS e"
 
 
-@query("WITH " + ",".join([q.BARS, MONTH_ENDS, _MONTHS]) + "," + _roles_sql(f"sp AS (SELECT series_id, floor((pos - 36) / 12)::INT AS fold, {_SPAN} FROM sm WHERE pos >= 36 GROUP BY 1, 2)", 0, "sm.pos <= b"))
+@query("WITH " + ",".join([q.BARS, MONTH_ENDS, _MONTHS]) + "," + _roles_sql(f"""st AS (SELECT x.series_id, min(x.pos) AS start FROM sm x WHERE x.pos >= 36 AND (SELECT count(*) FROM sm y WHERE y.series_id = x.series_id AND y.t1 < x.t0) >= 36 GROUP BY 1),
+sp AS (SELECT series_id, floor((pos - start) / 12)::INT AS fold, {_SPAN} FROM sm JOIN st USING (series_id) WHERE pos >= start GROUP BY 1, 2)""", 0, "sm.pos <= b"))
 def walk_forward_folds(spark, sf_dir):
     """Expanding folds of monthly samples, purged."""
     return validation.fold_table(validation.walk_forward_folds(_samples(spark, sf_dir), 36, 12))

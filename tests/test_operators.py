@@ -172,6 +172,25 @@ def test_purged_folds_share_no_days(spark):
         assert len({r["t0"] for r in rows if r["role"] == "test"}) == sum(r["role"] == "test" for r in rows)
 
 
+def test_first_test_block_leaves_enough_samples_after_purging(spark):
+    """With labels that end on the next sample's day, one sample is purged, so testing starts one sample later."""
+    for span, start in ((0, 10), (1, 11), (3, 13)):
+        rows = validation.walk_forward_folds(samples_of(spark, 40, span), 10, 6).where("fold = 0").collect()
+        tested, trained = ([r["pos"] for r in rows if r["role"] == role] for role in ("test", "train"))
+        assert min(tested) == start and len(trained) == 10
+    assert validation.walk_forward_folds(samples_of(spark, 12, 5), 10, 6).count() == 0
+
+
+def test_label_intervals_are_checked(spark):
+    day = lambda i: DAY0 + dt.timedelta(days=i)
+    for wrong in ([("a", day(1), day(0))], [("a", day(1), None)], [("a", day(1), day(2)), ("a", day(1), day(3))]):
+        rows = [("a", day(-k), day(-k)) for k in range(2, 9)] + wrong
+        samples = spark.createDataFrame(rows, "series_id string, t0 date, t1 date")
+        for folds in (lambda x: validation.walk_forward_folds(x, 2, 2), lambda x: validation.purged_kfold(x, 2)):
+            with pytest.raises(Exception, match="samples need t0 and t1"):
+                folds(samples).collect()
+
+
 def test_refit_windows_cover_each_fold(spark):
     rows = validation.training_windows(bars_of(spark, walk(50)), 20, 10).groupBy("fold").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()
     assert {r["fold"]: (r["n"], r["t"]) for r in rows} == {k: (30, 10) for k in range(3)}
