@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from math import log
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +44,56 @@ def series_arrays(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return rows.select(*keys, F.size("s").alias("n"), *[F.col("s").getField(c).alias(c) for c in columns])
 
 
-def resampled(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, mean_block: float, seed: int, by: str = "date") -> DataFrame:
+def sample_indices(seed: int, replicate: int, n: int, mean_block: float) -> np.ndarray:
+    """One replicate of :func:`bootstrap_index`: the same hashes, the same positions."""
+
+    def draws(tag: str, positions) -> np.ndarray:
+        head = hashlib.md5(f"{seed}:{tag}:{replicate}:".encode())
+        out = []
+        for p in positions:
+            own = head.copy()
+            own.update(b"%d" % p)
+            out.append(int.from_bytes(own.digest()[:6], "big"))
+        return np.array(out, np.float64) / float(1 << 48)
+
+    starts = draws("restart", range(n)) < 1.0 / mean_block
+    starts[0] = True
+    at = np.flatnonzero(starts)
+    begin = np.floor(draws("start", at.tolist()) * n).astype(np.int64)
+    block = np.cumsum(starts) - 1
+    return (begin[block] + np.arange(n) - at[block]) % n
+
+
+def resampled(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, mean_block: float, seed: int, by: str = "date", block: int = 50) -> DataFrame:
     """(keys, rep, mean and population deviation of each column): replicates use the same indices for all columns.
 
-    Index runs are made once for each length and joined with the keys' arrays; the
-    rows stream into the aggregate.
+    A task row is a key's arrays and ``block`` replicates, so the work spreads over keys and
+    replicates alike, and no index is shuffled.
     """
-    arrays = series_arrays(rows, keys, columns, by)
-    index = bootstrap_index(rows.sparkSession, arrays, replicates, mean_block, seed)
-    drawn = index.join(arrays, "n").select(*keys, "rep", *[F.get(F.col(c), F.col("idx")).alias(c) for c in columns])
-    stats = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("dev", F.stddev_pop))]
-    return drawn.groupBy(*keys, "rep").agg(*stats)
+    keys, columns = list(keys), list(columns)
+    parts = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("part")
+    # rows are few and long to work on, so their number of parts isn't left to their size
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = series_arrays(rows, keys, columns, by).select("*", parts).repartition(spread, *keys, "part")
+    names = [f"{name}_{c}" for c in columns for name in ("mean", "dev")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                values = [np.asarray(row[c], np.float64) for c in columns]
+                out = {c: [] for c in ("rep", *names)}
+                for rep in range(row["part"] * block, min(replicates, (row["part"] + 1) * block)):
+                    index = sample_indices(seed, rep, row["n"], mean_block)
+                    out["rep"].append(rep)
+                    for c, own in zip(columns, values):
+                        drawn = own[index]
+                        drawn = drawn[~np.isnan(drawn)]
+                        out[f"mean_{c}"].append(drawn.mean() if len(drawn) else None)
+                        out[f"dev_{c}"].append(drawn.std() if len(drawn) else None)
+                yield pd.DataFrame({**{k: [row[k]] * len(out["rep"]) for k in keys}, **out})
+
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "rep int", *[f"{c} double" for c in names]])
+    return work.select(*keys, "n", "part", *columns).mapInPandas(run, schema)
 
 
 def sharpe_interval(rows: DataFrame, keys: Sequence[str], column: str = "ret", replicates: int = 2000, mean_block: float = 20.0, seed: int = 0, by: str = "date", periods: int = DAYS) -> DataFrame:

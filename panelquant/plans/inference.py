@@ -12,7 +12,7 @@ from . import sql as q
 from .registry import query
 from .runs import STACKED_CTES, sma_run, stacked_runs
 
-REPLICATES, SEED = 40, 7
+REPLICATES, SEED = 2000, 7
 
 
 def _uniform(tag: str) -> str:

@@ -196,6 +196,12 @@ def test_refit_windows_cover_each_fold(spark):
     assert {r["fold"]: (r["n"], r["t"]) for r in rows} == {k: (30, 10) for k in range(3)}
 
 
+def test_bootstrap_kernel_draws_what_the_table_says(spark):
+    for block in (20.0, 1.0):
+        rows = resampling.bootstrap_index(spark, spark.createDataFrame([(60,)], "n int"), 4, block, 3).orderBy("rep", "pos").collect()
+        assert [r["idx"] for r in rows] == [int(i) for rep in range(4) for i in resampling.sample_indices(3, rep, 60, block)]
+
+
 def test_bootstrap_blocks_follow_the_law(spark):
     n = spark.createDataFrame([(500,)], "n int")
     rows = resampling.bootstrap_index(spark, n, 20, 20.0, 3).orderBy("rep", "pos").collect()
