@@ -192,14 +192,14 @@ def predicted_by_regime(models: tuple[PipelineModel, dict[int, PipelineModel]],
 
 
 def nested_walk_forward(samples: DataFrame, roles: DataFrame, columns: Sequence[str], grid: Sequence[float], inner_share: float = 0.75) -> DataFrame:
-    """Outer folds, each with its regularisation chosen by log loss on the last part of its training rows; ties to the earlier entry.
+    """Outer folds, each with its penalty (1 / C, summed over the rows) chosen by log loss on the last part of its training rows; ties to the earlier entry.
 
     Inner rows are split in time, and rows whose label reaches the inner test part are left out. Folds and grid are few.
     """
     keyed = samples.join(roles.select("series_id", "t0", "fold", "role"), ["series_id", "t0"]).cache()
     out = None
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    make = lambda c: Pipeline(stages=[assembler, LogisticRegression(labelCol="y", regParam=c)])
+    make = lambda c, n: Pipeline(stages=[assembler, LogisticRegression(labelCol="y", regParam=1.0 / (c * max(n, 1)))])
     for (fold,) in sorted(r[:1] for r in keyed.select("fold").distinct().collect()):
         own = keyed.where(F.col("fold") == fold)
         train, test = own.where("role = 'train'"), own.where("role = 'test'")
@@ -209,12 +209,12 @@ def nested_walk_forward(samples: DataFrame, roles: DataFrame, columns: Sequence[
         early, late = train.where(F.unix_date("t1") < cut), train.where(F.unix_date("t0") >= cut)
         if early.select("y").distinct().count() < 2:
             continue
-        losses = []
+        losses, n = [], early.count()
         for c in grid:
-            scored = predicted(make(c).fit(early), late)
+            scored = predicted(make(c, n).fit(early), late)
             hit = F.when(F.col("y") == 1, F.col("score")).otherwise(1 - F.col("score"))
             losses.append(scored.agg(F.avg(-F.ln(F.greatest(hit, F.lit(FLOOR))))).first()[0] or 0.0)
         best = grid[losses.index(min(losses))]
-        mine = predicted(make(best).fit(train), test).select("series_id", "fold", "t0", "y", "predicted", "score").withColumn("chosen", F.lit(float(best)))
+        mine = predicted(make(best, train.count()).fit(train), test).select("series_id", "fold", "t0", "y", "predicted", "score").withColumn("chosen", F.lit(float(best)))
         out = mine if out is None else out.unionByName(mine)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -137,7 +137,7 @@ def reduced(rows: DataFrame, columns: Sequence[str], components: int = 3) -> Dat
     return rows.select("series_id", "date", "fit", *[F.col("pc")[i].alias(f"pc_{i + 1}") for i in range(components)])
 
 
-def kmeans_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def kmeans_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: Sequence[int] = tuple(range(1, 11))) -> DataFrame:
     """k-means fitted on the rows marked ``fit`` (the best of several starts); scores fall with the distance to a centre."""
     rows = _assembled(rows, columns)
     fitted = [KMeans(k=k, seed=s, featuresCol="x", predictionCol="label").fit(rows.where("fit")) for s in seeds]
@@ -151,7 +151,7 @@ def kmeans_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: Se
     return model.transform(rows).select("series_id", "date", "fit", "label", F.array(*[v / total for v in nearness]).alias("prob"))
 
 
-def mixture_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: Sequence[int] = (1, 2)) -> DataFrame:
+def mixture_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """A Gaussian mixture fitted on the rows marked ``fit``."""
     rows = _assembled(rows, columns)
     fitted = [GaussianMixture(k=k, seed=s, featuresCol="x", predictionCol="label", probabilityCol="p").fit(rows.where("fit")) for s in seeds]
@@ -181,122 +181,174 @@ def supervised_labels(bars: DataFrame, rows: DataFrame, columns: Sequence[str],
     return out.select("series_id", "date", "fit", F.col("label").cast("int"), vector_to_array("p").alias("prob"))
 
 
-# Hidden Markov model: diagonal Gaussians; the recursions over time run in one grouped pass a series.
+# Hidden Markov model: diagonal Gaussians. A task fits a batch of models side by side, each step over time for all of them.
 
+#: Models that a task fits at once; a model's rows are those of a few daily series.
+MODEL_BATCH = 32
+_MODEL = "means array<double>, variances array<double>, start array<double>, move array<double>, steps int, likelihood double"
+_FLOOR = 1e-3
 
-def _local(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    d = x[:, None, :] - means[None]
-    return -0.5 * (d * d / variances + np.log(2 * np.pi * variances)).sum(2)
 
+def _local(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Log densities (..., k) of observations (..., d) under states (models, k, d) or (k, d)."""
+    d = x[..., None, :] - means
+    return -0.5 * (d * d / variances + np.log(2 * np.pi * variances)).sum(-1)
+
+
+def _moments(x: np.ndarray, gamma: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances by the rows' shares in states; a state without rows keeps its own."""
+    weight = gamma.sum(0)[..., None]
+    some = weight > 1e-8
+    safe = np.where(some, weight, 1.0)
+    centre = np.where(some, np.einsum("tmk,tmd->mkd", gamma, x) / safe, means)
+    d = x[:, :, None, :] - centre
+    spread = np.einsum("tmk,tmkd->mkd", gamma, d * d) / safe
+    return centre, np.where(some, np.maximum(spread, _FLOOR), variances)
+
+
+def _mixture_start(x: np.ndarray, real: np.ndarray, k: int, iterations: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of each model's best Gaussian mixture, from quantile starts along each of the first three columns."""
+    models, dims = x.shape[1], x.shape[2]
+    best = np.full(models, -np.inf)
+    means, variances = np.zeros((models, k, dims)), np.ones((models, k, dims))
+    for column in range(min(3, dims)):
+        own_means, own_variances = np.zeros((models, k, dims)), np.zeros((models, k, dims))
+        for m in range(models):
+            rows = x[real[:, m], m]
+            rank = np.argsort(np.argsort(rows[:, column], kind="stable"), kind="stable") * k // len(rows)
+            for j in range(k):
+                part = rows[rank == j] if (rank == j).any() else rows
+                own_means[m, j], own_variances[m, j] = part.mean(0), np.maximum(part.var(0), _FLOOR)
+        share, last = np.full((models, k), 1 / k), np.full(models, -np.inf)
+        for _ in range(iterations):
+            log_p = _local(x, own_means, own_variances) + np.log(share)
+            top = log_p.max(-1, keepdims=True)
+            p = np.exp(log_p - top)
+            total = p.sum(-1, keepdims=True)
+            likelihood = ((np.log(total) + top)[..., 0] * real).sum(0) / real.sum(0)
+            if (np.abs(likelihood - last) < tolerance).all():
+                break
+            last = likelihood
+            gamma = p / total * real[..., None]
+            own_means, own_variances = _moments(x, gamma, own_means, own_variances)
+            share = np.maximum(gamma.sum(0), 1e-9)
+            share /= share.sum(-1, keepdims=True)
+        better = likelihood > best
+        best = np.where(better, likelihood, best)
+        means[better], variances[better] = own_means[better], own_variances[better]
+    return means, variances
+
+
+def _expected(x: np.ndarray, real: np.ndarray, begins: np.ndarray, means, variances, start, move) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shares of the rows in states, expected moves, log likelihood) of each model, over (time, model)."""
+    log_local = _local(x, means, variances)
+    top = log_local.max(-1, keepdims=True)
+    local = np.where(real[..., None], np.exp(log_local - top), 1.0)
+    alpha, scale = np.empty_like(local), np.empty(local.shape[:2])
+    for t in range(len(x)):
+        before = start if t == 0 else np.where(begins[t, :, None], start, np.matmul(alpha[t - 1][:, None, :], move)[:, 0])
+        a = before * local[t]
+        scale[t] = np.maximum(a.sum(1), 1e-300)
+        alpha[t] = a / scale[t][:, None]
+    ahead = np.zeros_like(local)  # of the row after: density times what follows; zero where a series begins
+    beta = np.ones_like(local)
+    for t in range(len(x) - 2, -1, -1):
+        goes_on = ~begins[t + 1, :, None]
+        ahead[t + 1] = np.where(goes_on, local[t + 1] * beta[t + 1] / scale[t + 1][:, None], 0.0)
+        beta[t] = np.where(goes_on, np.matmul(move, ahead[t + 1][:, :, None])[..., 0], 1.0)
+    gamma = alpha * beta
+    gamma = gamma / np.maximum(gamma.sum(-1, keepdims=True), 1e-300) * real[..., None]
+    moves = move * np.einsum("tmi,tmj->mij", alpha[:-1], ahead[1:])
+    return gamma, moves, ((np.log(scale) + top[..., 0]) * real).sum(0)
+
+
+def _fitted(x: np.ndarray, real: np.ndarray, begins: np.ndarray, k: int, iterations: int, tolerance: float) -> list[tuple]:
+    """Expectation maximisation for each model until its log likelihood stands still; rows in the order of _MODEL."""
+    models = x.shape[1]
+    means, variances = _mixture_start(x, real, k)
+    move = np.full((k, k), 0.05 / max(k - 1, 1))
+    np.fill_diagonal(move, 0.95)
+    state = [means, variances, np.full((models, k), 1 / k), np.repeat(move[None], models, 0)]
+    steps, likelihood, open_ = np.zeros(models, int), np.full(models, -np.inf), np.arange(models)
+    for step in range(iterations):
+        if not len(open_):
+            break
+        means, variances, start, move = (v[open_] for v in state)
+        own, own_real, own_begins = x[:, open_], real[:, open_], begins[:, open_]
+        gamma, moves, found = _expected(own, own_real, own_begins, means, variances, start, move)
+        first = (gamma * (own_begins & own_real)[..., None]).sum(0)
+        rows = moves.sum(-1, keepdims=True)
+        state[0][open_], state[1][open_] = _moments(own, gamma, means, variances)
+        state[2][open_] = first / first.sum(-1, keepdims=True)
+        state[3][open_] = np.where(rows > 0, moves / np.where(rows > 0, rows, 1.0), move)
+        last, likelihood[open_], steps[open_] = likelihood[open_], found, step + 1
+        with np.errstate(invalid="ignore"):
+            still = np.abs(found - last) < tolerance * np.maximum(np.abs(last), 1.0)
+        open_ = open_[~(still & np.isfinite(last))]
+    return [(*(np.ravel(v[m]) for v in state), int(steps[m]), float(likelihood[m])) for m in range(models)]
+
+
+def fit_hmm(rows: DataFrame, columns: Sequence[str], k: int = 3, iterations: int = 100, tolerance: float = 1e-6, by: str = "model_id") -> DataFrame:
+    """One model for each ``by``, from the rows marked ``fit``, pooled over its series: one row a model.
+
+    Each model starts from a mixture and is refined until its log likelihood changes by less than ``tolerance`` of
+    itself, at most ``iterations`` times. Models are dealt to batches of about MODEL_BATCH, each fitted in one task,
+    which holds their rows; nothing passes through the driver but the number of models.
+    """
+    columns = list(columns)
+    fit = rows.where("fit").select(by, "series_id", "date", *columns)
+    count = max(fit.select(by).distinct().count(), 1)
+    batches = max(-(-count // MODEL_BATCH), min(count, rows.sparkSession.sparkContext.defaultParallelism))
+    fields = [c.strip().split(" ")[0] for c in _MODEL.split(",")]
 
-def _forward(log_local: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, float]:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        groups = [(model, g.sort_values(["series_id", "date"])) for model, g in own.groupby(by, sort=True)]
+        out = []
+        for a in range(0, len(groups), MODEL_BATCH):
+            part = groups[a : a + MODEL_BATCH]
+            longest = max(len(g) for _, g in part)
+            x, real, begins = np.zeros((longest, len(part), len(columns))), np.zeros((longest, len(part)), bool), np.ones((longest, len(part)), bool)
+            for m, (_, g) in enumerate(part):
+                series = g["series_id"].to_numpy()
+                x[: len(g), m], real[: len(g), m] = g[columns].to_numpy(float), True
+                begins[1 : len(g), m] = series[1:] != series[:-1]
+            out += [(model, *fitted) for (model, _), fitted in zip(part, _fitted(x, real, begins, k, iterations, tolerance))]
+        return pd.DataFrame(out, columns=[by, *fields])
+
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {_MODEL}"
+    return fit.withColumn("batch", F.pmod(F.xxhash64(by), F.lit(batches))).groupBy("batch").applyInPandas(run, schema)
+
+
+def _forward(log_local: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Filtered state probabilities of one series."""
     local = np.exp(log_local - log_local.max(1, keepdims=True))
-    out, total = np.zeros_like(local), 0.0
-    a = start * local[0]
+    out = np.zeros_like(local)
     for t in range(len(local)):
-        if t:
-            a = (out[t - 1] @ move) * local[t]
-        s = max(a.sum(), 1e-300)
-        out[t] = a / s
-        total += np.log(s) + log_local[t].max()
-    return out, total
-
-
-def _statistics(x: np.ndarray, model: dict) -> dict:
-    """Expected counts of one series under the model."""
-    log_local = _local(x, model["means"], model["variances"])
-    alpha, likelihood = _forward(log_local, model["start"], model["move"])
-    local = np.exp(log_local - log_local.max(1, keepdims=True))
-    beta, gamma = np.ones(len(model["start"])), np.zeros_like(alpha)
-    moves = np.zeros_like(model["move"])
-    for t in range(len(x) - 1, -1, -1):
-        gamma[t] = alpha[t] * beta / (alpha[t] * beta).sum()
-        if t:
-            ahead = local[t] * beta
-            joint = alpha[t - 1][:, None] * model["move"] * ahead[None]
-            moves += joint / joint.sum()
-            beta = model["move"] @ ahead
-            beta /= beta.sum()
-    return {"first": gamma[0], "moves": moves, "weight": gamma.sum(0), "sum": gamma.T @ x, "square": gamma.T @ (x * x), "likelihood": likelihood}
-
-
-def fit_hmm(rows: DataFrame, columns: Sequence[str], k: int = 3, iterations: int = 10, by: str = "model_id") -> dict:
-    """One model for each ``by``, from the rows marked ``fit``, pooled over its series: each step is one grouped pass and one sum.
-
-    The start comes from quantiles of the first column. Sufficient statistics, of a
-    size that depends on states and features alone, come to the driver.
-    """
-    columns, dims = list(columns), len(columns)
-    fit = rows.where("fit").select(by, "series_id", "date", *columns).repartition(by, "series_id").sortWithinPartitions(by, "series_id", "date")
-    levels = [(i + 0.5) / k for i in range(k)]
-    starts = fit.groupBy(by).agg(
-        F.percentile(columns[0], F.array(*[F.lit(p) for p in levels])).alias("q"),
-        *[F.avg(c).alias("m_" + c) for c in columns],
-        *[F.var_pop(c).alias("v_" + c) for c in columns],
-    )
-    models = {}
-    for r in starts.collect():
-        means = np.array([[r["m_" + c] for c in columns]] * k)
-        means[:, 0] = r["q"]
-        variances = np.maximum(np.array([[r["v_" + c] for c in columns]] * k), 1e-3)
-        move = np.full((k, k), 0.05 / max(k - 1, 1))
-        np.fill_diagonal(move, 0.95)
-        models[r[by]] = {"means": means, "variances": variances, "start": np.full(k, 1 / k), "move": move}
-    flat = k + k * k + k + 2 * k * dims + 1
-    schema = f"{by} {rows.schema[by].dataType.simpleString()}, stats array<double>"
-    for _ in range(iterations):
-
-        def expect(batches: Iterator[pd.DataFrame], models=models) -> Iterator[pd.DataFrame]:
-            held = None
-            for batch in batches:
-                held = batch if held is None else pd.concat([held, batch])
-                groups = list(held.groupby([by, "series_id"], sort=False))
-                for (model, _), own in groups[:-1]:
-                    yield _flat(model, own)
-                held = groups[-1][1] if groups else None
-            if held is not None and len(held):
-                yield _flat(held[by].iloc[0], held)
-
-        def _flat(model, own, models=models) -> pd.DataFrame:
-            s = _statistics(own[columns].to_numpy(), models[model])
-            values = np.concatenate([np.ravel(s[c]) for c in ("first", "moves", "weight", "sum", "square", "likelihood")])
-            return pd.DataFrame({by: [model], "stats": [values]})
-
-        sums = fit.mapInPandas(expect, schema).groupBy(by).agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(flat)])
-        updated = {}
-        for r in sums.collect():
-            s = np.array([r[f"s{i}"] for i in range(flat)])
-            first, moves, weight, total, square = np.split(s[:-1], np.cumsum([k, k * k, k, k * dims]))
-            weight = np.maximum(weight, 1e-9)
-            means = total.reshape(k, dims) / weight[:, None]
-            variances = np.maximum(square.reshape(k, dims) / weight[:, None] - means**2, 1e-3)
-            moves = moves.reshape(k, k) + 1e-6
-            updated[r[by]] = {"means": means, "variances": variances, "start": (first + 1e-6) / (first + 1e-6).sum(), "move": moves / moves.sum(1, keepdims=True)}
-        models = updated
-    return models
-
-
-def hmm_labels(rows: DataFrame, columns: Sequence[str], models: dict, by: str = "model_id", method: str = "filter") -> DataFrame:
-    """State probabilities of each row: ``filter`` (past only), ``smooth`` or ``viterbi`` (the whole series)."""
+        a = (out[t - 1] @ move if t else start) * local[t]
+        out[t] = a / max(a.sum(), 1e-300)
+    return out
+
+
+def hmm_labels(rows: DataFrame, columns: Sequence[str], models: DataFrame, by: str = "model_id", method: str = "filter") -> DataFrame:
+    """State probabilities of each row: ``filter`` (past only), ``smooth`` or ``viterbi`` (the whole series); rows meet their model by its key."""
     columns = list(columns)
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("date")
-        model = models[own[by].iloc[0]]
-        log_local = _local(own[columns].to_numpy(), model["means"], model["variances"])
-        prob, _ = _forward(log_local, model["start"], model["move"])
+    def series(own: pd.DataFrame, means: np.ndarray, variances: np.ndarray, start: np.ndarray, move: np.ndarray) -> pd.DataFrame:
+        log_local = _local(own[columns].to_numpy(), means, variances)
+        prob = _forward(log_local, start, move)
         if method == "smooth":
             local, beta = np.exp(log_local - log_local.max(1, keepdims=True)), np.ones(prob.shape[1])
             for t in range(len(prob) - 1, -1, -1):
-                following = model["move"] @ (local[t] * beta)
+                following = move @ (local[t] * beta)
                 prob[t] = prob[t] * beta / (prob[t] * beta).sum()
                 beta = following / following.sum()
         label = prob.argmax(1)
         if method == "viterbi":
-            move, best = np.log(model["move"]), np.log(model["start"]) + log_local[0]
+            with np.errstate(divide="ignore"):
+                log_move, best = np.log(move), np.log(start) + log_local[0]
             back = np.zeros(log_local.shape, int)
             for t in range(1, len(log_local)):
-                step = best[:, None] + move
+                step = best[:, None] + log_move
                 back[t] = step.argmax(0)
                 best = step.max(0) + log_local[t]
             label[-1] = best.argmax()
@@ -304,8 +356,17 @@ def hmm_labels(rows: DataFrame, columns: Sequence[str], models: dict, by: str =
                 label[t] = back[t + 1][label[t + 1]]
         return pd.DataFrame({"series_id": own["series_id"], "date": own["date"], by: own[by], "label": label.astype("int32"), "prob": list(prob)})
 
+    def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(model):
+            return pd.DataFrame(columns=["series_id", "date", by, "label", "prob"])
+        m = model.iloc[0]
+        k = len(m["start"])
+        parts = np.reshape(m["means"], (k, -1)), np.reshape(m["variances"], (k, -1)), np.asarray(m["start"]), np.reshape(m["move"], (k, k))
+        return pd.concat([series(g, *parts) for _, g in own.sort_values(["series_id", "date"]).groupby("series_id", sort=True)])
+
     schema = f"series_id string, date date, {by} {rows.schema[by].dataType.simpleString()}, label int, prob array<double>"
-    return rows.select(by, "series_id", "date", *columns).groupBy(by, "series_id").applyInPandas(run, schema)
+    own = rows.select(by, "series_id", "date", *columns).groupBy(by)
+    return own.cogroup(models.groupBy(by)).applyInPandas(run, schema)
 
 
 def refit_schedule(rows: DataFrame, first: int = 504, every: int = 63) -> DataFrame:

@@ -230,17 +230,17 @@ def hmm_regimes(spark, sf_dir):
     """A hidden Markov model a series, filtered."""
     rows, fit = _fit_rows(spark, sf_dir)
     fit = fit.withColumn("model_id", F.col("series_id"))
-    models = regimes.fit_hmm(fit, _FIT[:2], 3, 6)
-    return _days(regimes.hmm_labels(fit, _FIT[:2], models), rows)
+    models = regimes.fit_hmm(fit, _FIT)
+    return _days(regimes.hmm_labels(fit, _FIT, models), rows)
 
 
 @query()
 def hmm_walk_forward(spark, sf_dir):
     """Refits on growing windows, all at once, each labelling the rows up to the next."""
     _, fit = _fit_rows(spark, sf_dir)
-    plan = regimes.refit_schedule(fit.drop("fit"), 504, 252)
-    models = regimes.fit_hmm(plan, _FIT[:2], 3, 4)
-    labels = regimes.hmm_labels(plan.where("fit or test"), _FIT[:2], models)
+    plan = regimes.refit_schedule(fit.drop("fit"))
+    models = regimes.fit_hmm(plan, _FIT)
+    labels = regimes.hmm_labels(plan.where("fit or test"), _FIT, models)
     tested = plan.where("test").select("model_id", "series_id", "date", "refit")
     rows = labels.join(tested, ["model_id", "series_id", "date"])
     return rows.groupBy("series_id", "refit", "label").agg(F.count("*").alias("days"))
@@ -282,5 +282,5 @@ def nested_walk_forward(spark, sf_dir):
     """Monthly direction with the regularisation chosen inside each training window."""
     rows, _ = _monthly(spark, sf_dir)
     pooled = rows.select("series_id", "t0", "t1", "y", *learning.BASE_FEATURES)
-    roles = validation.walk_forward_folds(pooled.select("series_id", "t0", "t1"), 24, 48)
-    return learning.nested_walk_forward(pooled, roles, learning.BASE_FEATURES, (0.001, 0.1))
+    roles = validation.walk_forward_folds(pooled.select("series_id", "t0", "t1"), 24, 12)
+    return learning.nested_walk_forward(pooled, roles, learning.BASE_FEATURES, (0.001, 0.01, 0.1, 1.0, 10.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import random
 
@@ -258,9 +259,41 @@ def test_planted_regimes_are_found(spark):
     truth = np.repeat([0, 1, 2, 1, 0, 2], 120)
     x = rng.normal(np.array([-2.0, 0.0, 3.0])[truth], 0.5)
     rows = spark.createDataFrame([("a", DAY0 + dt.timedelta(days=i), float(v), "m", True) for i, v in enumerate(x)], "series_id string, date date, f double, model_id string, fit boolean")
-    models = regimes.fit_hmm(rows, ["f"], 3, 8)
-    assert sorted(models["m"]["means"][:, 0]) == pytest.approx([-2, 0, 3], abs=0.2)
+    models = regimes.fit_hmm(rows, ["f"], 3)
+    model = models.first()
+    assert model["steps"] < 100 and sorted(model["means"]) == pytest.approx([-2, 0, 3], abs=0.2)
     for method in ("filter", "smooth", "viterbi"):
         got = [r["label"] for r in regimes.hmm_labels(rows, ["f"], models, method=method).orderBy("date").collect()]
-        order = np.argsort(np.argsort(models["m"]["means"][:, 0]))
+        order = np.argsort(np.argsort(model["means"]))
         assert np.mean(order[got] == truth) > 0.97
+
+
+def test_expected_states_equal_enumeration():
+    """Shares and moves of a batch (series of two lengths, one model with two series) against the sum over all state paths."""
+    rng = np.random.default_rng(9)
+    k, sizes = 2, [[5], [3], [2, 3]]
+    x, real, begins = np.zeros((5, 3, 2)), np.zeros((5, 3), bool), np.ones((5, 3), bool)
+    for m, parts in enumerate(sizes):
+        x[: sum(parts), m], real[: sum(parts), m] = rng.normal(size=(sum(parts), 2)), True
+        begins[1 : sum(parts), m] = False
+        for cut in np.cumsum(parts)[:-1]:
+            begins[cut, m] = True
+    means, variances = rng.normal(size=(3, k, 2)), rng.uniform(0.5, 2, (3, k, 2))
+    start, move = rng.dirichlet(np.ones(k), 3), rng.dirichlet(np.ones(k), (3, k))
+    gamma, moves, likelihood = regimes._expected(x, real, begins, means, variances, start, move)
+    for m, parts in enumerate(sizes):
+        begin, want_moves, want_likelihood = 0, np.zeros((k, k)), 0.0
+        for n in parts:
+            local = np.exp(regimes._local(x[begin : begin + n, m], means[m], variances[m]))
+            paths = list(itertools.product(range(k), repeat=n))
+            weight = np.array([start[m, p[0]] * np.prod([move[m, a, b] for a, b in zip(p, p[1:])]) * np.prod([local[t, s] for t, s in enumerate(p)]) for p in paths])
+            want_likelihood += np.log(weight.sum())
+            weight /= weight.sum()
+            for t in range(n):
+                assert gamma[begin + t, m] == pytest.approx([sum(w for w, p in zip(weight, paths) if p[t] == s) for s in range(k)])
+            for w, p in zip(weight, paths):
+                for a, b in zip(p, p[1:]):
+                    want_moves[a, b] += w
+            begin += n
+        assert moves[m] == pytest.approx(want_moves) and likelihood[m] == pytest.approx(want_likelihood)
+        assert not gamma[begin:, m].any()
