@@ -1,17 +1,22 @@
 """Best-fit packing of tokenized documents into sequences of fixed capacity.
 
-Bulk-synchronous best fit: pieces are range-sorted by length over the cluster,
-and gaps by size. Both sorted lists are kept as runs (a length or a gap, and how
-many there are), at most ``capacity`` of each, however many documents there are.
-In a superstep the pieces of one run, longest first, sweep to their successor
-gaps (the smallest that take them); where they compete, the i-th piece by rank
-takes the i-th gap; the gaps shrink, and the sweep repeats until the run is
-placed, opening new sequences when no gap is left. The matching runs on the driver
-(:func:`placements`), over the histogram of runs, because that has at most
-``capacity`` entries whatever the input; gaps are never a distributed table, and
-only the ranking sort and the look-up by rank run in Spark. The supersteps yield
-placements of whole rank ranges; each piece then finds its own by its rank,
-which comes from the distributed sort.
+Bulk-synchronous best fit (:func:`pack`). The free space of open sequences is a
+table of gaps. In a superstep
+
+1. the longest pieces that no gap takes get as many empty sequences as they fill;
+2. gaps are split into equal slots that take the longest piece, so that a wide gap
+   can receive many pieces at once;
+3. pieces and slots are range-sorted by size over the cluster, and each piece
+   sweeps to its successor slot. Pieces that compete are ranked: the longer goes
+   first, so a piece gets the nearest slot that no longer piece has taken. That is
+   how brackets match, pieces opening and slots closing them. Each range matches its own;
+   what is left over matches across ranges by its nesting level, of which a range
+   has at most one opening and one closing bracket;
+4. the gaps shrink by what they took, and the next superstep takes the pieces left.
+
+Each superstep's tables are written to the shared folder. The driver sees a
+histogram of at most ``capacity`` lengths and gaps, and the counts of each range.
+Offsets follow at the end from the running lengths in each sequence.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed as
 often as they occur; an empty table gives no rows.
@@ -21,8 +26,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -192,98 +197,138 @@ def pieces(
     return named.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def placements(lengths: dict[int, int], capacity: int) -> np.ndarray:
-    """Best fit, longest first, on runs: rows (length, rank, count, sequence, offset).
+#: Pieces and slots in a range, which a task sorts and matches in memory (some 30 bytes each).
+RANGE_ROWS = 1 << 18
+_PLACED, _PIECE, _SLOT = 0, 1, 2
 
-    The pieces of ``length`` with ranks from ``rank`` go to ``count`` sequences
-    from ``sequence`` on, one each, at ``offset``.
+
+def brackets(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of opening, places of closing brackets) that match, of a row of brackets."""
+    depth = np.cumsum(np.where(opens, 1, -1))
+    level = depth + ~opens
+    order = np.argsort(level, kind="stable")
+    here, there = order[:-1], order[1:]
+    pair = (level[here] == level[there]) & opens[here] & ~opens[there]
+    return here[pair], there[pair]
+
+
+def _swept(items: DataFrame, parts: int) -> DataFrame:
+    """Match pieces and slots (is_slot, size, id) inside size ranges: (part, role, id, size, sequence, nth).
+
+    ``nth`` counts a range's left-over pieces and slots, each from 0 in the order of size.
     """
-    gaps: dict[int, deque] = {}  # gap: runs (sequence, count)
-    opened, out = 0, []
-
-    def sweep(length: int, rank: int, left: int, gap: int, sequence: int, count: int) -> int:
-        """Fill ``count`` sequences with this gap, each as often as the length fits; returns how many were placed."""
-        fits = gap // length
-        whole = min(count, left // fits)
-        for sequences, first, times in ((whole, sequence, fits), (int(whole < count and left % fits > 0), sequence + whole, left % fits)):
-            if not sequences:
-                continue
-            for k in range(times):
-                out.append((length, rank, sequences, first, capacity - gap + k * length))
-                rank += sequences
-            if rest := gap - times * length:
-                gaps.setdefault(rest, deque()).append((first, sequences))
-        untouched = count - whole - int(whole < count and left % fits > 0)
-        if untouched:
-            gaps.setdefault(gap, deque()).appendleft((sequence + count - untouched, untouched))
-        return whole * fits + (left % fits if whole < count else 0)
-
-    for length in sorted(lengths, reverse=True):
-        rank, left = 0, lengths[length]
-        while left:
-            gap = min((g for g in gaps if g >= length), default=None)
-            if gap is None:
-                count = -(-left // (capacity // length))
-                sequence, opened, gap = opened, opened + count, capacity
-            else:
-                sequence, count = gaps[gap].popleft()
-                if not gaps[gap]:
-                    del gaps[gap]
-            placed = sweep(length, rank, left, gap, sequence, count)
-            rank, left = rank + placed, left - placed
-    return np.array(out, np.int64).reshape(-1, 5)
-
-
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Rows with their rank (from 0) among those of their length, by a range sort and a running count in each part."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.desc("length"), F.asc_nulls_last("doc_id"), F.asc("piece"), F.asc("ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            length = batch.column("length").to_numpy()
-            begins = np.flatnonzero(np.concatenate([[True], length[1:] != length[:-1]]))
-            local = np.arange(len(length)) - np.repeat(begins, np.diff(np.append(begins, len(length))))
-            if length[0] == last:
-                local[: begins[1] if len(begins) > 1 else None] += seen
-            last, seen = length[-1], int(local[-1]) + 1
-            yield batch.append_column("local", pa.array(local))
-
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    local = stored(sorted_rows.mapInArrow(run, schema + ", local bigint").withColumn("part", F.spark_partition_id()), "sorted")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = local.groupBy("part", "length").count()  # at most one row for each part and for each length
-    base = base.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    return local.join(base, ["part", "length"]).withColumn("rank", F.col("local") + F.col("base")).drop("local", "base", "part")
-
-
-def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+        got = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_slot", "size", "id")] for batch in batches if batch.num_rows]
+        if not got:
+            return
+        slot, size, own = (np.concatenate(column) for column in zip(*got))
+        pieces, slots = brackets(~slot)
+        left = np.ones(len(slot), bool)
+        left[pieces] = left[slots] = False
+        for role, at, sequence in (
+            (_PLACED, pieces, own[slots]),
+            (_PIECE, np.flatnonzero(left & ~slot), None),
+            (_SLOT, np.flatnonzero(left & slot), None),
+        ):
+            columns = [
+                pa.array(np.full(len(at), role), pa.int32()),
+                pa.array(own[at], pa.int64()),
+                pa.array(size[at], pa.int64()),
+                pa.nulls(len(at), pa.int64()) if sequence is None else pa.array(sequence, pa.int64()),
+                pa.array(np.arange(len(at)), pa.int64()),
+            ]
+            yield from pa.Table.from_arrays(columns, ["role", "id", "size", "sequence", "nth"]).to_batches(1 << 16)
+
+    order = ["size", "is_slot", "id"]
+    ranges = items.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranges.mapInArrow(run, "role int, id bigint, size bigint, sequence bigint, nth bigint").withColumn("part", F.spark_partition_id())
+
+
+def _across(swept: DataFrame) -> DataFrame | None:
+    """Left-over pieces (id, size) with the ``sequence`` of the slot of a later range, or null; None if no range has one."""
+    counts = {(r["part"], r["role"]): r["count"] for r in swept.where(F.col("role") != _PLACED).groupBy("part", "role").count().collect()}
+    with_pieces = [part for part, role in counts if role == _PIECE]
+    with_slots = [part for part, role in counts if role == _SLOT]
+    if not with_pieces or not with_slots or min(with_pieces) >= max(with_slots):
+        return None
+    depth, base = 0, []
+    for part in sorted({part for part, _ in counts}):
+        after = depth - counts.get((part, _SLOT), 0)
+        base.append((part, depth, after))
+        depth = after + counts.get((part, _PIECE), 0)
+    base = swept.sparkSession.createDataFrame(base, "part int, before bigint, after bigint")  # a row for each range
+    is_piece = F.col("role") == _PIECE
+    left = swept.where((is_piece & (F.col("part") < max(with_slots))) | ((F.col("role") == _SLOT) & (F.col("part") > min(with_pieces))))
+    level = F.when(is_piece, F.col("after") + F.col("nth") + 1).otherwise(F.col("before") - F.col("nth"))
+    left = left.join(F.broadcast(base), "part").withColumn("level", level)
+    nesting = Window.partitionBy("level").orderBy("part", F.desc("role"))  # at most two rows of each range
+    mate = F.when(F.lead("role").over(nesting) == _SLOT, F.lead("id").over(nesting))
+    found = left.select("role", "id", "size", mate.alias("sequence")).where(is_piece).drop("role")
+    return found.unionByName(swept.where(is_piece & (F.col("part") >= max(with_slots))).select("id", "size", "sequence"))
+
+
+def _band(longest: int, capacity: int) -> tuple[int, int]:
+    """(how many of the longest fit into a sequence, the length below which pieces wait for the next band)."""
+    fit = capacity // longest
+    return fit, capacity // (fit + 1 if fit < 9 else max(fit + 1, fit * 23 // 20))
+
+
+def _openings(lengths: dict[int, int], free: dict[int, int], capacity: int) -> int:
+    """How many empty sequences the longest pieces need that no gap takes; short pieces also get what all of them lack."""
+    longest, widest = max(lengths), max(free, default=0)
+    fit, low = _band(longest, capacity)
+    needed = -(-sum(n for length, n in lengths.items() if length > max(low, widest)) // fit) if longest > widest else 0
+    if 8 * longest <= capacity:
+        lack = sum(length * n for length, n in lengths.items()) - sum(gap * n for gap, n in free.items())
+        needed = max(needed, -(-lack // capacity))
+    return needed
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add (sequence_id, offset) to pieces with a ``length`` of at most ``capacity``."""
-    lengths = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    plan = placements(lengths, capacity)
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    start = plan[:, 0] << 40 | plan[:, 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            at = np.searchsorted(start, batch.column("length").to_numpy() << 40 | rank, "right") - 1
-            out = pa.Table.from_batches([batch]).drop_columns(["rank"])
-            out = out.append_column("sequence_id", pa.array(plan[at, 3] + rank - plan[at, 1]))
-            yield from out.append_column("offset", pa.array(plan[at, 4])).to_batches()
-
-    ranked = _ranked(rows)
-    kept = [c for c in ranked.columns if c != "rank"]
-    schema = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in kept)
-    return ranked.select(*kept, "rank").mapInArrow(run, schema + ", sequence_id bigint, offset bigint")
+    spark = rows.sparkSession
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = [rows.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"))]  # they fill sequences of their own
+    pieces = rows.where(F.col("length") < capacity).select(F.col("row").alias("id"), F.col("length").cast("bigint").alias("size"))
+    gaps, opened = spark.createDataFrame([], "id bigint, size bigint"), 0
+    while True:
+        both = pieces.select("size", F.lit(False).alias("is_slot")).unionByName(gaps.select("size", F.lit(True).alias("is_slot")))
+        counts = both.groupBy("is_slot", "size").count().collect()  # at most 2 * ``capacity`` rows
+        lengths = {r["size"]: r["count"] for r in counts if not r["is_slot"]}
+        free = {r["size"]: r["count"] for r in counts if r["is_slot"]}
+        if not lengths:
+            break
+        new, longest, shortest = _openings(lengths, free, capacity), max(lengths), min(lengths)
+        if new:
+            gaps = gaps.unionByName(spark.range(opened, opened + new).select("id", F.lit(capacity).cast("bigint").alias("size")))
+            free[capacity] = free.get(capacity, 0) + new
+            opened += new
+        many = F.greatest(F.floor(F.col("size") / longest), F.lit(1))
+        sizes = F.array_repeat(F.floor(F.col("size") / many), many.cast("int"))  # equal, so that neighbours by rank share a sequence
+        slots = gaps.where(F.col("size") >= shortest).select("id", F.explode(sizes).alias("size"), F.lit(True).alias("is_slot"))
+        total = sum(lengths.values()) + sum(n * max(gap // longest, 1) for gap, n in free.items() if gap >= shortest)
+        items = pieces.withColumn("is_slot", F.lit(False)).unionByName(slots)
+        swept = stored(_swept(items, -(-total // range_rows)), "swept")
+        matched = swept.where(F.col("role") == _PLACED).select("id", "size", "sequence")
+        across = _across(swept)
+        if across is None:
+            pieces = swept.where(F.col("role") == _PIECE).select("id", "size")
+        else:
+            across = stored(across, "across")
+            matched = matched.unionByName(across.where("sequence is not null"))
+            pieces = across.where("sequence is null").select("id", "size")
+        placed.append(matched.select(F.col("id").alias("row"), F.col("sequence").alias("sequence_id")))
+        taken = matched.select(F.col("sequence").alias("id"), (-F.col("size")).alias("size"))
+        gaps = gaps.unionByName(taken).groupBy("id").agg(F.sum("size").alias("size")).where(F.col("size") >= shortest)
+        gaps = stored(gaps, "gaps")
+    places = reduce(DataFrame.unionByName, placed)
+    before = Window.partitionBy("sequence_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")
+    return rows.join(places, "row").withColumn("offset", offset).drop("row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **columns: str) -> DataFrame:
     """Tokenize, cut and pack whole documents."""
-    cut = stored(pieces(docs, tokenizer_path, capacity, **columns), "pieces")
-    out = pack(cut, capacity)
+    out = pack(pieces(docs, tokenizer_path, capacity, **columns), capacity)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -16,6 +16,7 @@ import pytest
 
 from panelquant.llm import chat, decontaminate, entry, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from panelquant.llm.components import components
+from panelquant.llm.scratch import stored
 from panelquant.llm.tokenizer import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -538,15 +539,46 @@ def brute_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_placements_equal_sequential_best_fit():
+def test_brackets_match_like_a_stack():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        opens, stack, want = rng.random(rng.integers(1, 40)) < 0.5, [], set()
+        for i, opening in enumerate(opens):
+            if opening:
+                stack.append(i)
+            elif stack:
+                want.add((stack.pop(), i))
+        assert set(zip(*(a.tolist() for a in packing.brackets(opens)))) == want
+
+
+@pytest.mark.parametrize("range_rows", [1 << 18, 25])
+@pytest.mark.parametrize("low,high,n", [(1, 64, 160), (20, 24, 90), (1, 6, 200)])
+def test_packing_is_as_tight_as_sequential_best_fit(spark, low, high, n, range_rows):
+    """One range, or many whose left-overs match across them; all pieces come back, once each."""
     rng = random.Random(13)
-    for capacity in (7, 20, 64):
-        for _ in range(60):
-            lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 120))]
-            plan = packing.placements(dict(Counter(lengths)), capacity)
-            rows = [{"sequence_id": s + j, "offset": o, "length": n} for n, _, count, s, o in plan.tolist() for j in range(count)]
-            assert Counter(r["length"] for r in rows) == Counter(lengths)
-            assert assert_packed(rows, capacity) == brute_best_fit(lengths, capacity)
+    lengths = [rng.randrange(low, high + 1) for _ in range(n)]
+    rows = spark.createDataFrame([(i, length) for i, length in enumerate(lengths)], "doc_id bigint, length bigint")
+    out = packing.pack(rows, 64, range_rows).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(lengths))
+    best = brute_best_fit(lengths, 64)
+    assert assert_packed(out, 64) <= best + 1 + best // 50
+
+
+def test_sweeps_across_ranges_equal_one_sweep(spark):
+    """Pieces and slots matched in several ranges and then across them, against brackets over all of them."""
+    rng = random.Random(14)
+    items = [(rng.random() < 0.5, rng.randrange(1, 50), i) for i in range(150)]
+    ordered = sorted(items, key=lambda r: (r[1], r[0], r[2]))
+    pieces, slots = packing.brackets(np.array([not slot for slot, _, _ in ordered]))
+    want = {(ordered[a][2], ordered[b][2]) for a, b in zip(pieces.tolist(), slots.tolist())}
+    frame = spark.createDataFrame(items, "is_slot boolean, size bigint, id bigint")
+    swept = stored(packing._swept(frame, 6), "swept")
+    found = {(r["id"], r["sequence"]) for r in swept.where("role = 0").collect()}
+    across = packing._across(swept)
+    rows = across.collect() if across is not None else []
+    found |= {(r["id"], r["sequence"]) for r in rows if r["sequence"] is not None}
+    assert found == want
+    assert {r["id"] for r in rows if r["sequence"] is None} == {i for slot, _, i in items if not slot} - {p for p, _ in want}
 
 
 # 10 -----------------------------------------------------------------------------------------------------------
