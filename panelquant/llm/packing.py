@@ -271,7 +271,7 @@ def _across(swept: DataFrame) -> DataFrame | None:
 def _band(longest: int, capacity: int) -> tuple[int, int]:
     """(how many of the longest fit into a sequence, the length below which pieces wait for the next band)."""
     fit = capacity // longest
-    return fit, capacity // (fit + 1 if fit < 9 else max(fit + 1, fit * 23 // 20))
+    return fit, capacity // max(fit + 1, fit * 3 // 2)
 
 
 def _openings(lengths: dict[int, int], free: dict[int, int], capacity: int) -> int:
@@ -279,7 +279,7 @@ def _openings(lengths: dict[int, int], free: dict[int, int], capacity: int) -> i
     longest, widest = max(lengths), max(free, default=0)
     fit, low = _band(longest, capacity)
     needed = -(-sum(n for length, n in lengths.items() if length > max(low, widest)) // fit) if longest > widest else 0
-    if 8 * longest <= capacity:
+    if 4 * longest <= capacity:
         lack = sum(length * n for length, n in lengths.items()) - sum(gap * n for gap, n in free.items())
         needed = max(needed, -(-lack // capacity))
     return needed
@@ -309,9 +309,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS
         slots = gaps.where(F.col("size") >= shortest).select("id", F.explode(sizes).alias("size"), F.lit(True).alias("is_slot"))
         total = sum(lengths.values()) + sum(n * max(gap // longest, 1) for gap, n in free.items() if gap >= shortest)
         items = pieces.withColumn("is_slot", F.lit(False)).unionByName(slots)
-        swept = stored(_swept(items, -(-total // range_rows)), "swept")
+        parts = -(-total // range_rows)
+        swept = stored(_swept(items, parts), "swept")
         matched = swept.where(F.col("role") == _PLACED).select("id", "size", "sequence")
-        across = _across(swept)
+        across = _across(swept) if parts > 1 else None  # one range has matched all it holds
         if across is None:
             pieces = swept.where(F.col("role") == _PIECE).select("id", "size")
         else:
