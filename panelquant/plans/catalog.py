@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inference, labels, models, runs, stores, studies
+from . import audits, inference, labels, models, runs, stores, studies
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "inference", "labels", "models", "runs", "stores", "studies"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "inference", "labels", "models", "runs", "stores", "studies"]
