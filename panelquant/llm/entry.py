@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import alignment, chat, decontaminate, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity, vector_codes
 from .tokenizer import tokenizer_path
 
 
@@ -64,6 +64,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_turns(_read(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every embedding by eight codebooks of sixteen entries."""
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, in groups that cover the same bytes."""
+    return alignment.digest(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +87,8 @@ QUERIES = {
         op8_language,
         op9_packing,
         op10_chat_format,
+        op11_vector_codes,
+        op12_tokenizer_alignment,
     )
 }
 

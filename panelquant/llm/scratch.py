@@ -41,16 +41,27 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    files = df.inputFiles()
+    for entry in [w for w in _written if any(f"/{w[1].rsplit('/', 1)[1]}/" in f for f in files)]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables written so far; results that still read them must have been stored."""
     while _written:
-        spark, path = _written.pop()
         try:
-            context = spark.sparkContext
-            if context._jsc is None:
-                continue
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended; the folder's owner clears it
             return
