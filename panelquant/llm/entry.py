@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, decontaminate, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity, vector_codes
+from . import alignment, chat, decontaminate, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, substrings, toxicity, vector_codes
 from .tokenizer import tokenizer_path
 
 
@@ -74,6 +74,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages of 20 words that start earlier in the corpus."""
+    return substrings.drop_repeats(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,12 +94,69 @@ QUERIES = {
         op10_chat_format,
         op11_vector_codes,
         op12_tokenizer_alignment,
+        op13_substring_dedup,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The k-means rounds one after the other; the bounds only save distances, so they don't show in the rows."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT r, p, e, d FROM (
+    SELECT v.r, v.p, c.e, sum((v.x - c.x) * (v.x - c.x)) AS d,
+           row_number() OVER (PARTITION BY v.r, v.p ORDER BY sum((v.x - c.x) * (v.x - c.x)), c.e) AS n
+    FROM v JOIN c{k} c ON c.p = v.p AND c.i = v.i GROUP BY v.r, v.p, c.e)
+  WHERE n = 1)"""
+
+    def moved(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, c.i, CASE WHEN m.n IS NULL THEN c.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x
+  FROM c{k} c LEFT JOIN (
+    SELECT v.p, a.e, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN a{k} a ON a.r = v.r AND a.p = v.p GROUP BY ALL
+  ) m ON m.p = c.p AND m.e = c.e AND m.i = c.i)"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), flat AS (
+  SELECT r, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS j, len(embedding) // {parts} AS w FROM kept
+), v AS MATERIALIZED (SELECT r, j // w AS p, j % w AS i, CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT) AS x FROM flat),
+c0 AS (SELECT p, r - 1 AS e, i, x FROM v WHERE r <= {entries}),
+{steps},
+{assigned(rounds)},
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.e), '' ORDER BY a.p) AS code, CAST(sum(a.d) AS BIGINT) AS error
+  FROM a{rounds} a JOIN kept k ON k.r = a.r GROUP BY k.r, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM c{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _vector_codes_sql(),
+    "op13_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 19)) AS i)
+  WHERE len(w) >= 20
+), again AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), removed AS (SELECT DISTINCT r, unnest(generate_series(i, i + 19)) AS k FROM again),
+words AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM d),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN removed USING (r, k) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+""",
     "op4_decontamination": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
