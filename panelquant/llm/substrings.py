@@ -16,8 +16,7 @@ folder or a shuffle:
    more than ``HOT`` contents is dealt by whole windows instead, over many shards;
 4. the reported windows meet the documents.
 
-Documents are joined by id and a hash of the text; that side is broadcast only while it
-is small. Hashes of words have 64 bits.
+Documents are joined by id and a hash of the text. Hashes of words have 64 bits.
 
 Cases: null and empty texts have no words. Windows at the same id and position (repeated rows,
 or texts that share an id) aren't earlier than one another. A null id comes last.
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from . import packed
 from . import textops as T
 from .fm_index import FmIndex
-from .scratch import BROADCAST_BYTES, stored
+from .scratch import stored
 
 WINDOW, GRAM = 20, 10
 #: Words of an index shard, and contents of a minimizer beyond which its windows are dealt one by one.
@@ -208,11 +207,7 @@ def _by_document(found: DataFrame) -> DataFrame:
 
 def _with_spans(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Documents (doc_id, tag, text, spans)."""
-    spans = stored(_by_document(found), "spans")
-    size = spans.agg(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0
-    spans = spans.withColumnsRenamed({"doc_id": "own_id", "tag": "own_tag"})
-    if size <= BROADCAST_BYTES:
-        spans = F.broadcast(spans)
+    spans = _by_document(found).withColumnsRenamed({"doc_id": "own_id", "tag": "own_tag"})
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tag") == F.col("own_tag"))
     return docs.join(spans, same, how).select("doc_id", "tag", "text", "spans")
 
