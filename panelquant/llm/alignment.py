@@ -485,33 +485,32 @@ def _long(texts: DataFrame, paths: tuple[str, str], size: int, context: int, fan
     groups = levels[0].where("kind = 1")
     for level in levels[1:]:
         groups = groups.unionByName(level.where("kind = 1"))
-    broken = groups.where("not whole").select("row").distinct()
-    groups = groups.join(broken, "row", "left_anti")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            key, sums, digest, held = None, None, None, b""
+            key, whole, sums, digest, held = None, True, None, None, b""
             for batch in batches:
                 for r in batch.to_pylist():
                     if r["row"] != key:
-                        if key is not None:
+                        if whole and key is not None:
                             digest.update(held[:-1])
                             yield {"row": key, **sums, "groups_sha256": digest.hexdigest()}
-                        key, sums, digest, held = r["row"], dict.fromkeys(_COUNTS, 0), hashlib.sha256(), b""
+                        key, whole, sums, digest, held = r["row"], True, dict.fromkeys(_COUNTS, 0), hashlib.sha256(), b""
+                    whole &= r["whole"]
                     for c in _COUNTS:
                         sums[c] += r[c]
                     digest.update(held)
                     held = r["groups"]
-            if key is not None:
+            if whole and key is not None:
                 digest.update(held[:-1])
                 yield {"row": key, **sums, "groups_sha256": digest.hexdigest()}
 
         for d in rows():
             yield pa.RecordBatch.from_pylist([d], _DIGEST_ARROW)
 
-    dealt = groups.select("row", "at", *_COUNTS, "groups").repartition("row").sortWithinPartitions("row", "at")
+    dealt = groups.select("row", "at", "whole", *_COUNTS, "groups").repartition("row").sortWithinPartitions("row", "at")
+    digests = stored(dealt.mapInArrow(run, "row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"), "digests")
     pairs = groups.select("row", F.inline(F.arrays_zip("pairs", "times"))).groupBy("row", F.col("pairs").alias("pair")).agg(F.sum("times").alias("times"))
-    return dealt.mapInArrow(run, "row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"), pairs
+    return digests, stored(pairs.join(digests.select("row"), "row", "left_semi"), "links")
 
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -576,9 +575,9 @@ def align_documents(
     long = stored(named.where(size > range_bytes).withColumn("row", 2 * F.col("row") + 1), "long")
     digests, long_links = _long(long.select("row", "text"), paths, range_bytes, context_bytes, fan)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS]
-    found = long.select("row", "doc_id").join(digests, "row", "left").select("row", "doc_id", *counts, F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
+    found = stored(long.select("row", "doc_id").join(digests, "row", "left"), "named").select("row", "doc_id", *counts, F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
     short_links = short.select("row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
-    return short.select(found.columns).unionByName(found), short_links.unionByName(stored(long_links, "links"))
+    return short.select(found.columns).unionByName(found), short_links.unionByName(long_links)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
