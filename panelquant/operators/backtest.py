@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelquant.functions.columns import change, ordered, so_far
@@ -56,13 +56,32 @@ def run_portfolio_backtest(weights: DataFrame, cost_bps: float = 5.0, keys: Sequ
         F.avg("r").alias("benchmark_return"),
     )
     days = days.withColumn("strategy_return", F.col("gross_return") - F.col("cost"))
-    own = so_far(ordered(keys) if keys else ordered([F.lit(0)]))  # one row a date: a panel's dates are few
-    return days.withColumns(
-        {
-            "equity_curve": F.product(1 + F.col("strategy_return")).over(own),
-            "benchmark_curve": F.product(1 + F.col("benchmark_return")).over(own),
-        }
-    ).drop("benchmark_return")
+    growth = {"equity_curve": 1 + F.col("strategy_return"), "benchmark_curve": 1 + F.col("benchmark_return")}
+    return compounded(days, growth, keys).drop("benchmark_return")
+
+
+def compounded(rows: DataFrame, growth: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Running products of factors by date, of each key or of all rows.
+
+    Products run in each month; a month's starts from the product of the months before, an array of
+    one value a month. So no task holds a key's rows. A null factor is left out.
+    """
+    block = F.trunc("date", "MM")
+    inside = so_far(ordered([*keys, "block"]))
+    rows = rows.withColumn("block", block).withColumns({c: F.coalesce(F.product(x).over(inside), F.lit(1.0)) for c, x in growth.items()})
+    rows = rows.withColumns({f"has_{c}": F.count(x).over(inside) for c, x in growth.items()})
+    last = {c: F.max_by(c, "date").alias(c) for c in growth}
+    seen = {c: F.max(f"has_{c}").alias(f"has_{c}") for c in growth}
+    months = rows.groupBy(*keys, "block").agg(*last.values(), *seen.values())
+    months = months.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *growth, *[f"has_{c}" for c in growth]))).alias("m"))
+    place = months.select(*keys, "m", F.posexplode("m").alias("i", "own"))
+    before = F.slice("m", 1, F.col("i"))
+    product = lambda c: F.aggregate(before, F.lit(1.0), lambda acc, x: acc * x[c])
+    count = lambda c: F.aggregate(before, F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+    carried = place.select(*keys, F.col("own.block").alias("block"), *[product(c).alias(f"before_{c}") for c in growth], *[count(f"has_{c}").alias(f"seen_{c}") for c in growth])
+    rows = rows.join(carried, [*keys, "block"])
+    rows = rows.withColumns({c: F.when(F.col(f"seen_{c}") + F.col(f"has_{c}") > 0, F.col(c) * F.col(f"before_{c}")) for c in growth})
+    return rows.drop("block", *[f"{p}_{c}" for p in ("has", "before", "seen") for c in growth])
 
 
 def strategy_returns(rows: DataFrame, cost_bps: float = 5.0, keys: Sequence[str] = ("series_id",), by: str = "t0") -> DataFrame:

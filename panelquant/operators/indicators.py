@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -51,32 +51,91 @@ def next_day_label(bars: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return bars.select(*keys, "date", F.when(following.isNotNull(), (following > F.col("close")).cast("double")).alias("y"))
 
 
-def expanding_rank(rows: DataFrame, value: str, out: str, least: int, keys: Sequence[str] = KEY) -> DataFrame:
-    """Add the value's rank among the values so far, as a share, ties averaged; null before ``least`` values.
+def earlier_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smaller, equal) values before each one.
 
-    One pass over each series in date order with a sorted list: n log n a series,
-    where a window of collected lists would be quadratic.
+    Blocks of 1, 2, 4, ... values are merged with their left neighbours; a level is one
+    sort of all values, after which a running count tells how many of the left block lie below.
     """
-    columns = rows.columns
+    n = len(x)
+    value = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    smaller, equal = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, size = np.arange(n), 1
+    while size < n:
+        pair, right = at // (2 * size), at // size % 2 == 1
+        order = np.argsort((pair * n + value) * 2 + right, kind="stable")  # of equal values, the left block's first
+        left = np.cumsum(~right[order])
+        start = np.concatenate([[True], np.diff(pair[order]) != 0])
+        tie = start | np.concatenate([[True], np.diff(value[order]) != 0])
+        before = left - ~right[order]
+        base, below = before[np.maximum.accumulate(np.where(start, at, 0))], before[np.maximum.accumulate(np.where(tie, at, 0))]
+        own = right[order]
+        smaller[order[own]] += (below - base)[own]
+        equal[order[own]] += (left - below)[own]
+        size *= 2
+    return smaller, equal
+
+
+class _Past:
+    """The values of a series so far, as sorted runs of falling length."""
+
+    def __init__(self):
+        self.runs: list[np.ndarray] = []
+        self.n = 0
+
+    def ranks(self, x: np.ndarray, least: int) -> np.ndarray:
+        """Each value's rank among itself and all before it, as a share; NaN before ``least`` values. Then add them."""
+        smaller, equal = earlier_counts(x)
+        for run in self.runs:
+            low = np.searchsorted(run, x, "left")
+            smaller, equal = smaller + low, equal + np.searchsorted(run, x, "right") - low
+        seen = self.n + np.arange(1, len(x) + 1)
+        self.n += len(x)
+        self.runs.append(np.sort(x))
+        while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
+        return np.where(seen >= least, (smaller + (equal + 2) / 2) / seen, np.nan)
+
+
+def by_series(rows: DataFrame, keys: Sequence[str], schema: str, start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """Rows in date order through a function with a state: ``start()`` makes a new one for each series, which gets it in pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, past = None, []
+        own, step = None, None
         for batch in batches:
-            ranks = []
-            for key, x in zip(batch[list(keys)].itertuples(index=False, name=None), batch[value]):
-                if key != own:
-                    own, past = key, []
-                if pd.isna(x):
-                    ranks.append(None)
+            key = batch[list(keys)]
+            cut = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+            for a, b in zip([0, *cut[cut > 0].tolist()], [*cut[cut > 0].tolist(), len(batch)]):
+                if a == b:
                     continue
-                low, high = bisect.bisect_left(past, x), bisect.bisect_right(past, x)
-                past.insert(high, x)
-                ties = high - low + 1
-                ranks.append((low + (ties + 1) / 2) / len(past) if len(past) >= least else None)
-            yield batch.assign(**{out: pd.array(ranks, dtype="Float64")})
-
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "date").mapInPandas(run, f"{schema}, `{out}` double")
+                name = tuple(key.iloc[a])
+                if name != own:
+                    own, step = name, start()
+                yield step(batch.iloc[a:b])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "date").mapInPandas(run, schema)
+
+
+def expanding_rank(rows: DataFrame, value: str, out: str, least: int, keys: Sequence[str] = KEY) -> DataFrame:
+    """Add the value's rank among the values so far, as a share, ties averaged; null before ``least`` values.
+
+    One pass over each series in date order, a batch at a time against the sorted runs of the
+    batches before; n log n, and only the values are kept.
+    """
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        past = _Past()
+
+        def step(own: pd.DataFrame) -> pd.DataFrame:
+            x = own[value].to_numpy(float)
+            ranks, there = np.full(len(x), np.nan), ~np.isnan(x)
+            ranks[there] = past.ranks(x[there], least)
+            return own.assign(**{out: pd.array(ranks, dtype="Float64")})
+
+        return step
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return by_series(rows, keys, f"{schema}, `{out}` double", start)
 
 
 def regime_features(bars: DataFrame, vol: int = 20, trend: int = 60, long: int = 252, keys: Sequence[str] = KEY) -> DataFrame:

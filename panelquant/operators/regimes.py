@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelquant.functions.columns import DAYS, last_rows, ordered, rolling, so_far
 
-from .indicators import KEY, standardized, with_returns
+from .indicators import KEY, by_series, standardized, with_returns
 
 UNKNOWN = -1
 RULES = {0: "Calm Uptrend", 1: "Slow Bleed", 2: "Volatile Rally", 3: "Crisis / Selloff"}
@@ -63,16 +63,44 @@ def rolling_mode(labels: DataFrame, window: int = 5, keys: Sequence[str] = KEY)
     return _put_back(labels, rows.select(*keys, "date", F.mode("label", True).over(last_rows(ordered(keys), window)).alias("smooth")), keys)
 
 
-def smoothed_probabilities(rows: DataFrame, column: str = "prob", span: int = 5, keys: Sequence[str] = KEY, frame: int = 60) -> DataFrame:
-    """Exponentially weighted class probabilities (not adjusted), and the label with the largest.
+def exponential_mean(x: np.ndarray, alpha: float, carry: np.ndarray | None = None) -> np.ndarray:
+    """y[t] = (1 - alpha) * y[t - 1] + alpha * x[t] along the rows, from y[0] = x[0] or from the last row of the rows before.
 
-    The recursion runs over the last ``frame`` rows, beyond which weights are below (1 - 2 / (span + 1)) ** frame.
+    A step is affine in y, and so are blocks of steps: in a block the sum is a running one of
+    x / (1 - alpha) ** t, short enough not to overflow, and the last row goes on to the next block.
+    """
+    keep = 1 - alpha
+    block = int(np.clip(200 / -np.log(keep), 1, 4096)) if 0 < keep < 1 else 1
+    out = np.empty_like(x)
+    for a in range(0, len(x), block):
+        own = x[a : a + block]
+        power = keep ** np.arange(1, len(own) + 1)[:, None]
+        start = own[0] if carry is None else carry  # as the first row's own mean is itself, it may come before it as well
+        out[a : a + block] = power * (start + np.cumsum(alpha * own / power, axis=0)) if keep else own
+        carry = out[a + len(own) - 1]
+    return out
+
+
+def smoothed_probabilities(rows: DataFrame, column: str = "prob", span: int = 5, keys: Sequence[str] = KEY) -> DataFrame:
+    """Exponentially weighted class probabilities (not adjusted) over the whole series, and the label with the largest.
+
+    A series is one pass in date order that keeps the last row's values; arrays of a series are equally long and without nulls.
     """
     alpha = 2.0 / (span + 1)
-    past = F.collect_list(column).over(last_rows(ordered(keys), frame))
-    step = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, v: a * (1 - alpha) + v * alpha))
-    mixed = F.aggregate(past, F.array().cast("array<double>"), step)
-    return rows.withColumn("smooth_prob", mixed).withColumn("label", F.array_position("smooth_prob", F.array_max("smooth_prob")).cast("int") - 1)
+    kept = [c for c in rows.columns if c not in ("smooth_prob", "label")]
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        last: list[np.ndarray | None] = [None]
+
+        def step(own: pd.DataFrame) -> pd.DataFrame:
+            smooth = exponential_mean(np.stack(own[column].to_list()).astype(float), alpha, last[0])
+            last[0] = smooth[-1]
+            return own[kept].assign(smooth_prob=list(smooth), label=smooth.argmax(1).astype("int32"))
+
+        return step
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return by_series(rows, keys, f"{schema}, smooth_prob array<double>, label int", start)
 
 
 def _put_back(labels: DataFrame, smooth: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -256,3 +256,20 @@ def regime_names(spark, sf_dir):
     rows = features(spark, sf_dir).select("series_id", "date", "vol_20d", "trend_60d", "vol_percentile")
     _, names = regimes.order_and_name(labels5(spark, sf_dir), rows)
     return names.withColumns({c: r6(c) for c in ("vol", "trend", "level")})
+
+
+@query(
+    q.with_(
+        q.BARS,
+        q.RETURNS,
+        "up AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) AS n, 1 / (1 + exp(-100 * round(r, 9))) AS p FROM rets WHERE r IS NOT NULL)",
+        "ema(series_id, date, n, s) AS (SELECT series_id, date, n, p FROM up WHERE n = 1 UNION ALL SELECT up.series_id, up.date, up.n, ema.s * (1 - 2.0::DOUBLE / 6) + up.p * (2.0::DOUBLE / 6) FROM ema JOIN up ON up.series_id = ema.series_id AND up.n = ema.n + 1)",
+        select=f"SELECT series_id, date, {q.r6('s')} AS p_up, (s > 1 - s)::INT AS label FROM ema",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
+def ema_probabilities(spark, sf_dir):
+    """Exponentially weighted probabilities of a rise (a logistic function of the day's return), and the likelier label."""
+    rows = indicators.with_returns(panels.bars6(spark, sf_dir)).where("r is not null")
+    up = 1 / (1 + F.exp(-100 * F.round("r", 9)))
+    rows = rows.select("series_id", "date", F.array(1 - up, up).alias("prob"))
+    return regimes.smoothed_probabilities(rows).select("series_id", "date", r6(F.col("smooth_prob")[1]).alias("p_up"), "label")
