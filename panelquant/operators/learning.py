@@ -56,6 +56,20 @@ def monthly_dataset(bars: DataFrame) -> DataFrame:
     return rows.dropna(subset=["y", *BASE_FEATURES])
 
 
+def regime_dataset(bars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features and the label of the decision date (``regime_rules``), with the most frequent label up to the next decision date as ``y``, and the one before it.
+
+    Rows without a feature, a target or a previous target are dropped.
+    """
+    w = ordered()
+    ends = month_ends(bars)
+    rows = monthly_features(bars).withColumn("t1", F.lead("date").over(w))
+    rows = rows.join(labels.select("series_id", "date", F.when(F.col("label") >= 0, F.col("label")).cast("double").alias("regime_rules")), ["series_id", "date"], "left")
+    rows = rows.drop("close").withColumnRenamed("date", "t0").join(modal_labels(labels, ends), ["series_id", "t0"], "left").where("t1 is not null")
+    rows = rows.withColumn("previous", F.lag("y").over(ordered(by="t0")))
+    return rows.dropna(subset=["y", "previous", "regime_rules", *BASE_FEATURES])
+
+
 def modal_labels(labels: DataFrame, decisions: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """The most frequent label of the days after each decision date up to the next; on ties the one seen latest.
 
