@@ -34,33 +34,42 @@ def complete_rows(features: DataFrame, columns: Sequence[str] | None = None) ->
     return scaled.withColumn("ready", ready)
 
 
+def scalable(columns: Sequence[str], least: int = 60, keys: Sequence[str] = KEY) -> Column:
+    """Whether every column has an expanding z-score: it is there, ``least`` values have been seen, and not all are equal."""
+    own = so_far(ordered(keys))
+    each = [F.col(c).isNotNull() & (F.count(c).over(own) >= least) & (F.min(c).over(own) < F.max(c).over(own)) for c in columns]
+    return F.coalesce(reduce(lambda a, b: a & b, each), F.lit(False))
+
+
 def rules_labels(features: DataFrame) -> DataFrame:
-    """0 to 3 by volatility rank (0.70) and sign of the 60-day trend; -1 until every scaled feature exists."""
-    ready = complete_rows(features).select("series_id", "date", "ready")
-    rows = features.join(ready, ["series_id", "date"])
+    """0 to 3 by volatility rank (0.70) and sign of the 60-day trend; -1 until every feature has a z-score. One pass over the features."""
+    rows = features.withColumn("ready", scalable(feature_columns(features)))
     wild, up = F.col("vol_percentile") >= 0.70, F.col("trend_60d") > 0
     label = F.when(~F.col("ready"), UNKNOWN).otherwise(2 * wild.cast("int") + (~up).cast("int"))
     return rows.select("series_id", "date", label.alias("label"))
 
 
 def confirmed(labels: DataFrame, days: int = 5, keys: Sequence[str] = KEY) -> DataFrame:
-    """A new label counts once it has come on ``days`` labelled days in a row; until then the last one holds."""
-    w = ordered(keys)
-    rows = labels.where(F.col("label") != UNKNOWN)
-    rows = rows.withColumn("new", ~F.lag("label").over(w).eqNullSafe(F.col("label")))
+    """A new label counts once it has come on ``days`` labelled days in a row; until then the last one holds.
+
+    Days without a label are a partition of their own, so that the others follow one another.
+    """
+    known = F.coalesce(F.col("label") != UNKNOWN, F.lit(False))
+    own = [*keys, "known"]
+    w = ordered(own)
+    rows = labels.withColumn("known", known).withColumn("new", ~F.lag("label").over(w).eqNullSafe(F.col("label")))
     rows = rows.withColumn("block", F.count_if("new").over(so_far(w)))
-    streak = F.row_number().over(ordered([*keys, "block"]))
-    rows = rows.withColumn("streak", streak)
+    rows = rows.withColumn("streak", F.row_number().over(ordered([*own, "block"])))
     sure = F.last(F.when(F.col("streak") >= days, F.col("label")), ignorenulls=True).over(so_far(w))
     first = F.first("label").over(so_far(w))
-    smooth = rows.select(*keys, "date", F.coalesce(sure, first).alias("smooth"))
-    return _put_back(labels, smooth, keys)
+    return rows.select(*keys, "date", F.when(F.col("known"), F.coalesce(sure, first)).otherwise(UNKNOWN).alias("label"))
 
 
 def rolling_mode(labels: DataFrame, window: int = 5, keys: Sequence[str] = KEY) -> DataFrame:
     """The most frequent label of the last ``window`` labelled days, the smallest on ties."""
-    rows = labels.where(F.col("label") != UNKNOWN)
-    return _put_back(labels, rows.select(*keys, "date", F.mode("label", True).over(last_rows(ordered(keys), window)).alias("smooth")), keys)
+    rows = labels.withColumn("known", F.coalesce(F.col("label") != UNKNOWN, F.lit(False)))
+    mode = F.mode("label", True).over(last_rows(ordered([*keys, "known"]), window))
+    return rows.select(*keys, "date", F.when(F.col("known"), mode).otherwise(UNKNOWN).alias("label"))
 
 
 def exponential_mean(x: np.ndarray, alpha: float, carry: np.ndarray | None = None) -> np.ndarray:
@@ -103,11 +112,6 @@ def smoothed_probabilities(rows: DataFrame, column: str = "prob", span: int = 5,
     return by_series(rows, keys, f"{schema}, smooth_prob array<double>, label int", start)
 
 
-def _put_back(labels: DataFrame, smooth: DataFrame, keys: Sequence[str]) -> DataFrame:
-    joined = labels.join(smooth, [*keys, "date"], "left")
-    return joined.select(*keys, "date", F.coalesce("smooth", F.lit(UNKNOWN)).alias("label"))
-
-
 def quadrant(trend: Column, level: Column) -> Column:
     """Name of a centroid by its trend and its volatility rank."""
     band = F.when(level >= 0.66, "high").when(level >= 0.33, "mid").otherwise("low")
