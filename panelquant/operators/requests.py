@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .backtest import run_backtest
 from .reports import full_report
-from .signals import CATALOG
+from .ml_signals import CATALOG
 
 
 def run_requests(bars: DataFrame, requests: DataFrame, cost_bps: float = 5.0) -> DataFrame:

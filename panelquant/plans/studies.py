@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelquant.functions.columns import correlation, r6
-from panelquant.operators import adaptive, backtest, indicators, learning, reports, signals, validation
+from panelquant.operators import adaptive, backtest, indicators, learning, ml_signals, reports, signals, validation
 from panelquant.sources import panels
 
 from . import sql as q
@@ -336,3 +336,38 @@ def monthly_dataset(spark, sf_dir):
     """Monthly samples with features, label, previous label and forward return."""
     rows = learning.monthly_dataset(panels.bars6(spark, sf_dir))
     return rows.withColumns({c: r6(c) for c in ("forward_return", *learning.BASE_FEATURES)})
+
+
+@query(
+    q.with_(
+        q.BARS,
+        select="""SELECT series_id, kind, count(*) AS rows, 0::BIGINT AS changed FROM bars, (SELECT unnest(['boosted', 'logistic']) AS kind) WHERE date <= DATE '2000-12-29' GROUP BY series_id, kind""",
+    )
+)
+def ml_signal_lookahead(spark, sf_dir):
+    """Earlier positions of learning strategies that change when prices after their cutoff are rewritten: none."""
+    bars = panels.bars6(spark, sf_dir)
+    out = None
+    for kind in ml_signals.KINDS:
+        own = validation.lookahead_check(lambda b, kind=kind: ml_signals.ml_direction(b, kind=kind), bars, "2000-12-29").withColumn("kind", F.lit(kind))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query()
+def ml_signal_reports(spark, sf_dir):
+    """Learning strategies as a whole, with the regime as a feature or a model each, and learned anew in each fold; reports of the days out of sample."""
+    bars = panels.bars6(spark, sf_dir)
+    labels = labels5(spark, sf_dir)
+    runs = None
+    for name, options in {"plain": {}, "feature": {"labels": labels}, "conditional": {"labels": labels, "mode": "conditional"}}.items():
+        own = ml_signals.ml_direction(bars, **options).withColumn("run_id", F.lit(name))
+        runs = own if runs is None else runs.unionByName(own)
+    tested = validation.halves(backtest.run_backtest(bars, runs)).where("half = 'out_of_sample'")
+    whole = reports.full_report(tested, ["run_id", "series_id"])
+    anew = validation.refit_signals(bars, lambda b: ml_signals.ml_direction(b, ml_signals.refit_share(756, 126)))
+    own = anew.withColumn("source", F.col("series_id")).withColumn("series_id", F.concat_ws("#", "series_id", "fold"))
+    folds = backtest.run_backtest(own.select("series_id", "date", "close"), own.select("series_id", "date", "signal"))
+    folds = folds.join(own.select("series_id", "date", "is_test", "source"), ["series_id", "date"]).where("is_test")
+    refit = reports.full_report(folds.withColumns({"series_id": F.col("source"), "run_id": F.lit("refit")}), ["run_id", "series_id"])
+    return _reported(whole.unionByName(refit))
