@@ -67,30 +67,35 @@ def sample_indices(seed: int, replicate: int, n: int, mean_block: float) -> np.n
 def resampled(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, mean_block: float, seed: int, by: str = "date", block: int = 50) -> DataFrame:
     """(keys, rep, mean and population deviation of each column): replicates use the same indices for all columns.
 
-    A task row is a key's arrays and ``block`` replicates, so the work spreads over keys and
-    replicates alike, and no index is shuffled.
+    A task row is a key's arrays and ``block`` replicates, and rows of one length and block meet in a
+    task, which draws their indices once. Where there are more cores than blocks, a block's keys are
+    dealt over several tasks. No index is shuffled.
     """
     keys, columns = list(keys), list(columns)
-    parts = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("part")
-    # rows are few and long to work on, so their number of parts isn't left to their size
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = series_arrays(rows, keys, columns, by).select("*", parts).repartition(spread, *keys, "part")
+    parts = -(-replicates // block)
+    salt = max(1, rows.sparkSession.sparkContext.defaultParallelism // parts)
+    spread = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = series_arrays(rows, keys, columns, by).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    work = work.repartition(spread, "n", "part", F.pmod(F.xxhash64(*keys), F.lit(salt))).sortWithinPartitions("n", "part")
     names = [f"{name}_{c}" for c in columns for name in ("mean", "dev")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: tuple = (None, None)
         for batch in batches:
             for row in batch.to_dict("records"):
-                values = [np.asarray(row[c], np.float64) for c in columns]
-                out = {c: [] for c in ("rep", *names)}
-                for rep in range(row["part"] * block, min(replicates, (row["part"] + 1) * block)):
-                    index = sample_indices(seed, rep, row["n"], mean_block)
-                    out["rep"].append(rep)
-                    for c, own in zip(columns, values):
-                        drawn = own[index]
-                        drawn = drawn[~np.isnan(drawn)]
-                        out[f"mean_{c}"].append(drawn.mean() if len(drawn) else None)
-                        out[f"dev_{c}"].append(drawn.std() if len(drawn) else None)
-                yield pd.DataFrame({**{k: [row[k]] * len(out["rep"]) for k in keys}, **out})
+                reps = range(row["part"] * block, min(replicates, (row["part"] + 1) * block))
+                if drawn[0] != (row["n"], row["part"]):
+                    drawn = (row["n"], row["part"]), np.array([sample_indices(seed, rep, row["n"], mean_block) for rep in reps])
+                out = {}
+                for c in columns:
+                    own = np.asarray(row[c], np.float64)[drawn[1]]
+                    if np.isnan(own).any():
+                        kept = [x[~np.isnan(x)] for x in own]
+                        out[f"mean_{c}"] = [x.mean() if len(x) else None for x in kept]
+                        out[f"dev_{c}"] = [x.std() if len(x) else None for x in kept]
+                    else:
+                        out[f"mean_{c}"], out[f"dev_{c}"] = own.mean(1), own.std(1)
+                yield pd.DataFrame({**{k: [row[k]] * len(reps) for k in keys}, "rep": reps, **out})[[*keys, "rep", *names]]
 
     schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "rep int", *[f"{c} double" for c in names]])
     return work.select(*keys, "n", "part", *columns).mapInPandas(run, schema)
@@ -120,6 +125,31 @@ def paired_interval(rows: DataFrame, keys: Sequence[str], a: str, b: str, replic
     )
 
 
+def paired_mean_interval(rows: DataFrame, keys: Sequence[str], a: str, b: str, replicates: int = 2000, mean_block: float = 6.0, seed: int = 0, by: str = "t0") -> DataFrame:
+    """(keys, mean_a, mean_b, difference, low, high): of two columns' means over the same resampled rows, 2.5 and 97.5 %."""
+    reps = resampled(rows, keys, [a, b], replicates, mean_block, seed, by)
+    ends = reps.groupBy(*keys).agg(F.percentile(F.col(f"mean_{a}") - F.col(f"mean_{b}"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    means = rows.groupBy(*keys).agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+    return means.join(ends, list(keys)).select(*keys, "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("difference"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+#: Largest p-value of a verdict. Fixed value.
+ALPHA = 0.05
+
+
+def verdicts(rows: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", replicates: int = 2000, mean_block: float = 6.0, seed: int = 0, by: str = "t0") -> DataFrame:
+    """Whether one forecast beats another on the same rows, ``a`` and ``b`` being 1 where they are right and 0 where not.
+
+    ``a`` beats ``b`` if the paired interval of its mean difference lies above 0 and the exact test of the
+    discordant rows gives less than ALPHA.
+    """
+    own, other = F.col(a) > F.col(b), F.col(a) < F.col(b)
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("months"), F.count_if(own).alias("only_a"), F.count_if(other).alias("only_b"))
+    cells = cells.withColumn("p_value", two_sided_binomial(F.least("only_a", "only_b"), F.col("only_a") + F.col("only_b")))
+    out = paired_mean_interval(rows, keys, a, b, replicates, mean_block, seed, by).join(cells, list(keys))
+    return out.withColumn("beats", (F.col("low") > 0) & (F.col("p_value") < ALPHA))
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Spark has no error function; this runs on a few result rows."""

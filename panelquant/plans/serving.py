@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelquant.operators import learning, regimes, tuning, validation
+from panelquant.functions.columns import r6
+from panelquant.operators import adaptive, learning, regimes, resampling, tuning, validation
+from panelquant.sources import features as stored_features
 from panelquant.sources import folders, models, panels
 
 from . import sql as q
@@ -197,3 +199,73 @@ def prediction_log(spark, sf_dir):
     rows = models.predict(spark, newest, log)
     total = F.round(F.sum(F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)), 9)
     return rows.groupBy("name", "series_id", "version", "as_of", "features_sha256").agg(F.count("*").alias("logged"), total.alias("total"))
+
+
+#: Regime features of the stored states: volatility, trend, drawdown and path. A narrower set than all 15, to keep the query short.
+STATE_FEATURES = ("vol_20d", "trend_60d", "drawdown_252d", "efficiency_ratio")
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    return stored_features.hmm_features(spark, folders.passing(spark, "states"), panels.bars6(spark, sf_dir), STATE_FEATURES)
+
+
+@query(
+    q.with_(
+        q.LABELS,
+        f"""hr AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos FROM scaled WHERE {" AND ".join(f"{c} IS NOT NULL" for c in STATE_FEATURES)}),
+        hc AS (SELECT series_id, min(date) AS causal_from, count(*) AS labelled FROM hr WHERE pos >= 504 GROUP BY series_id),
+        ln AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n, lead(date) OVER (PARTITION BY series_id ORDER BY date) AS after FROM bars),
+        le AS (SELECT series_id, date AS learn_end, after FROM ln WHERE pos = greatest(floor(n * 0.25) - 1, 0))""",
+        select="SELECT series_id, causal_from, labelled, learn_end, greatest(causal_from, after) AS oos_from FROM hc JOIN le USING (series_id)",
+    )
+)
+def hmm_causality(spark, sf_dir):
+    """Stored walk-forward states: first causal day, labelled days, and the first day out of sample of a strategy that learns on the first quarter."""
+    rows = _states(spark, sf_dir)
+    causal = rows.groupBy("series_id").agg(F.min("causal_from").alias("causal_from"), F.count("*").alias("labelled"))
+    oos = stored_features.out_of_sample_from(adaptive.learn_ends(panels.bars6(spark, sf_dir), 0.25), causal)
+    return causal.join(oos, "series_id").select("series_id", "causal_from", "labelled", "learn_end", "oos_from")
+
+
+@query()
+def hmm_feature_value(spark, sf_dir):
+    """Monthly direction with and without the stored states, on the months that both test: accuracy, log loss, paired interval, exact test and verdict."""
+    rows = learning.monthly_dataset(panels.bars6(spark, sf_dir))
+    rows = _kept(stored_features.attached(rows, _states(spark, sf_dir)), "samples")
+    rows = rows.dropna(subset=["regime_hmm"])  # the months that both sets have
+    tested = None
+    for name, columns in {"base": COLUMNS, "hmm": (*COLUMNS, "regime_hmm", "hmm_p0", "hmm_p1", "hmm_p2")}.items():
+        samples = rows.select("series_id", "t0", "t1", F.col("y").cast("int").alias("y"), F.array(*columns).alias("x"))
+        codes = {columns.index("regime_hmm"): [0.0, 1.0, 2.0]} if name == "hmm" else {}
+        outer = validation.walk_forward_folds(samples.select("series_id", "t0", "t1"), 24, 12, EMBARGO)
+        found = tuning.nested_walk_forward(samples, outer, tuning.LOGISTIC_GRID, 2, codes)[0]
+        right = (F.array_position("proba", F.array_max("proba")) - 1 == F.col("y")).cast("double")
+        found = found.select("series_id", "t0", right.alias(name), learning.log_loss("proba", F.col("y") + 1).alias(f"loss_{name}"))
+        tested = found if tested is None else tested.join(found, ["series_id", "t0"])
+    tested = _kept(tested, "tested")
+    losses = tested.groupBy("series_id").agg(r6(F.avg("loss_base")).alias("loss_base"), r6(F.avg("loss_hmm")).alias("loss_hmm"))
+    out = resampling.verdicts(tested, ["series_id"], "hmm", "base").join(losses, "series_id")
+    return out.select(
+        "series_id", "months", r6("mean_a").alias("accuracy_hmm"), r6("mean_b").alias("accuracy_base"), r6("difference").alias("difference"),
+        r6("low").alias("low"), r6("high").alias("high"), F.round("p_value", 9).alias("p_value"), "beats", "loss_hmm", "loss_base",
+    )
+
+
+_PAIR = """
+pd AS (SELECT series_id, t0, (y = (mom_12_1 > 0)::INT)::INT AS a, (y = coalesce(previous, 0))::INT AS b FROM monthly)"""
+
+
+@query(
+    q.with_(
+        *_HEAD, _PAIR,
+        select="""SELECT series_id, count(*) AS months, round(avg(a), 6) AS momentum, round(avg(b), 6) AS previous, round(avg(a) - avg(b), 6) + 0.0::DOUBLE AS difference,
+        count(*) FILTER (a > b) AS only_momentum, count(*) FILTER (a < b) AS only_previous FROM pd GROUP BY series_id""",
+    )
+)
+def forecast_verdicts(spark, sf_dir):
+    """Two simple forecasts of the monthly direction on the same months: how often each is right, and where only one is."""
+    rows = learning.monthly_dataset(panels.bars6(spark, sf_dir))
+    right = lambda c: (F.col("y") == c).cast("double")
+    rows = _kept(rows.select("series_id", "t0", right((F.col("mom_12_1") > 0).cast("int")).alias("a"), right(F.coalesce("previous", F.lit(0))).alias("b")), "forecasts")
+    out = resampling.verdicts(rows, ["series_id"], replicates=200)
+    return out.select("series_id", "months", r6("mean_a").alias("momentum"), r6("mean_b").alias("previous"), r6("difference").alias("difference"), F.col("only_a").alias("only_momentum"), F.col("only_b").alias("only_previous"))
