@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import counters, packed
 from . import textops as T
 from .linking import first_pairs, link
-from .scratch import small, stored
+from .scratch import small, stored, unused
 
 SHINGLE, MIN_CHARS, BANDS, ROWS = 8, 8, 12, 4
 NUM, DEN = 4, 5
@@ -360,16 +360,17 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with the duplicate lines left out of the text, and n_lines, n_dropped added (in place of such columns)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     dropped = duplicate_lines(docs, id_col, text_col, **parameters)
-    dropped = dropped.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_set("line").alias("__lines"))
+    of, mark, gone_lines = unused(docs, "own_doc", "own_key", "own_lines")
+    dropped = dropped.groupBy(F.col("doc").alias(of), F.col("key").alias(mark)).agg(F.collect_set("line").alias(gone_lines))
     dropped = stored(dropped, "dropped")
-    rows, size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
+    rows, size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size(gone_lines)), F.lit(0))).first()
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col(of)) & (F.xxhash64(docs[text_col]) == F.col(mark))
     joined = docs.join(small(dropped, 48 + 4 * (size // max(rows, 1) + 1)), same, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, text_col):
             texts, n_lines, n_dropped = [], [], []
-            for text, lines in zip(batch.column(text_col).to_pylist(), batch.column("__lines").to_pylist()):
+            for text, lines in zip(batch.column(text_col).to_pylist(), batch.column(gone_lines).to_pylist()):
                 parts = [] if text is None else text.split("\n")
                 gone = set(lines or ()) if text is not None else set()
                 texts.append("\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text)
@@ -379,4 +380,4 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return joined.select(*[docs[c] for c in own], "__lines").mapInArrow(run, schema + ", n_lines bigint, n_dropped bigint")
+    return joined.select(*[docs[c] for c in own], gone_lines).mapInArrow(run, schema + ", n_lines bigint, n_dropped bigint")

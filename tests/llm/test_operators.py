@@ -125,6 +125,15 @@ def test_line_dedup_empty_table(spark):
     assert line_dedup.drop_duplicate_lines(docs_of(spark, [None, ""])).count() == 2
 
 
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    names = ["__doc", "__key", "__lines", "own_doc", "OWN_KEY", "own_lines", "doc", "key", "line"]
+    docs = docs_of(spark, ["a line of text\nother words here", "a line of text"])
+    for name in names:
+        docs = docs.withColumn(name, docs["doc_id"] + 7)
+    rows = {r["doc_id"]: r for r in line_dedup.drop_duplicate_lines(docs).collect()}
+    assert rows[0]["n_dropped"] == 0 and rows[1]["text"] == "" and all(rows[1][c] == 8 for c in names)
+
+
 def test_line_dedup_short_lines(spark):
     """Lines of 8 to 19 characters count, near copies included; shorter ones are kept."""
     texts = ["Subscribe now\n}\nMenu", "  subscribe NOW \n}\nMenu", "12345678\n1234567", "12345678\n1234567", "今日はとても良い天気です。\nabcdefghijklmnopqr", "今日はとても良い天気です。\nabcdefghijklmnopqrs"]
