@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelquant.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from panelquant.llm.labelled import held_out
-from panelquant.llm.scratch import small, stored
+from panelquant.llm.scratch import small, stored, unused
 from panelquant.llm.tokenizer import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,8 +36,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The rows whose key is (``left_semi``) or isn't (``left_anti``) in the column ``key`` of a stored table."""
-    keys = keys.select(F.col("key").alias("__key"))
-    return docs.join(small(keys, 16), _key() == F.col("__key"), how)
+    (name,) = unused(docs, "own_key")
+    keys = keys.select(F.col("key").alias(name))
+    return docs.join(small(keys, 16), _key() == F.col(name), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = _among(docs, gone, "left_anti")
     if repeated.isEmpty():
         return docs
-    once = _among(docs, repeated, "left_semi").withColumn("__key", _key()).dropDuplicates(["__key"]).drop("__key")
+    once = _among(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return _among(docs, repeated, "left_anti").unionByName(once)
 
 
