@@ -58,3 +58,23 @@ def test_near_duplicates_by_five_words(spark, sf_dir):
     assert all(c == i for i, (_, c) in brute_components(pairs).items())
     kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), sf_dir)
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls, repeated rows, clashing columns and an empty table, in the stages that tell rows apart by a key."""
+    text = sentence(random.Random(5), 40)
+    rows = [(1, text), (1, text), (1, "another text under this id"), (None, text), (None, None), (None, None), (2, None), (3, ""), (4, sentence(random.Random(6), 3000))]
+    docs = docs_of(spark, rows)
+    for name in ("__key", "own_key", "key", "component_id", "keeper", "shard", "hits"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted({(1, text), (1, "another text under this id"), (None, None), (2, None), (3, ""), rows[-1]}, key=str)
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    more = docs.unionByName(docs_of(spark, [(9, f"before {leak} after")]), allowMissingColumns=True)
+    clean = corpus_pipeline.decontamination(spark, more, sf_dir)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(rows, key=str)
+    for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), sf_dir).count() == 0
