@@ -82,6 +82,30 @@ def modal_labels(labels: DataFrame, decisions: DataFrame, keys: Sequence[str] =
     return counts.groupBy(*keys, "t0").agg(F.max(F.struct("n", "latest", "label")).alias("m")).select(*keys, "t0", F.col("m.label").alias("y"))
 
 
+def label_determinacy(bars: DataFrame, samples: DataFrame, windows: dict[str, int], keys: Sequence[str] = KEY) -> DataFrame:
+    """How much of the next month's label is known at the decision: one row a key.
+
+    ``samples`` are those of :func:`regime_dataset`. ``decision_agrees`` and ``previous_agrees`` are the shares of samples whose
+    label is the decision date's and the month's before. On day k of the m days after a decision, w - k of a look-back
+    of w rows were known; ``known_<name>`` averages the share over the days, then over the samples.
+    """
+    place = bars.select(*keys, "date", F.row_number().over(ordered(keys)).alias("place"))
+    rows = samples
+    for c in ("t0", "t1"):
+        rows = rows.join(place.withColumnsRenamed({"date": c, "place": f"place_{c}"}), [*keys, c])
+    days = F.col("place_t1") - F.col("place_t0")
+
+    def known(w: int) -> Column:
+        n = F.least(days, F.lit(w))
+        return F.avg((w * n - n * (n + 1) / 2) / (w * days))
+
+    agrees = lambda c: F.avg((F.col("y") == F.col(c)).cast("double"))
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("samples"), agrees("regime_rules").alias("decision_agrees"), agrees("previous").alias("previous_agrees"),
+        *[known(w).alias(f"known_{name}") for name, w in windows.items()],
+    )
+
+
 # Scores ------------------------------------------------------------------------------------------------------
 
 

@@ -187,7 +187,7 @@ def moments(rows: DataFrame, keys: Sequence[str], column: str = "ret") -> DataFr
     )
 
 
-def deflated_z(stats: DataFrame, trials: int, benchmark: float = 0.0) -> DataFrame:
+def deflated_z(stats: DataFrame, trials: int, benchmark: float | Column = 0.0) -> DataFrame:
     """Add the z of the deflated Sharpe ratio: how far above the best of ``trials`` lucky ones; :func:`normal_cdf` makes it a probability."""
     sr, n = F.col("sharpe"), F.col("n_obs")
     spread = F.sqrt((1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr) / (n - 1))

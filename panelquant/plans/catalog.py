@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, inference, labels, models, runs, serving, stores, studies
+from . import audits, comparisons, inference, labels, models, runs, serving, stores, studies
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audits", "inference", "labels", "models", "runs", "serving", "stores", "studies"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "comparisons", "inference", "labels", "models", "runs", "serving", "stores", "studies"]
