@@ -122,7 +122,10 @@ class Model:
 
 
 def fit(feature_sets: list[np.ndarray], labels: np.ndarray, cost: float = COST, smoothing: float = SMOOTHING, epochs: int = EPOCHS) -> Model:
-    """Log-count ratios, then dual coordinate descent for the L2-regularised squared hinge loss."""
+    """Log-count ratios, then dual coordinate descent for the L2-regularised hinge loss, which is linear beyond the margin.
+
+    A row's dual variable lies between 0 and ``cost`` times its class's balance; the bias is a weight of a constant 1.
+    """
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
         return Model(None, None, 5.0 * y[0] if len(y) else 0.0)
@@ -134,13 +137,13 @@ def fit(feature_sets: list[np.ndarray], labels: np.ndarray, cost: float = COST,
     weights, bias = np.zeros(DIMENSIONS), 0.0
     alpha, rng = np.zeros(len(y)), np.random.default_rng(7)
     balance = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
-    diagonal = 1 / (2 * cost * balance)
-    size = np.array([x @ x for x in scale]) + 1 + diagonal
+    most = cost * balance
+    size = np.array([x @ x for x in scale]) + 1
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             own, x = feature_sets[i], scale[i]
-            gradient = y[i] * (weights[own] @ x + bias) - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / size[i])
+            gradient = y[i] * (weights[own] @ x + bias) - 1
+            new = min(max(0.0, alpha[i] - gradient / size[i]), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 weights[own] += step * x

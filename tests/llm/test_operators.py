@@ -362,6 +362,32 @@ def test_classifiers_on_edge_cases(spark, run):
     assert run(docs_of(spark, texts), labels.limit(0)).count() == len(texts)
 
 
+def test_quality_fit_is_the_optimum_of_the_linear_hinge_loss():
+    """Rows that can't be separated: the dual by projected gradient steps on the whole kernel, and the gap to the primal."""
+    rng, n, cost = np.random.default_rng(3), 60, 0.7
+    y = np.where(np.arange(n) % 3 == 0, 1.0, -1.0)
+    sets = [np.unique(np.r_[rng.integers(0, 40, 12), 40 + (k % 3 == 0) * rng.integers(0, 2)]) for k in range(n)]
+    model = quality.fit(sets, (y > 0).astype(int), cost, 1.0, 3000)
+    ratio = np.log([(1 + sum(f in s for s, own in zip(sets, y) if own > 0)) / 20 for f in range(42)]) - np.log(
+        [(1 + sum(f in s for s, own in zip(sets, y) if own < 0)) / 40 for f in range(42)]
+    )
+    x = np.zeros((n, 43))
+    for k, own in enumerate(sets):
+        x[k, own] = ratio[own] / max(1.0, np.linalg.norm(ratio[own]))
+    x[:, 42] = 1
+    most = cost * np.where(y > 0, n / 40, n / 80)
+    kernel = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(60000):
+        alpha = np.clip(alpha - step * (kernel @ alpha - 1), 0, most)
+    best = alpha @ (y[:, None] * x)
+    found = np.r_[model.weights[:42], model.bias]
+    primal = lambda w: w @ w / 2 + most @ np.maximum(0, 1 - y * (x @ w))
+    assert primal(best) - (alpha.sum() - alpha @ kernel @ alpha / 2) < 1e-3
+    assert np.allclose(found, best, atol=1e-3) and abs(primal(found) - primal(best)) < 1e-3
+    assert np.sum(alpha == most) > 0 and np.sum((alpha > 0) & (alpha < most)) > 0
+
+
 @pytest.mark.parametrize("name,column,least", [("op6_quality", "quality", 0.9)])
 def test_classifier_held_out_accuracy(spark, sf_dir, name, column, least):
     labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
