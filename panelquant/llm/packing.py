@@ -312,7 +312,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS
         parts = -(-total // range_rows)
         swept = stored(_swept(items, parts), "swept")
         matched = swept.where(F.col("role") == _PLACED).select("id", "size", "sequence")
-        across = _across(swept) if parts > 1 else None  # one range has matched all it holds
+        across = _across(swept)  # by the ranges that Spark made, which may be more than asked for
         if across is None:
             pieces = swept.where(F.col("role") == _PIECE).select("id", "size")
         else:
