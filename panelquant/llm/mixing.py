@@ -46,13 +46,20 @@ HEAD_WORDS, HEAD_BLANKS = 1 << 17, 1 << 8
 TABLE_BITS, CONTEXTS, BLOCK_BITS = 23, 3, 16
 #: Text bytes whose decisions are held at once, and those of a counting task.
 STEP_BYTES, TASK_BYTES = 1 << 18, 80 << 20
+#: Decisions that are worked through at once, so that their columns stay in the processor's cache.
+PIECE = 1 << 14
 PRIOR, SCALE = 0.4, 16.0
 #: Kinds of symbols: white space, words, bytes of rare ones.
 KINDS = BLANKS, WORDS, BYTES = 0, 1, 2
 DEPTHS, STAGES, LEVELS = 8, 33, 27
 END_WORD, END_BYTE = 0x6A09E667F3BCC908, 256
 
-_LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+_SPREAD = np.uint64(int(T._ODD) * T._BASE % (1 << 64))
+_LOGS = (np.log(np.arange(1 << 16) + PRIOR) * SCALE).astype(np.float32)
+#: A cell is halved from here on; a piece adds no more than what is left up to 65535.
+_FULL = 65535 - 2 * PIECE
+#: By the byte of a cell's odds: how sure it is (0, 1, 2).
+_LEVEL = np.array([int(x > 0) + int(x > 32) for x in np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(int)).tolist()])
 
 
 def tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -216,18 +223,33 @@ def symbols(code: Code, texts: pa.Array, met: Met | None = None) -> tuple[np.nda
     return leaf, kind, np.concatenate([row, row, byte_row]), context
 
 
+def pieces(code: Code, leaf: np.ndarray, size: int = PIECE) -> Iterator[slice]:
+    """Runs of symbols with ``size`` decisions at most (or one symbol)."""
+    done = np.concatenate([[0], np.cumsum(code.length[leaf])])
+    a = 0
+    while a < len(leaf):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + size, side="right")) - 1)
+        yield slice(a, b)
+        a = b
+
+
 def decisions(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
     """(symbol number, depth, outcome, node, slots) of all decisions; slots: the cells of the contexts, contexts x decisions."""
     length = code.length[leaf]
     of = np.repeat(np.arange(len(leaf)), length)
     depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-    path = code.start[leaf][of] + depth
+    path = np.repeat(code.start[leaf], length) + depth
     node, bit = code.node[path].astype(np.int64), code.bit[path]
-    spread = node.astype(np.uint64) * T._ODD
+    # (context + node * odd) * base, the products taken once a symbol and once a node
+    base = np.uint64(T._BASE)
+    spread = node.astype(np.uint64) * _SPREAD
     slots = np.empty((CONTEXTS, len(of)), np.int64)
     for k in range(CONTEXTS):
-        hashed = (context[k][of] + spread) * np.uint64(T._BASE)
-        slots[k] = (hashed >> np.uint64(64 - bits)).astype(np.int64) + (k << bits)
+        hashed = np.repeat(context[k] * base, length)
+        hashed += spread
+        hashed >>= np.uint64(64 - bits)
+        slots[k] = hashed.view(np.int64)
+        slots[k] += k << bits
     return of, np.minimum(depth, DEPTHS - 1), bit, node, slots
 
 
@@ -240,36 +262,35 @@ class Counts:
     """A task's counts of outcomes: by node, and by cell in 16 bits (both of a cell are halved while one is too large)."""
 
     def __init__(self, code: Code, bits: int):
-        self.node = np.zeros((code.nodes, 2), np.int64)
-        self.cell = np.zeros((CONTEXTS << bits, 2), np.uint16)
+        self.node, self.node_odds = np.zeros((code.nodes, 2), np.int64), np.zeros(code.nodes, np.int8)
+        self.cell = np.zeros((CONTEXTS << bits, 2), "<u2")
+        self.both = self.cell.view("<u4").reshape(-1)
+        self.seen, self.due = 0, 0
 
     def read(self, node: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """(contexts + 1) x decisions, as :func:`odds`."""
+        """(contexts + 1) x decisions, as :func:`odds`; those of nodes are brought up to date now and then."""
         out = np.empty((CONTEXTS + 1, len(node)), np.int8)
-        out[0] = odds(self.node[:, 0], self.node[:, 1])[node]
+        out[0] = self.node_odds[node]
         for k in range(CONTEXTS):
-            pair = self.cell[slots[k]]
-            out[k + 1] = np.clip(np.rint((_LOGS[pair[:, 1]] - _LOGS[pair[:, 0]]) * np.float32(SCALE)), -127, 127)
+            pair = self.both[slots[k]]
+            out[k + 1] = np.clip(np.rint(_LOGS[pair >> np.uint32(16)] - _LOGS[pair & np.uint32(65535)]), -127, 127)
         return out
 
     def add(self, node: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> None:
-        self.node += np.bincount(node * 2 + bit, minlength=self.node.size).reshape(-1, 2)
+        np.add.at(self.node.reshape(-1), node * 2 + bit, 1)
+        self.seen += len(node)
+        if self.seen >= self.due:
+            self.node_odds = odds(self.node[:, 0], self.node[:, 1])
+            self.due = self.seen + min(self.seen // 4, 4 * len(self.node))
         flat = self.cell.reshape(-1)
-        for k in range(CONTEXTS):
-            key = np.sort((slots[k] * 2 + bit).astype(np.uint32))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            place, total = key[first], np.diff(np.append(first, len(key)))
-            new = flat[place] + total
-            flat[place] = np.minimum(new, 65535)
-            for pair in np.unique(place[new > 65535] >> 1).tolist():
-                both = [int(flat[q]) for q in (2 * pair, 2 * pair + 1)]
-                for i in (0, 1):
-                    at = int(np.searchsorted(place, 2 * pair + i))
-                    if at < len(place) and place[at] == 2 * pair + i:
-                        both[i] = int(new[at])
-                while max(both) > 65535:
-                    both = [x >> 1 for x in both]
-                flat[2 * pair : 2 * pair + 2] = both
+        for a in range(0, len(node), 2 * PIECE):
+            own = slice(a, a + 2 * PIECE)
+            for place in slots[:, own]:
+                pair = self.both[place]
+                full = np.maximum(pair & np.uint32(65535), pair >> np.uint32(16)) > _FULL
+                if full.any():
+                    self.cell[np.unique(place[full])] >>= 1
+                np.add.at(flat, place * 2 + bit[own], np.uint16(1))
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """(block, touched cells) of the nodes (from block 0 on) and then of the contexts' cells; :func:`_cells` reads them."""
@@ -306,14 +327,23 @@ class Mixer:
         start = np.array([0.5, 0.2, 0.2, 0.2])
         return cls(np.tile(start, (len(KINDS) * LEVELS, 1)), np.zeros((len(KINDS) * DEPTHS, CONTEXTS + 1)), np.tile(stage, (len(KINDS) * DEPTHS, 1)))
 
-    def _mixed(self, raw, kind, depth):
-        size = np.abs(raw[1:].astype(np.int16))
-        level = (size > 0).astype(np.int64) + (size > 32)
-        gate = kind * LEVELS + level[0] * 9 + level[1] * 3 + level[2]
+    def weights(self) -> np.ndarray:
+        """Contexts x (kind, depth, level): the two tables' sum, for odds as they are stored."""
+        joint = self.by_gate.reshape(len(KINDS), 1, LEVELS, -1) + self.by_depth.reshape(len(KINDS), DEPTHS, 1, -1)
+        return np.ascontiguousarray(joint.reshape(-1, CONTEXTS + 1).T / SCALE).astype(np.float32)
+
+    @staticmethod
+    def _mixed(weights, raw, kind, depth):
+        byte = raw.view(np.uint8)
         deep = kind * DEPTHS + depth
-        s = raw.astype(np.float32) / np.float32(SCALE)
-        weight = self.by_gate.astype(np.float32)[gate] + self.by_depth.astype(np.float32)[deep]
-        return gate, deep, s, np.einsum("kn,nk->n", s, weight)
+        joint = deep * LEVELS
+        for k, step in enumerate((9, 3, 1)):
+            joint += (_LEVEL * step)[byte[k + 1]]
+        odds_ = raw.astype(np.float32)
+        z = weights[0][joint] * odds_[0]
+        for own, x in zip(weights[1:], odds_[1:]):
+            z += own[joint] * x
+        return joint, deep, odds_, z
 
     @staticmethod
     def _stage(z):
@@ -321,12 +351,14 @@ class Mixer:
         low = place.astype(np.int64)
         return low, place - low
 
-    def chance(self, raw, kind, depth) -> np.ndarray:
+    def chance(self, raw, kind, depth, weights: np.ndarray | None = None) -> np.ndarray:
         """The probability of outcome 1 of each decision."""
-        _, deep, _, z = self._mixed(raw, kind, depth)
+        _, deep, _, z = self._mixed(self.weights() if weights is None else weights, raw, kind, depth)
         low, part = self._stage(z)
-        refined = self.refined[deep, low] * (1 - part) + self.refined[deep, low + 1] * part
-        return np.clip((1 / (1 + np.exp(-z.astype(np.float64))) + refined) / 2, 1e-6, 1 - 1e-6)
+        cell, refined = deep * STAGES + low, self.refined.reshape(-1)
+        below = refined[cell]
+        below += (refined[cell + 1] - below) * part
+        return np.clip((1 / (1 + np.exp(-z)) + below) / 2, 1e-6, 1 - 1e-6)
 
     def learn(self, raw, kind, depth, bit, rate: float = 0.05) -> None:
         """Online updates of weights (AdaGrad on coding cost) and map, in order, a small batch at a time."""
@@ -334,17 +366,20 @@ class Mixer:
             self.square = [np.full_like(self.by_gate, 1.0), np.full_like(self.by_depth, 1.0)]
             self.used = [np.zeros(len(self.by_gate)), np.zeros(len(self.by_depth)), np.zeros(self.refined.size)]
             self.steps = 0
-        a = 0
+        a, shape = 0, (len(KINDS), DEPTHS, LEVELS)
+        size = len(KINDS) * DEPTHS * LEVELS
         while a < len(bit):
             own = slice(a, a + (2048 if self.steps < 64 else 16384))
             a, self.steps = own.stop, self.steps + 1
-            gate, deep, s, z = self._mixed(raw[:, own], kind[own], depth[own])
+            joint, deep, s, z = self._mixed(self.weights(), raw[:, own], kind[own], depth[own])
             error = bit[own] - 1 / (1 + np.exp(-z))
-            for weights, seen, which, used in zip((self.by_gate, self.by_depth), self.square, (gate, deep), self.used):
-                used += np.bincount(which, minlength=len(used))
-                gradient = np.stack([np.bincount(which, error * x, len(weights)) for x in s], axis=1)
-                seen += gradient**2
-                weights += rate * gradient / np.sqrt(seen)
+            count = np.bincount(joint, minlength=size).reshape(shape)
+            gradient = np.stack([np.bincount(joint, error * x, size) for x in s], axis=1).reshape(*shape, -1) / SCALE
+            for weights, seen, used, axis in zip((self.by_gate, self.by_depth), self.square, self.used, (1, 2)):
+                used += count.sum(axis).reshape(-1)
+                slope = gradient.sum(axis).reshape(weights.shape)
+                seen += slope**2
+                weights += rate * slope / np.sqrt(seen)
             low, part = self._stage(z)
             cell = deep * STAGES + low + (part > 0.5)
             count = np.bincount(cell, minlength=self.refined.size)
@@ -372,10 +407,16 @@ class Model:
     def code_length(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text."""
         leaf, kind, row, context = symbols(self.code, texts)
-        of, depth, bit, node, slots = decisions(self.code, self.bits, leaf, context)
-        raw = np.concatenate([self.nodes[node][None], self.table[slots]])
-        p = self.mixer.chance(raw, kind[of], depth)
-        return np.bincount(row[of], -np.log2(np.where(bit == 1, p, 1 - p)), len(texts))
+        cost, weights = np.empty(len(leaf)), self.mixer.weights()
+        for own in pieces(self.code, leaf):
+            of, depth, bit, node, slots = decisions(self.code, self.bits, leaf[own], context[:, own])
+            raw = np.empty((CONTEXTS + 1, len(of)), np.int8)
+            raw[0] = self.nodes[node]
+            for k in range(CONTEXTS):
+                raw[k + 1] = self.table[slots[k]]
+            p = self.mixer.chance(raw, kind[own][of], depth, weights)
+            cost[own] = np.bincount(of, np.log(np.where(bit == 1, p, 1 - p)), own.stop - own.start)
+        return np.bincount(row, cost / -np.log(2), len(texts))
 
 
 def _gathered(docs: DataFrame) -> DataFrame:
@@ -434,11 +475,11 @@ def _learned(docs: DataFrame, code: Code, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mixer, met, counts = shared.value, Mixer.new(), Met(), None
         for batch in T.blocks(batches, "text", STEP_BYTES):
-            for part in [batch] if counts else T.blocks([batch], "text", STEP_BYTES // 64):
-                counts = counts or Counts(own, bits)
-                leaf, kind, _, context = symbols(own, part.column("text"), met)
-                of, depth, bit, node, slots = decisions(own, bits, leaf, context)
-                mixer.learn(counts.read(node, slots), kind[of], depth, bit)
+            counts = counts or Counts(own, bits)
+            leaf, kind, _, context = symbols(own, batch.column("text"), met)
+            for piece in pieces(own, leaf, PIECE if counts.seen else PIECE // 16):  # at first, little is counted
+                of, depth, bit, node, slots = decisions(own, bits, leaf[piece], context[:, piece])
+                mixer.learn(counts.read(node, slots), kind[piece][of], depth, bit)
                 counts.add(node, bit, slots)
         if counts is None:
             return
