@@ -1,11 +1,11 @@
 """A corpus pipeline of five stages; each takes what its predecessor kept.
 
-Stages 3 and 4 tell rows apart by a 64-bit hash of its id and text, so rows that share an id
-but not the text stand for themselves, and a row without id is treated like any other.
+Stages 3 and 4 number the rows that they get and store them so, and tell rows apart by that number:
+rows that share an id but not the text stand for themselves, and a row without id is treated like any other.
 
 Cases: a null or empty text has no words: the line, join and benchmark stages keep it, and
 packing gives it the end id; of rows that repeat with id and text, stage 3 keeps one; of a group
-of near duplicates it keeps the row with the smallest id, rows without id coming last;
+of near duplicates it keeps the row with the smallest id (of equal ids, with the smallest hash of its text), rows without id coming last;
 texts of any length are processed whole; extra columns go through the stages up to packing;
 an empty table gives no rows.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelquant.llm import decontaminate, line_dedup, ngram_join, packing, quality
@@ -25,20 +25,17 @@ from panelquant.llm.tokenizer import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _key() -> Column:
-    """A hash of a row's id and text; a null counts as something else than any value."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, stored, so that every later reading meets the same numbers; and that column's name."""
+    (row,) = unused(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias("doc_id"), "text")
-
-
-def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows whose key is (``left_semi``) or isn't (``left_anti``) in the column ``key`` of a stored table."""
+def _among(docs: DataFrame, row: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose number is (``left_semi``) or isn't (``left_anti``) in the column ``key`` of a stored table."""
     (name,) = unused(docs, "own_key")
     keys = keys.select(F.col("key").alias(name))
-    return docs.join(small(keys, 16), _key() == F.col(name), how)
+    return docs.join(small(keys, 16), F.col(row) == F.col(name), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,27 +55,33 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents (Jaccard similarity of five-word shingles 0.8 or more), the one with the smallest id stays."""
-    found = stored(ngram_join.jaccard_components(_keyed(docs), words=5, num=80), "groups")
-    repeated = stored(found.groupBy(F.col("doc_id").alias("key")).count().where("count > 1"), "repeated")
-    roots = found.where("doc_id <> component_id").select("component_id").distinct()
-    grouped = stored(found.join(roots, "component_id").select(F.col("doc_id").alias("key"), "component_id").distinct(), "grouped")
-    rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), _key().alias("key")).join(grouped, "key")
-    own = F.struct("last", "id", "key")
-    keepers = rows.groupBy("component_id").agg(F.min(own).getField("key").alias("keeper"))
+    columns = docs.columns
+    docs, row = _numbered(docs)
+    found = ngram_join.jaccard_components(docs.select(F.col(row).alias("doc_id"), "text"), words=5, num=80)
+    found = stored(found.select(F.col("doc_id").alias("key"), "component_id"), "groups")
+    roots = found.where("key <> component_id").select("component_id").distinct()
+    grouped = stored(found.join(roots, "component_id"), "grouped")
+    rows = docs.select(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("key"))
+    own = F.struct("last", "id", "hash", "key")
+    keepers = rows.join(grouped, "key").groupBy("component_id").agg(F.min(own).getField("key").alias("keeper"))
     gone = stored(grouped.join(keepers, "component_id").where("key <> keeper").select("key"), "gone")
-    docs = _among(docs, gone, "left_anti")
-    if repeated.isEmpty():
-        return docs
-    once = _among(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-    return _among(docs, repeated, "left_anti").unionByName(once)
+    # texts without words link with nothing; their repeated rows go too
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    blank = docs.where(~has_words)
+    first = blank.select("doc_id", "text", F.col(row).alias("key")).groupBy("doc_id", "text").agg(F.min("key").alias("key"))
+    first = stored(first.select("key"), "first")
+    out = _among(docs.where(has_words), row, gone, "left_anti").unionByName(_among(blank, row, first, "left_semi"))
+    return out.select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of ten words of the benchmark go."""
-    index = decontaminate.build_index(_keyed(docs))
+    columns = docs.columns
+    docs, row = _numbered(docs)
+    index = decontaminate.build_index(docs.select(F.col(row).alias("doc_id"), "text"))
     found = decontaminate.contamination(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("key")).distinct(), "gone")
-    return _among(docs, gone, "left_anti")
+    return _among(docs, row, gone, "left_anti").select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
