@@ -193,7 +193,7 @@ def direction_pipeline(columns: Sequence[str], kind: str, rows: int) -> Pipeline
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
     model = {
         "logistic": lambda: LogisticRegression(labelCol="y", regParam=1.0 / max(rows, 1), standardization=False),
-        "forest": lambda: RandomForestClassifier(labelCol="y", numTrees=50, maxDepth=5, seed=1),
+        "forest": lambda: RandomForestClassifier(labelCol="y", numTrees=200, maxDepth=5, seed=1),
         "boosted": lambda: GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, seed=1),
     }[kind]()
     return Pipeline(stages=[assembler, scaler, model])

@@ -191,7 +191,7 @@ def mixture_labels(rows: DataFrame, columns: Sequence[str], k: int = 3, seeds: S
     return model.transform(rows).select("series_id", "date", "fit", "label", vector_to_array("p").alias("prob"))
 
 
-def supervised_labels(bars: DataFrame, rows: DataFrame, columns: Sequence[str], horizon: int = 20, trees: int = 50) -> DataFrame:
+def supervised_labels(bars: DataFrame, rows: DataFrame, columns: Sequence[str], horizon: int = 20, trees: int = 300) -> DataFrame:
     """Regimes of the next ``horizon`` days, learned from today's features on the rows marked ``fit``."""
     w = ordered()
     ahead = with_returns(bars).withColumns(
