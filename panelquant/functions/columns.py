@@ -17,6 +17,17 @@ def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
 
 
+def rounded_mean(x: str, places: int) -> Column:
+    """The mean to ``places`` decimals, halves away from zero, whatever the order in which rows are added.
+
+    Added as floats, a mean that is half a unit exactly falls to either side by the errors of its sum. Values count to
+    twelve decimals here; where one isn't finite or has more than sixteen digits before the point, the mean is the floats'.
+    """
+    value, exact = F.col(x), F.col(x).try_cast("decimal(28,12)")
+    whole = F.count(exact) == F.count(value)
+    return F.when(whole, F.round(F.avg(exact), places).cast("double")).otherwise(F.round(F.avg(value), places))
+
+
 def ordered(keys: Sequence[str] = ("series_id",), by: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(by)
 

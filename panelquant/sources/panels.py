@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelquant.functions.columns import ordered, so_far
+from panelquant.functions.columns import ordered, rounded_mean, so_far
 
 #: Bars as stored: one row a series and date.
 BARS = T.StructType(
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flow_bars(rows: DataFrame, series: Column, by: Column) -> DataFrame:
     """Bars whose daily return is the day's mean discount less its centre; see FIXTURES.md."""
     daily = rows.groupBy(series.alias("series_id"), by.alias("date")).agg(
-        (F.round(F.avg("l_discount"), 6) - 0.05).alias("x"), F.avg("l_tax").alias("t"), F.sum("l_quantity").alias("q")
+        (rounded_mean("l_discount", 6) - 0.05).alias("x"), F.avg("l_tax").alias("t"), F.sum("l_quantity").alias("q")
     )
     w = so_far(ordered())
     bars = daily.withColumn("close", F.round(100 * F.product(1 + F.col("x")).over(w), 6))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelquant.functions.columns import cagr, sharpe
+from panelquant.functions.columns import cagr, rounded_mean, sharpe
 from panelquant.operators import adaptive, backtest, indicators, learning, regimes, reports, resampling, signals, validation
 from panelquant.sources import panels, snapshots
 
@@ -297,3 +297,18 @@ def test_expected_states_equal_enumeration():
             begin += n
         assert moves[m] == pytest.approx(want_moves) and likelihood[m] == pytest.approx(want_likelihood)
         assert not gamma[begin:, m].any()
+
+
+def test_daily_means_that_are_ties_round_up_in_any_order(spark):
+    rng, rows, expected = random.Random(1), [], {}
+    for day in range(20):
+        cents = [rng.randint(0, 10) for _ in range(160)]
+        cents[0] += 1 - sum(cents) % 2  # an odd sum over 160 rows is half a millionth off; many of the float sums fall short
+        rows += [(f"s{day}", DAY0, c / 100, 0.0, 1.0) for c in cents]
+        expected[f"s{day}"] = round(100 * (1 + ((20000 * sum(cents) + 160) // 320 / 1e6 - 0.05)), 6)
+    table = spark.createDataFrame(rows, "s string, d date, l_discount double, l_tax double, l_quantity double").coalesce(1)
+    found = panels.flow_bars(table, F.col("s"), F.col("d")).collect()
+    assert {r["series_id"]: r["close"] for r in found} == pytest.approx(expected, abs=1e-9)
+    odd = spark.createDataFrame([("a", 1e30), ("a", 2e30), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 0.25), ("d", None)], "k string, x double")
+    means = {r["k"]: r["m"] for r in odd.groupBy("k").agg(rounded_mean("x", 1).alias("m")).collect()}
+    assert means["a"] == pytest.approx(1.5e30) and math.isnan(means["b"]) and means["c"] is None and means["d"] == 0.3
