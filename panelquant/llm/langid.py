@@ -33,6 +33,8 @@ HASH_BITS = 18
 SAMPLE_ROWS = 300
 #: Words of a chain in fitting, where longer texts are several chains; in scoring each text is one.
 CHAIN = 64
+#: Labels up to which scoring cuts chains into pieces.
+MOST_LABELS = 16
 EPOCHS, RATE, RIDGE = 6, 0.3, 1e-4
 UNKNOWN = "und"
 
@@ -42,8 +44,9 @@ _NOT_LETTER[97:123] = False
 _NOT_LETTER[128:] = False
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, word): the hashed features of each word."""
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word): the hashed features of each word; ``total`` as of :func:`textops.hash_sums`."""
+    total = T.hash_sums(data) if total is None else total
     words = np.arange(len(starts))
     kinds = [(starts, ends, words, 0)]
     for k in (1, 2, 3):
@@ -53,7 +56,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     at = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     kinds.append((at, at + 3, of, 7))  # trigrams share their weights wherever they stand
     mask = np.uint64((1 << HASH_BITS) - 1)
-    feature = [(T.mix(T.hashes(data, a, b) + np.uint64(kind)) & mask).astype(np.int64) for a, b, _, kind in kinds]
+    feature = [(T.mix(T.hashes(data, a, b, total) + np.uint64(kind)) & mask).astype(np.int64) for a, b, _, kind in kinds]
     return np.concatenate(feature), np.concatenate([of for _, _, of, _ in kinds])
 
 
@@ -78,8 +81,9 @@ class Field:
         """words x languages: summed weights, computed once for each distinct word."""
         if not len(starts):
             return np.zeros((0, len(self.languages)))
-        _, at, which = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        return _summed(self.weights, *word_features(data, starts[at], ends[at]), len(at))[which]
+        total = T.hash_sums(data)
+        _, at, which = np.unique(T.hashes(data, starts, ends, total), return_index=True, return_inverse=True)
+        return _summed(self.weights, *word_features(data, starts[at], ends[at], total), len(at))[which]
 
 
 def chains(first: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +127,85 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, starts: np.nd
     return posterior, expected
 
 
+def _steps(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, cut): the t-th words of all chains, which come longest first, for one t after another; cut[t] is where they begin."""
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
+    cut = np.concatenate([[0], np.cumsum(active)])
+    t = np.repeat(np.arange(len(active)), active)
+    return starts[np.arange(cut[-1]) - cut[t]] + t, cut
+
+
+def posteriors(emission: np.ndarray, transition: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int = CHAIN) -> np.ndarray:
+    """The posteriors of :func:`forward_backward`, in a number of steps that hardly depends on the longest chain.
+
+    Chains are cut into pieces of ``size`` words. A piece passes messages on by a matrix, the product of its
+    words' steps. The matrices of all pieces are multiplied side by side, messages go from piece to piece through them, and
+    the pieces' words get theirs side by side again. Matrices cost a factor of the number of labels, so with many, chains stay whole.
+    """
+    n, labels = emission.shape
+    if not len(starts) or not n:
+        return np.zeros_like(emission)
+    move = np.exp(transition - transition.max())
+    size = size if labels <= MOST_LABELS else max(1, int(lengths.max()))
+    pieces = -(-lengths // size)
+    chain = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, length = starts[chain] + nth * size, np.minimum(lengths[chain] - nth * size, size)
+    last = nth == pieces[chain] - 1
+    order = np.lexsort((last, -length))
+    chain, nth, begin, length, last = (x[order] for x in (chain, nth, begin, length, last))
+    first, many = nth == 0, len(chain)
+    word, cut = _steps(begin, length)
+    steps = len(cut) - 1
+    local = np.exp(emission - emission.max(1, keepdims=True)).T[:, word]  # labels x words, step by step
+
+    # messages at the pieces' borders
+    ahead, behind = np.ones((labels, many)), np.ones((labels, many))
+    if not (first & last).all():
+        product = np.repeat(np.eye(labels)[:, :, None], many, axis=2)
+        for t in range(steps):
+            k = cut[t + 1] - cut[t]
+            own = product[:, :, :k]
+            moved = np.matmul(move.T, own)
+            if t == 0:
+                moved[:, :, first[:k]] = own[:, :, first[:k]]
+            moved *= local[:, cut[t] : cut[t + 1]]
+            product[:, :, :k] = moved / moved.sum((0, 1))
+        rank = np.argsort(order)  # of the pieces in the order of chains
+        head = np.cumsum(pieces) - pieces
+        for j in range(1, int(pieces.max())):
+            far = pieces > j
+            here, before = rank[head[far] + j], rank[head[far] + j - 1]
+            a = np.einsum("ip,ilp->lp", ahead[:, before], product[:, :, before])
+            ahead[:, here] = a / a.sum(0)
+            at, after = rank[(head + pieces)[far] - 1 - j], rank[(head + pieces)[far] - j]
+            b = np.einsum("ilp,lp->ip", product[:, :, after], behind[:, after])
+            behind[:, at] = b / b.sum(0)
+
+    alpha = np.empty_like(local)
+    for t in range(steps):
+        k = cut[t + 1] - cut[t]
+        if t:
+            a = move.T @ alpha[:, cut[t - 1] : cut[t - 1] + k]
+        else:
+            a = np.where(first, 1.0, move.T @ ahead)
+        a *= local[:, cut[t] : cut[t + 1]]
+        a /= a.sum(0)
+        alpha[:, cut[t] : cut[t + 1]] = a
+    beta = behind
+    for t in range(steps - 1, -1, -1):
+        k = cut[t + 1] - cut[t]
+        own = slice(cut[t], cut[t + 1])
+        alpha[:, own] *= beta[:, :k]
+        if t:
+            b = move @ (local[:, own] * beta[:, :k])
+            beta[:, :k] = b / b.sum(0)
+    alpha /= alpha.sum(0)
+    posterior = np.zeros_like(emission)
+    posterior[word] = alpha.T
+    return posterior
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Field:
     """Maximise the field's likelihood by AdaGrad over blocks of documents."""
     languages = sorted(set(labels))
@@ -181,7 +264,7 @@ def _label(batch: pa.RecordBatch, field: Field):
     column = batch.column("text")
     data, starts, ends, first = _words(column)
     whole = chains(first, max(1, int(np.diff(first).max(initial=0))))  # a text is one chain
-    posterior, _ = forward_backward(field.emissions(data, starts, ends), field.transitions, *whole)
+    posterior = posteriors(field.emissions(data, starts, ends), field.transitions, *whole)
     ascii_letter = ~_NOT_LETTER.copy()
     ascii_letter[128:] = False
     _, offsets = T.utf8(column)

@@ -102,12 +102,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
     return starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums that :func:`hashes` takes differences of; callers with several sets of spans make them once."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * _power_table(_BASE, len(data)), out=total[1:])
+    return total
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power_table(_BASE, n), out=total[1:])
-    own = (total[ends] - total[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
+    total = hash_sums(data) if total is None else total
+    own = (total[ends] - total[starts]) * _power_table(_BASE_INVERSE, len(data) + 1)[starts]
     return mix(own + (ends - starts).astype(np.uint64) * _ODD)
 
 

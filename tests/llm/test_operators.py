@@ -481,6 +481,27 @@ def brute_posterior(emission, transition):
     return total / total.sum(1, keepdims=True)
 
 
+@pytest.mark.parametrize("labels", [1, 4, langid.MOST_LABELS + 1])
+def test_posteriors_in_pieces_are_those_of_whole_chains(labels):
+    rng = np.random.default_rng(labels)
+    lengths = np.array([1, 700, 64, 65, 2, 128, 63, 1, 300])
+    starts = np.cumsum(lengths) - lengths
+    emission, transition = 30 * rng.normal(size=(lengths.sum(), labels)), 2 * rng.normal(size=(labels, labels))
+    whole, _ = langid.forward_backward(emission, transition, starts, lengths)
+    for size in (1, 7, 64, 1000):
+        found = langid.posteriors(emission, transition, starts, lengths, size)
+        np.testing.assert_allclose(found, whole, atol=1e-10)
+    assert langid.posteriors(emission[:0], transition, starts[:0], lengths[:0]).shape == (0, labels)
+
+
+def test_one_long_text_takes_few_steps(monkeypatch):
+    widths, steps = [], langid._steps
+    monkeypatch.setattr(langid, "_steps", lambda *a: widths.append(len(steps(*a)[1]) - 1) or steps(*a))
+    field = langid.Field(["a", "b"], np.random.default_rng(1).normal(size=(1 << langid.HASH_BITS, 2)), np.eye(2))
+    langid._label(pa.RecordBatch.from_arrays([pa.array(["word " * 20000, "and so on"])], ["text"]), field)
+    assert widths == [langid.CHAIN]
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(10)
     emission, transition = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
