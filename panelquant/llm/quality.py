@@ -153,7 +153,10 @@ def fit(feature_sets: list[np.ndarray], labels: np.ndarray, cost: float = COST,
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str, id_col="doc_id", text_col="text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows for which ``where`` (on ``id``) holds; their n-grams go to the driver."""
+    """Fit on at most ``sample_rows`` labelled rows for which ``where`` (on ``id``) holds.
+
+    Their n-grams go to one task, and the model alone to the driver, whose memory is the smallest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.blocks(batches, "text"):
@@ -163,9 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str, id_
             yield pa.record_batch([batch.column("id"), batch.column("label"), sets], ["id", "label", "features"])
 
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, where, sample_rows)
-    rows = sample.select("id", "label", "text").mapInArrow(run, "id bigint, label int, features binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["features"])))
-    return fit([np.frombuffer(r["features"], "<i4") for r in rows], np.array([r["label"] for r in rows]))
+    def fitted(rows: pa.Table) -> pa.Table:
+        ids, labels = rows.column("id").to_pylist(), rows.column("label").to_numpy()
+        sets = [x.as_buffer() for x in rows.column("features")]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], bytes(sets[i])))
+        model = fit([np.frombuffer(sets[i], "<i4") for i in order], labels[order])
+        parts = [None if x is None else x.astype("<f8").tobytes() for x in (model.weights, model.ratio)]
+        return pa.table({"weights": pa.array(parts[:1], pa.binary()), "ratio": pa.array(parts[1:], pa.binary()), "bias": pa.array([float(model.bias)])})
+
+    rows = sample.select("id", "label", "text").mapInArrow(run, "id bigint, label int, features binary")
+    found = rows.groupBy().applyInArrow(fitted, "weights binary, ratio binary, bias double").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    weights, ratio, bias = found[0]
+    return Model(None if weights is None else np.frombuffer(weights, "<f8"), None if ratio is None else np.frombuffer(ratio, "<f8"), bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

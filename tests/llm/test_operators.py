@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelquant.llm import chat, decontaminate, entry, fingerprint, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from panelquant.llm.components import components
@@ -502,6 +503,22 @@ def test_one_long_text_takes_few_steps(monkeypatch):
     assert widths == [langid.CHAIN]
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    rows = [(i, f"Plain words {i} {i * 7 % 13} end." if i % 2 else f"zz zz !! {i} %% {i * 5 % 11}") for i in range(120)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    row, feature = quality.features(pa.array([t for _, t in rows]))
+    plain = quality.fit([feature[row == i] for i in range(len(rows))], np.array([i % 2 for i, _ in rows]))
+    sizes, model_of = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda sets, *a: sizes.append(len(sets)) or model_of(sets, *a))
+    model = quality.train(docs, labels, F.lit(True), "quality")
+    assert not sizes  # no n-grams came to the driver
+    assert np.array_equal(model.weights, plain.weights) and np.array_equal(model.ratio, plain.ratio) and model.bias == plain.bias
+    one = quality.train(docs, labels, F.col("id") % 2 == 1, "quality")
+    assert one.weights is None and one.bias == 5.0
+    assert quality.train(docs, labels, F.lit(False), "quality").bias == 0.0
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(10)
     emission, transition = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
