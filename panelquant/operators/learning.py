@@ -17,6 +17,8 @@ from .indicators import KEY, daily_features, month_ends, next_day_label, with_re
 from .validation import numbered, split_position
 
 FLOOR = 1e-4
+#: Samples that a task of an iterative fit reads; a step of a fit is a job, so small tables need few tasks.
+FIT_ROWS = 1 << 15
 BASE_FEATURES = ("ret_1m", "ret_3m", "ret_6m", "ret_12m", "mom_12_1", "sma200_gap", "vol_20", "vol_60", "drawdown")
 
 
@@ -234,7 +236,8 @@ def nested_walk_forward(samples: DataFrame, roles: DataFrame, columns: Sequence[
 
     Inner rows are split in time, and rows whose label reaches the inner test part are left out. Folds and grid are few.
     """
-    keyed = samples.join(roles.select("series_id", "t0", "fold", "role"), ["series_id", "t0"]).cache()
+    joined = samples.join(roles.select("series_id", "t0", "fold", "role"), ["series_id", "t0"]).cache()
+    keyed = joined.coalesce(max(1, -(-joined.count() // FIT_ROWS))).cache()
     out = None
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     make = lambda c, n: Pipeline(stages=[assembler, LogisticRegression(labelCol="y", regParam=1.0 / (c * max(n, 1)))])

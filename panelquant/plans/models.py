@@ -24,7 +24,8 @@ mr AS (SELECT mp.*, ms.fold, CASE WHEN mp.pos BETWEEN a AND b THEN 'test' WHEN m
 
 
 def _monthly(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = learning.monthly_dataset(panels.bars6(spark, sf_dir))
+    # few rows, but each use of them would read the transactions anew
+    rows = learning.monthly_dataset(panels.bars6(spark, sf_dir).cache()).cache()
     roles = validation.walk_forward_folds(rows.select("series_id", "t0", "t1"), 24, 12)
     return rows, rows.join(roles.select("series_id", "t0", "fold", "role"), ["series_id", "t0"])
 

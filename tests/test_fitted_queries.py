@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelquant.operators import learning, regimes
+from panelquant.operators import learning, regimes, validation
+from panelquant.plans import models
 from panelquant.plans.runs import DAILY_COLUMNS
 from panelquant.sources import panels
 
@@ -111,3 +113,28 @@ def test_fitted_regimes_label_every_complete_day(spark, sf_dir, name):
         assert [r["label"] for r in own] == list(range(len(own)))
         vols = [r["vol"] for r in own if r["vol"] is not None]
         assert vols == sorted(vols)
+
+
+def test_nested_fits_of_few_samples_are_dealt_to_few_tasks(spark, monkeypatch):
+    rng, parts = np.random.default_rng(2), []
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(days=30 * k)
+    x = rng.normal(size=(60, 2))
+    rows = [("s", day(k), day(k + 1), int(x[k, 0] + rng.normal() > 0), *x[k].tolist()) for k in range(60)]
+    samples = spark.createDataFrame(rows, "series_id string, t0 date, t1 date, y int, a double, b double").repartition(8)
+    roles = validation.walk_forward_folds(samples.select("series_id", "t0", "t1"), 24, 12)
+    fit = learning.Pipeline.fit
+    monkeypatch.setattr(learning.Pipeline, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    monkeypatch.setattr(learning, "FIT_ROWS", 100)
+    found = learning.nested_walk_forward(samples, F.broadcast(roles), ["a", "b"], (0.1, 1.0)).collect()
+    tested = roles.where("role = 'test'").count()
+    kept = roles.count()
+    assert len(found) == tested and {r["chosen"] for r in found} <= {0.1, 1.0}
+    assert parts and max(parts) <= -(-kept // 100) < 8
+    assert np.mean([r["y"] == r["predicted"] for r in found]) > 0.6
+
+
+def test_monthly_samples_read_the_transactions_once(spark, sf_dir):
+    for rows in models._monthly(spark, sf_dir):
+        plan = rows._jdf.queryExecution().withCachedData()
+        leaves = plan.collectLeaves()
+        assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} == {"InMemoryRelation"}
