@@ -14,13 +14,22 @@ def _toward_least(links: DataFrame, hubs: DataFrame) -> DataFrame:
     return joined.select(F.col("other").alias("node"), F.col("least").alias("other")).where("node <> other")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every link (node, other) leads to a root: no node has two links, or is another's ``other``."""
+    ends = links.select("node", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("other").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    of_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return of_node.agg(F.count_if(F.expr("up > 1 or up > 0 and down > 0"))).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable from each node that has an edge.
 
-    Large-star and small-star steps alternate until the links no longer change;
-    every step is a partial aggregate (the least neighbour) and an equi-join
-    that adaptive execution can split at hot hubs. A step's links are written to
-    the shared folder, so the lineage stays short and lost executors cost one step.
+    Large-star and small-star steps alternate until the links are stars, each around
+    its least node; every step is a partial aggregate (the least neighbour) and an equi-join
+    that adaptive execution can split at hot hubs. Links that are stars already take no step.
+    A step's links are written to the shared folder, so the lineage stays short and lost
+    executors cost one step.
     """
     links = (
         edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other"))
@@ -28,24 +37,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .distinct()
     )
     links = stored(links, "links")
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
-
-    before = state(links)
-    while before[0]:
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
         hubs = both.groupBy("node").agg(F.min("other").alias("least"))
         hubs = hubs.select("node", F.least("node", "least").alias("least"))
-        large = _toward_least(both.where("other > node"), hubs).distinct()
-        lower = large.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
-        hubs = lower.groupBy("node").agg(F.min("other").alias("least"))
-        small = _toward_least(lower, hubs).unionByName(hubs.select("node", F.col("least").alias("other"))).distinct()
-        links = stored(small, "links")
-        after = state(links)
-        if after == before:
-            break
-        before = after
+        large = _toward_least(both.where("other > node"), hubs)  # at most a row a link; here and below node > other
+        hubs = large.groupBy("node").agg(F.min("other").alias("least"))
+        small = _toward_least(large, hubs).unionByName(hubs.select("node", F.col("least").alias("other")))
+        links = stored(small.distinct(), "links")
     roots = links.select(F.col("other").alias("node")).distinct()
     return links.select("node", F.col("other").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

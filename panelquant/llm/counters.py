@@ -62,7 +62,7 @@ def merged(blocks: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << COUNTER_BITS, np.uint8)
     sorted_blocks = blocks.select("block", "cells").repartition("block").sortWithinPartitions("block")
-    for row in sorted_blocks.mapInArrow(run, "block bigint, cells binary").toLocalIterator():
+    for row in sorted_blocks.mapInArrow(run, "block bigint, cells binary").collect():  # one job; the table's size is fixed
         start = row["block"] << BLOCK_BITS
         out[start : start + (1 << BLOCK_BITS)] = np.frombuffer(bytes(row["cells"]), np.uint8)
     return out

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from panelquant.llm import components, counters
+from panelquant.llm.scratch import stored
 from tests.llm.test_operators import brute_components, brute_lines, docs_of, sentence
 
 
@@ -78,3 +82,56 @@ def test_stages_on_odd_tables(spark, sf_dir):
     for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def jobs_of(spark, group, run):
+    """What ``run`` gives, and how many jobs it takes."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_corpus_counts_take_few_jobs_over_many_partitions(spark):
+    rows = []
+    for task in range(3):
+        counts = counters.Counts()
+        counts.add(np.arange(1 << 10, dtype=np.uint64) << np.uint64(54))
+        counts.add(np.zeros(task, np.uint64))
+        rows += [(block, bytearray(cells)) for block, cells in counts.blocks()]
+    blocks = spark.createDataFrame(rows, "block bigint, cells binary")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        table, jobs = jobs_of(spark, "merged", lambda: counters.merged(blocks))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = np.zeros(1 << counters.COUNTER_BITS)
+    want[:: 1 << counters.COUNTER_BITS - 10] = 3
+    want[0] += 0 + 1 + 2
+    assert (table == np.minimum(8 * np.log2(1 + want), 254).astype(np.uint8)).all()
+    assert jobs <= 4
+
+
+def test_links_that_are_stars_take_no_step(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or stored(df, name))
+
+    def found(edges):
+        written.clear()
+        rows = components.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
+        out = {r["node"]: r["component"] for r in rows}
+        assert len(out) == len(rows)
+        return out, len(written)
+
+    assert found([(1, k) for k in range(2, 30)] + [(40, 31), (31, 50)] * 2 + [(7, 7)]) == ({k: 1 for k in range(1, 30)} | {31: 31, 40: 31, 50: 31}, 1)
+    # a node with two links, and one that is another's other, are no stars
+    assert found([(9, 3), (9, 5)])[0] == {3: 3, 5: 3, 9: 3}
+    assert found([(9, 5), (5, 3)])[0] == {3: 3, 5: 3, 9: 3}
+    assert found([(7, 7)]) == ({}, 1)
