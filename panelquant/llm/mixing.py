@@ -12,14 +12,15 @@ text's code length, and so its probability.
 Trees and tables come from the whole training corpus. Each task goes through its rows
 once: it predicts a block of texts from what it has counted so far, learns weights and
 map online from the outcome, and counts the block; a word with a leaf is spelled too when a
-task meets it first, since new words are spelled like those. Tasks send the cells that they
+task meets it first (and only then), since new words are spelled like those. Tasks send the cells that they
 touched, keyed by blocks of the table, and the counts are summed; weights and map are
 averaged by how often each was used. A task takes ``TASK_BYTES`` of text, so what
 is gathered grows with the corpus; each table has as many cells as there are training bytes,
 rounded up to a power of two, and at most ``2 ** TABLE_BITS``, so the merged
 tables can be broadcast. Beyond that size unrelated contexts share cells. Scoring
 changes nothing: given a model, a text's score doesn't depend on how texts are dealt to
-tasks. The weights depend a little on how the training rows are dealt.
+tasks. A spelled byte's bits depend on it and the five before it alone, so a task works them out once;
+equal ones of a block are learned as one that counts as many times. The weights depend a little on how the training rows are dealt.
 
 Cases: a null or empty text is the end alone; without training rows every decision
 is even; repeated rows get equal scores.
@@ -27,9 +28,11 @@ is even; repeated rows get equal scores.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +48,10 @@ HEAD_WORDS, HEAD_BLANKS = 1 << 17, 1 << 8
 #: log2 of the largest table of a context, contexts besides the node alone, and cells that travel together (log2).
 TABLE_BITS, CONTEXTS, BLOCK_BITS = 23, 3, 16
 #: Text bytes whose decisions are held at once, and those of a counting task.
-STEP_BYTES, TASK_BYTES = 1 << 18, 80 << 20
-#: Decisions that are worked through at once, so that their columns stay in the processor's cache.
-PIECE = 1 << 14
+STEP_BYTES, TASK_BYTES = 1 << 19, 80 << 20
+#: Symbols whose decisions are worked through at once, level by level, so that their columns stay in the processor's cache
+#: (when learning, at first an 8th of the symbols before them, as little is counted), and spelled bytes, whose equals are one.
+PIECE, LEAST, SPELLED = 1 << 15, 1 << 10, 1 << 17
 PRIOR, SCALE = 0.4, 16.0
 #: Kinds of symbols: white space, words, bytes of rare ones.
 KINDS = BLANKS, WORDS, BYTES = 0, 1, 2
@@ -56,10 +60,8 @@ END_WORD, END_BYTE = 0x6A09E667F3BCC908, 256
 
 _SPREAD = np.uint64(int(T._ODD) * T._BASE % (1 << 64))
 _LOGS = (np.log(np.arange(1 << 16) + PRIOR) * SCALE).astype(np.float32)
-#: A cell is halved from here on; a piece adds no more than what is left up to 65535.
-_FULL = 65535 - 2 * PIECE
-#: By the byte of a cell's odds: how sure it is (0, 1, 2).
-_LEVEL = np.array([int(x > 0) + int(x > 32) for x in np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(int)).tolist()])
+#: A cell is halved from 32768 on; so many decisions at once add no more than what is left up to 65535.
+_FULL, _AT_ONCE = np.uint32(0x80008000), 1 << 15
 
 
 def tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -123,6 +125,16 @@ class Code:
         first = (0, len(parts[0]), len(parts[0]) + len(parts[1]))
         return cls(blanks, words, word_counts, leaf, first, *map(np.concatenate, (start, length, node, bit)), nodes)
 
+    @cached_property
+    def step(self) -> np.ndarray:
+        """Node and bit of each place of the paths, as one number."""
+        return self.node * np.int32(2) + self.bit
+
+    @cached_property
+    def near(self) -> np.ndarray:
+        """Where the words begin that start with each 18 bits."""
+        return np.searchsorted(self.words, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+
     @staticmethod
     def _find(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(known, key)
@@ -133,53 +145,101 @@ class Code:
         at, has = self._find(self.blanks, key)
         return np.where(has, at, len(self.blanks)), ~has
 
-    def word_leaves(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of hashed words."""
-        at, has = self._find(self.words, key)
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of hashed words among the most frequent ones."""
+        at, last = self.near[(key >> np.uint64(46)).astype(np.int64)], len(self.words) - 1
+        if last < 0:
+            return at, np.zeros(len(key), bool)
+        word = self.words[np.minimum(at, last)]
+        has, on = word == key, np.flatnonzero(word < key)
+        while len(on):
+            at[on] += 1
+            on = on[at[on] <= last]
+            word = self.words[at[on]]
+            has[on[word == key[on]]] = True
+            on = on[word < key[on]]
+        return at, has
+
+    def word_leaves(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, whether it is the escape) of words as :meth:`find` gives them."""
+        at, has = found
         escape = self.first[BYTES] - self.first[WORDS] - 1
         leaf = np.where(has, np.append(self.word_leaf, 0)[np.where(has, at, 0)], escape)
         return leaf + self.first[WORDS], leaf == escape
 
-    def counts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, whether it is known) of hashed words among the most frequent ones."""
-        at, has = self._find(self.words, key)
+    def counts(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether it is known) of the same."""
+        at, has = found
         return np.append(self.word_counts, 0)[np.where(has, at, 0)], has
 
 
 class Met:
-    """Words that a task has met of late, in a table of fixed size."""
-
-    def __init__(self, bits: int = 18):
-        self.table, self.shift = np.zeros(1 << bits, np.uint64), np.uint64(64 - bits)
-
-    def new(self, key: np.ndarray) -> np.ndarray:
-        """Whether each word isn't in the table, once a word; all are put in."""
-        value, first = np.unique(key, return_index=True)
-        place = (value >> self.shift).astype(np.int64)
-        fresh = np.zeros(len(key), bool)
-        fresh[first[self.table[place] != value]] = True
-        self.table[place] = value
+    """The leaves that a task has met."""
+
+    def __init__(self, code: Code):
+        self.seen = np.zeros(len(code.start), bool)
+
+    def new(self, leaf: np.ndarray) -> np.ndarray:
+        """Whether each leaf is met for the first time, once a leaf."""
+        unseen = np.flatnonzero(~self.seen[leaf])
+        value, first = np.unique(leaf[unseen], return_index=True)
+        fresh = np.zeros(len(leaf), bool)
+        fresh[unseen[first]] = True
+        self.seen[value] = True
         return fresh
 
 
-def _tokens(texts: pa.Array):
-    """(data, hash, start, end, blank's start, row, place in its text) of all words and of an end a text."""
+class Spelt:
+    """The costs of spelled bytes that a task has met of late, in a table of fixed size."""
+
+    def __init__(self, bits: int = 20):
+        self.key, self.cost, self.shift = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan), np.uint64(64 - bits)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (T.mix(key) >> self.shift).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The cost of each, not a number where it isn't in the table."""
+        place = self._place(key)
+        return np.where(self.key[place] == key, self.cost[place], np.nan)
+
+    def put(self, key: np.ndarray, cost: np.ndarray) -> None:
+        place, which = np.unique(self._place(key), return_index=True)
+        self.key[place], self.cost[place] = key[which], cost[which]
+
+
+@dataclass
+class Tokens:
+    """All words of some texts and an end of each text."""
+
+    data: np.ndarray
+    word: np.ndarray  # hashes
+    space: np.ndarray  # of the separators before them
+    start: np.ndarray
+    end: np.ndarray
+    blank: np.ndarray  # where the separator starts
+    row: np.ndarray
+    place: np.ndarray  # in its text
+
+
+def _tokens(texts: pa.Array) -> Tokens:
     data, offsets = T.utf8(texts)
     data = T.LOWER[data]
     starts, ends, first = T.spans(data, offsets, T.BLANK)
+    sums = T.hash_sums(data)
     n = len(texts)
     own = np.arange(len(starts)) + T.row_of(first)
     last = first[1:] + np.arange(n)
     begin = first[:-1] + np.arange(n)
     total = len(starts) + n
     token, start, end = np.empty(total, np.uint64), np.empty(total, np.int64), np.empty(total, np.int64)
-    token[own], start[own], end[own] = T.hashes(data, starts, ends), starts, ends
+    token[own], start[own], end[own] = T.hashes(data, starts, ends, sums), starts, ends
     token[last], start[last], end[last] = np.uint64(END_WORD), offsets[1:], offsets[1:]
     blank = np.empty(total, np.int64)
     blank[1:] = end[:-1]
     blank[begin] = offsets[:-1]
     row = np.repeat(np.arange(n), np.diff(first) + 1)
-    return data, token, start, end, blank, row, np.arange(total) - begin[row]
+    return Tokens(data, token, T.hashes(data, blank, start, sums), start, end, blank, row, np.arange(total) - begin[row])
 
 
 def _joined(*parts: np.ndarray) -> np.ndarray:
@@ -189,68 +249,124 @@ def _joined(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def symbols(code: Code, texts: pa.Array, met: Met | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, kind, row, contexts x symbols) of all symbols, kind by kind; words that ``met`` hasn't are spelled too."""
-    data, token, start, end, blank, row, place = _tokens(texts)
-    padded = np.concatenate([np.zeros(3, np.uint64), token])
-    back = [np.where(place >= k, padded[3 - k : 3 - k + len(token)], 0).astype(np.uint64) for k in (1, 2, 3)]
-    space = T.hashes(data, blank, start)
-    before = np.where(place >= 1, np.concatenate([[np.uint64(0)], space[:-1]]), 0).astype(np.uint64)
+def _byte_pairs(parts: int) -> np.ndarray:
+    """:func:`_joined` up to the second of ``parts`` parts, by two bytes plus 1 (0 for none)."""
+    value = np.arange(END_BYTE + 1, dtype=np.uint64)
+    first = T.mix(np.full(1, parts, np.uint64) * T._ODD + value)
+    return T.mix(first[:, None] * T._ODD + value).reshape(-1)
+
+
+_BYTE_PAIRS = {parts: _byte_pairs(parts) for parts in (2, 3, 5)}
+
+
+def _whole(code: Code, t: Tokens, found: tuple[np.ndarray, np.ndarray]):
+    """(leaf, contexts x symbols) of separators and then of words, and which separators and which words are escapes."""
+    padded = np.concatenate([np.zeros(3, np.uint64), t.word])
+    back = [np.where(t.place >= k, padded[3 - k : 3 - k + len(t.word)], 0).astype(np.uint64) for k in (1, 2, 3)]
+    before = np.where(t.place >= 1, np.concatenate([[np.uint64(0)], t.space[:-1]]), 0).astype(np.uint64)
     one, two, three = _joined(back[0]), _joined(back[0], back[1]), _joined(*back)
-    blank_leaf, rare_blank = code.blank_leaves(space)
-    word_leaf, spelled = code.word_leaves(token)
-    if met:
-        spelled = spelled | (met.new(token) & (end > start))
-    # the bytes of what has no leaf, and an end of each
-    a, b = np.concatenate([blank[rare_blank], start[spelled]]), np.concatenate([start[rare_blank], end[spelled]])
+    blank_leaf, rare_blank = code.blank_leaves(t.space)
+    word_leaf, rare_word = code.word_leaves(found)
+    context = np.concatenate([np.stack([one, two, _joined(back[0], before)]), np.stack([one, two, three])], axis=1)
+    return np.concatenate([blank_leaf, word_leaf]), context, rare_blank, rare_word
+
+
+def _spelled(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte and the five before it in its run, run) of the bytes of the runs from ``a`` to ``b``, and an end of each; 9 bits a byte."""
     size = b - a + 1
     of = np.repeat(np.arange(len(a)), size)
     within = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
     at = a[of] + within
-    byte = np.where(at < b[of], np.append(data, 0)[np.minimum(at, len(data))], END_BYTE).astype(np.int64)
-    last = [np.where(within >= k, np.roll(byte, k) + 1, 0).astype(np.uint64) for k in (1, 2, 3, 4, 5)]
-    byte_row = np.concatenate([row[rare_blank], row[spelled]])[of]
-    context = np.concatenate(
-        [
-            np.stack([one, two, _joined(back[0], before)]),
-            np.stack([one, two, three]),
-            np.stack([_joined(*last[:k]) for k in (2, 3, 5)]),
-        ],
-        axis=1,
-    )
-    kind = np.repeat(KINDS, [len(token), len(token), len(of)])
-    leaf = np.concatenate([blank_leaf, word_leaf, byte + code.first[BYTES]])
-    return leaf, kind, np.concatenate([row, row, byte_row]), context
-
-
-def pieces(code: Code, leaf: np.ndarray, size: int = PIECE) -> Iterator[slice]:
-    """Runs of symbols with ``size`` decisions at most (or one symbol)."""
-    done = np.concatenate([[0], np.cumsum(code.length[leaf])])
-    a = 0
-    while a < len(leaf):
-        b = max(a + 1, int(np.searchsorted(done, done[a] + size, side="right")) - 1)
-        yield slice(a, b)
-        a = b
+    byte = np.where(at < b[of], np.append(data, 0)[np.minimum(at, len(data))], END_BYTE).astype(np.uint64)
+    out = byte.copy()
+    for k in range(1, 6):
+        out[k:] |= np.where(within[k:] >= k, byte[:-k] + np.uint64(1), np.uint64(0)) << np.uint64(9 * k)
+    return out, of
+
+
+def _bytes(code: Code, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, contexts x symbols) of bytes as :func:`_spelled` gives them."""
+    byte, *last = ((spelled >> np.uint64(9 * k) & np.uint64(511)).view(np.int64) for k in range(6))
+    pair = last[0] * (END_BYTE + 1) + last[1]
+    context = np.empty((CONTEXTS, len(byte)), np.uint64)
+    for k, parts in enumerate((2, 3, 5)):
+        out = _BYTE_PAIRS[parts][pair]
+        for part in last[2:parts]:
+            out = T.mix(out * T._ODD + part.view(np.uint64))
+        context[k] = out
+    return byte + code.first[BYTES], context
+
+
+def symbols(code: Code, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, kind, row, contexts x symbols) of all symbols of some texts, kind by kind, none folded."""
+    t = _tokens(texts)
+    leaf, context, blank, word = _whole(code, t, code.find(t.word))
+    spelled, of = _spelled(t.data, *_runs(t, blank, word))
+    byte_leaf, byte_context = _bytes(code, spelled)
+    kind = np.repeat(KINDS, [len(t.word), len(t.word), len(of)])
+    row = np.concatenate([t.row, t.row, np.concatenate([t.row[blank], t.row[word]])[of]])
+    return np.concatenate([leaf, byte_leaf]), kind, row, np.concatenate([context, byte_context], axis=1)
+
+
+def _runs(t: Tokens, blank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the separators and the words that are spelled start and end."""
+    return np.concatenate([t.blank[blank], t.start[word]]), np.concatenate([t.start[blank], t.end[word]])
+
+
+def to_learn(code: Code, texts: pa.Array, met: Met, done: list[int]):
+    """(kind, leaf, contexts x symbols, times) of pieces of the texts' symbols; ``done``: how many of each kind there were, which it brings up to date.
+
+    Words that ``met`` hasn't are spelled too. Equal spelled bytes of a piece are folded; ``times`` is None for other kinds.
+    """
+    t = _tokens(texts)
+    leaf, context, blank, word = _whole(code, t, code.find(t.word))
+    n = len(t.word)
+    spelled, _ = _spelled(t.data, *_runs(t, blank, word | (met.new(leaf[n:]) & (t.end > t.start))))
+    for kind, total, most in ((BLANKS, n, PIECE), (WORDS, n, PIECE), (BYTES, len(spelled), SPELLED)):
+        a = 0
+        while a < total:
+            b = min(total, a + min(max(done[kind] // 8, LEAST), most))
+            if kind == BYTES:
+                value, times = np.unique(spelled[a:b], return_counts=True)
+                # none counts so often at once that a cell could overflow
+                copies = -(-times // (_AT_ONCE // 2))
+                place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                value, times, copies = (np.repeat(x, copies) for x in (value, times, copies))
+                times = times * (place + 1) // copies - times * place // copies
+                yield kind, *_bytes(code, value), times
+            else:
+                own = slice(a + kind * n, b + kind * n)
+                yield kind, leaf[own], context[:, own], None
+            done[kind] += b - a
+            a = b
+
+
+def levels(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
+    """(symbols, depth, outcome, node, slots) of the decisions at each depth; slots: the cells of the contexts, contexts x decisions."""
+    length = code.length[leaf]
+    order = np.argsort(-length.astype(np.int16), kind="stable")
+    going = len(leaf) - np.cumsum(np.bincount(length))
+    path = code.start[leaf[order]]
+    # (context + node * odd) * base, the products taken once a symbol and once a decision
+    context = context[:, order] * np.uint64(T._BASE)
+    for depth, n in enumerate(going[:-1].tolist()):
+        step = code.step.take(path[:n] + depth, mode="clip")
+        node = (step >> 1).astype(np.int64)
+        spread = node.view(np.uint64) * _SPREAD
+        slots = np.empty((CONTEXTS, n), np.int64)
+        for k in range(CONTEXTS):
+            hashed = slots[k].view(np.uint64)
+            np.add(context[k, :n], spread, out=hashed)
+            hashed >>= np.uint64(64 - bits)
+            hashed |= np.uint64(k << bits)
+        yield order[:n], depth, (step & 1).astype(np.int8), node, slots
 
 
 def decisions(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
-    """(symbol number, depth, outcome, node, slots) of all decisions; slots: the cells of the contexts, contexts x decisions."""
-    length = code.length[leaf]
-    of = np.repeat(np.arange(len(leaf)), length)
-    depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-    path = np.repeat(code.start[leaf], length) + depth
-    node, bit = code.node[path].astype(np.int64), code.bit[path]
-    # (context + node * odd) * base, the products taken once a symbol and once a node
-    base = np.uint64(T._BASE)
-    spread = node.astype(np.uint64) * _SPREAD
-    slots = np.empty((CONTEXTS, len(of)), np.int64)
-    for k in range(CONTEXTS):
-        hashed = np.repeat(context[k] * base, length)
-        hashed += spread
-        hashed >>= np.uint64(64 - bits)
-        slots[k] = hashed.view(np.int64)
-        slots[k] += k << bits
-    return of, np.minimum(depth, DEPTHS - 1), bit, node, slots
+    """(symbol number, depth, outcome, node, slots) of all decisions, the levels one after another."""
+    of, depth, bit, node, slots = zip(*levels(code, bits, leaf, context))
+    depth = np.repeat(np.minimum(depth, DEPTHS - 1), [len(x) for x in of])
+    return np.concatenate(of), depth, np.concatenate(bit), np.concatenate(node), np.concatenate(slots, axis=1)
 
 
 def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -262,35 +378,42 @@ class Counts:
     """A task's counts of outcomes: by node, and by cell in 16 bits (both of a cell are halved while one is too large)."""
 
     def __init__(self, code: Code, bits: int):
-        self.node, self.node_odds = np.zeros((code.nodes, 2), np.int64), np.zeros(code.nodes, np.int8)
+        self.node = np.zeros((code.nodes, 2), np.int64)
         self.cell = np.zeros((CONTEXTS << bits, 2), "<u2")
         self.both = self.cell.view("<u4").reshape(-1)
-        self.seen, self.due = 0, 0
 
-    def read(self, node: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """(contexts + 1) x decisions, as :func:`odds`; those of nodes are brought up to date now and then."""
+    def add(self, node: np.ndarray, bit: np.ndarray, slots: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """Count outcomes, each so many times (half of ``_AT_ONCE`` at most). Returns (contexts + 1) x decisions, as :func:`odds`, of what was counted before."""
         out = np.empty((CONTEXTS + 1, len(node)), np.int8)
-        out[0] = self.node_odds[node]
-        for k in range(CONTEXTS):
-            pair = self.both[slots[k]]
-            out[k + 1] = np.clip(np.rint(_LOGS[pair >> np.uint32(16)] - _LOGS[pair & np.uint32(65535)]), -127, 127)
+        pair = self.node.take(node, axis=0, mode="wrap").astype(np.float32)
+        pair += np.float32(PRIOR)
+        self._odds(np.log(pair, out=pair).reshape(-1) * np.float32(SCALE), out[0])
+        np.add.at(self.node.reshape(-1), node * 2 + bit, np.int64(1) if times is None else times)
+        one = bit.astype(np.uint32)
+        one *= np.uint32(65535)
+        one += np.uint32(1)
+        cuts = range(0, len(node), _AT_ONCE)
+        if times is not None:
+            one *= times.astype(np.uint32)
+            total = np.cumsum(times)
+            cuts = np.searchsorted(total, np.arange(0, total[-1], _AT_ONCE // 2), side="right").tolist()
+        for own in itertools.starmap(slice, itertools.pairwise([*cuts, len(node)])):
+            for before, place in zip(out[1:, own], slots[:, own]):
+                # a cell is counted right after it is read, while it is in the processor's cache
+                pair = self.both.take(place, mode="wrap")
+                if np.bitwise_or.reduce(pair, initial=0) & _FULL:
+                    self.cell[np.unique(place[pair & _FULL > 0])] >>= 1
+                np.add.at(self.both, place, one[own])
+                self._odds(_LOGS.take(pair.view("<u2"), mode="clip"), before)
         return out
 
-    def add(self, node: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> None:
-        np.add.at(self.node.reshape(-1), node * 2 + bit, 1)
-        self.seen += len(node)
-        if self.seen >= self.due:
-            self.node_odds = odds(self.node[:, 0], self.node[:, 1])
-            self.due = self.seen + min(self.seen // 4, 4 * len(self.node))
-        flat = self.cell.reshape(-1)
-        for a in range(0, len(node), 2 * PIECE):
-            own = slice(a, a + 2 * PIECE)
-            for place in slots[:, own]:
-                pair = self.both[place]
-                full = np.maximum(pair & np.uint32(65535), pair >> np.uint32(16)) > _FULL
-                if full.any():
-                    self.cell[np.unique(place[full])] >>= 1
-                np.add.at(flat, place * 2 + bit[own], np.uint16(1))
+    @staticmethod
+    def _odds(logs: np.ndarray, out: np.ndarray) -> None:
+        """From the logarithms of each cell's zeros and ones, in turn."""
+        sure = logs[1::2] - logs[::2]
+        np.rint(sure, out=sure)
+        np.clip(sure, -127, 127, out=sure)
+        out[:] = sure
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """(block, touched cells) of the nodes (from block 0 on) and then of the contexts' cells; :func:`_cells` reads them."""
@@ -327,67 +450,84 @@ class Mixer:
         start = np.array([0.5, 0.2, 0.2, 0.2])
         return cls(np.tile(start, (len(KINDS) * LEVELS, 1)), np.zeros((len(KINDS) * DEPTHS, CONTEXTS + 1)), np.tile(stage, (len(KINDS) * DEPTHS, 1)))
 
-    def weights(self) -> np.ndarray:
-        """Contexts x (kind, depth, level): the two tables' sum, for odds as they are stored."""
+    def ready(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts x (kind, depth, level): the two tables' sum, for odds as they are stored; the map and its steps."""
         joint = self.by_gate.reshape(len(KINDS), 1, LEVELS, -1) + self.by_depth.reshape(len(KINDS), DEPTHS, 1, -1)
-        return np.ascontiguousarray(joint.reshape(-1, CONTEXTS + 1).T / SCALE).astype(np.float32)
+        refined = self.refined.astype(np.float32).reshape(-1)
+        return np.ascontiguousarray(joint.reshape(-1, CONTEXTS + 1).T / SCALE).astype(np.float32), refined, np.append(np.diff(refined), np.float32(0))
 
     @staticmethod
-    def _mixed(weights, raw, kind, depth):
-        byte = raw.view(np.uint8)
-        deep = kind * DEPTHS + depth
-        joint = deep * LEVELS
-        for k, step in enumerate((9, 3, 1)):
-            joint += (_LEVEL * step)[byte[k + 1]]
-        odds_ = raw.astype(np.float32)
-        z = weights[0][joint] * odds_[0]
+    def _level(raw):
+        """How sure the contexts are."""
+        sure = np.abs(raw[1:])
+        level = (sure > 0).view(np.uint8) + (sure > 32).view(np.uint8)
+        return (level[0] * np.uint8(9) + level[1] * np.uint8(3) + level[2]).astype(np.int64)
+
+    @staticmethod
+    def _mixed(weights, odds_, joint):
+        z = weights[0].take(joint, mode="clip")
+        z *= odds_[0]
         for own, x in zip(weights[1:], odds_[1:]):
-            z += own[joint] * x
-        return joint, deep, odds_, z
+            part = own.take(joint, mode="clip")
+            part *= x
+            z += part
+        return z
+
+    @staticmethod
+    def _even(z):
+        """The probability of outcome 1 at log odds ``z``."""
+        p = np.exp(-z)
+        p += 1
+        return np.reciprocal(p, out=p)
 
     @staticmethod
     def _stage(z):
-        place = np.clip((z + 8) * ((STAGES - 1) / 16), 0, STAGES - 1.001)
+        place = z + np.float32(8)
+        place *= np.float32((STAGES - 1) / 16)
+        np.clip(place, 0, np.float32(STAGES - 1.001), out=place)
         low = place.astype(np.int64)
-        return low, place - low
-
-    def chance(self, raw, kind, depth, weights: np.ndarray | None = None) -> np.ndarray:
-        """The probability of outcome 1 of each decision."""
-        _, deep, _, z = self._mixed(self.weights() if weights is None else weights, raw, kind, depth)
-        low, part = self._stage(z)
-        cell, refined = deep * STAGES + low, self.refined.reshape(-1)
-        below = refined[cell]
-        below += (refined[cell + 1] - below) * part
-        return np.clip((1 / (1 + np.exp(-z)) + below) / 2, 1e-6, 1 - 1e-6)
-
-    def learn(self, raw, kind, depth, bit, rate: float = 0.05) -> None:
-        """Online updates of weights (AdaGrad on coding cost) and map, in order, a small batch at a time."""
+        place -= low.astype(np.float32)
+        return low, place
+
+    def chance(self, raw, kind, depth, ready: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """The probability of outcome 1 of each decision, in 32 bits."""
+        weights, refined, steps = ready or self.ready()
+        deep = kind * DEPTHS + depth
+        z = self._mixed(weights, raw.astype(np.float32), self._level(raw) + deep * LEVELS)
+        cell, part = self._stage(z)
+        cell += deep * STAGES
+        part *= steps.take(cell, mode="clip")
+        part += refined.take(cell, mode="clip")
+        part += self._even(z)
+        part *= np.float32(0.5)
+        return np.clip(part, np.float32(1e-6), np.float32(1 - 1e-6), out=part)
+
+    def learn(self, raw, kind: int, depth: int, bit, times=None, rate: float = 0.05) -> None:
+        """An online update of weights (AdaGrad on coding cost) and map by decisions of one kind and depth, each so many times."""
         if not hasattr(self, "square"):
             self.square = [np.full_like(self.by_gate, 1.0), np.full_like(self.by_depth, 1.0)]
             self.used = [np.zeros(len(self.by_gate)), np.zeros(len(self.by_depth)), np.zeros(self.refined.size)]
-            self.steps = 0
-        a, shape = 0, (len(KINDS), DEPTHS, LEVELS)
-        size = len(KINDS) * DEPTHS * LEVELS
-        while a < len(bit):
-            own = slice(a, a + (2048 if self.steps < 64 else 16384))
-            a, self.steps = own.stop, self.steps + 1
-            joint, deep, s, z = self._mixed(self.weights(), raw[:, own], kind[own], depth[own])
-            error = bit[own] - 1 / (1 + np.exp(-z))
-            count = np.bincount(joint, minlength=size).reshape(shape)
-            gradient = np.stack([np.bincount(joint, error * x, size) for x in s], axis=1).reshape(*shape, -1) / SCALE
-            for weights, seen, used, axis in zip((self.by_gate, self.by_depth), self.square, self.used, (1, 2)):
-                used += count.sum(axis).reshape(-1)
-                slope = gradient.sum(axis).reshape(weights.shape)
-                seen += slope**2
-                weights += rate * slope / np.sqrt(seen)
-            low, part = self._stage(z)
-            cell = deep * STAGES + low + (part > 0.5)
-            count = np.bincount(cell, minlength=self.refined.size)
-            ones = np.bincount(cell, bit[own], self.refined.size)
-            self.used[2] += count
-            hit = np.flatnonzero(count)
-            flat = self.refined.reshape(-1)
-            flat[hit] += (1 - 0.98 ** count[hit]) * (ones[hit] / count[hit] - flat[hit])
+        gate, deep = slice(kind * LEVELS, (kind + 1) * LEVELS), kind * DEPTHS + depth
+        weights = np.ascontiguousarray((self.by_gate[gate] + self.by_depth[deep]).T / SCALE).astype(np.float32)
+        level, s = self._level(raw), raw.astype(np.float32)
+        z = self._mixed(weights, s, level)
+        s *= bit - self._even(z) if times is None else (bit - self._even(z)) * times.astype(np.float32)
+        gradient = np.stack([np.bincount(level, x, LEVELS) for x in s], axis=1) / SCALE
+        count = np.bincount(level, times, LEVELS)
+        for k, (own, at, slope, n) in enumerate(((self.by_gate, gate, gradient, count), (self.by_depth, deep, gradient.sum(axis=0), count.sum()))):
+            self.used[k][at] += n
+            self.square[k][at] += slope**2
+            own[at] += rate * slope / np.sqrt(self.square[k][at])
+        cell, part = self._stage(z)
+        cell += part > 0.5
+        cell *= 2
+        cell += bit
+        outcome = np.bincount(cell, times, 2 * STAGES).reshape(-1, 2)
+        count, ones = outcome.sum(axis=1), outcome[:, 1]
+        self.used[2][deep * STAGES : (deep + 1) * STAGES] += count
+        hit = np.flatnonzero(count)
+        own = self.refined[deep]
+        own[hit] += (1 - 0.98 ** count[hit]) * (ones[hit] / count[hit] - own[hit])
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights and map with a row for each count in ``used``."""
@@ -406,17 +546,39 @@ class Model:
 
     def code_length(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text."""
-        leaf, kind, row, context = symbols(self.code, texts)
-        cost, weights = np.empty(len(leaf)), self.mixer.weights()
-        for own in pieces(self.code, leaf):
-            of, depth, bit, node, slots = decisions(self.code, self.bits, leaf[own], context[:, own])
-            raw = np.empty((CONTEXTS + 1, len(of)), np.int8)
-            raw[0] = self.nodes[node]
-            for k in range(CONTEXTS):
-                raw[k + 1] = self.table[slots[k]]
-            p = self.mixer.chance(raw, kind[own][of], depth, weights)
-            cost[own] = np.bincount(of, np.log(np.where(bit == 1, p, 1 - p)), own.stop - own.start)
-        return np.bincount(row, cost / -np.log(2), len(texts))
+        t = _tokens(texts)
+        return self.bits_of(t, self.code.find(t.word), len(texts), Spelt())
+
+    def bits_of(self, t: Tokens, found: tuple[np.ndarray, np.ndarray], n: int, spelt: Spelt) -> np.ndarray:
+        """Bits of each of ``n`` texts."""
+        leaf, context, blank, word = _whole(self.code, t, found)
+        spelled, of = _spelled(t.data, *_runs(t, blank, word))
+        value, which = np.unique(spelled, return_inverse=True)
+        cost = spelt.get(value)
+        new = np.isnan(cost)
+        cost[new] = self._costs(BYTES, *_bytes(self.code, value[new]))
+        spelt.put(value[new], cost[new])
+        half = len(t.word)
+        nats = [self._costs(BLANKS, leaf[:half], context[:, :half]), self._costs(WORDS, leaf[half:], context[:, half:]), cost[which]]
+        row = np.concatenate([t.row, t.row, np.concatenate([t.row[blank], t.row[word]])[of]])
+        return np.bincount(row, np.concatenate(nats), n) / np.log(2)
+
+    def _costs(self, kind: int, leaf: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the inverse probabilities of symbols of a kind."""
+        cost, ready = np.zeros(len(leaf)), self.mixer.ready()
+        for a in range(0, len(leaf), PIECE):
+            own = slice(a, a + PIECE)
+            total, order = np.zeros(len(leaf[own])), None
+            for of, depth, bit, node, slots in levels(self.code, self.bits, leaf[own], context[:, own]):
+                order = of if order is None else order  # those of later levels are the first of it
+                raw = np.empty((CONTEXTS + 1, len(of)), np.int8)
+                self.nodes.take(node, out=raw[0], mode="clip")
+                self.table.take(slots, out=raw[1:], mode="wrap")
+                p = self.mixer.chance(raw, kind, min(depth, DEPTHS - 1), ready)
+                total[: len(of)] -= np.log(np.abs(p - (1 - bit).astype(np.float32)))
+            if order is not None:
+                cost[a + order] = total[: len(order)]
+        return cost
 
 
 def _gathered(docs: DataFrame) -> DataFrame:
@@ -438,16 +600,16 @@ def _gathered(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), T.array(part), pa.array(n[a : a + (1 << 16)])], ["kind", "key", "n"])
 
         for batch in T.blocks(batches, "text"):
-            data, token, start, end, blank, _, _ = _tokens(batch.column("text"))
-            for k, hashed in enumerate((T.hashes(data, blank, start), token)):
+            t = _tokens(batch.column("text"))
+            for k, hashed in enumerate((t.space, t.word)):
                 found[k].append(np.unique(hashed, return_counts=True))
                 if len(found[k]) > 16:
                     folded(k)
                     if len(found[k][0][0]) > 1 << 20:  # what a task holds stays small; Spark adds up
                         yield from out(k, *found[k].pop())
-            byte_counts[:256] += np.bincount(data, minlength=256)
-            byte_counts[256] += len(token)
-            size += len(data)
+            byte_counts[:256] += np.bincount(t.data, minlength=256)
+            byte_counts[256] += len(t.word)
+            size += len(t.data)
         for k in (BLANKS, WORDS):
             if found[k]:
                 yield from out(k, *folded(k))
@@ -473,14 +635,14 @@ def _learned(docs: DataFrame, code: Code, bits: int) -> DataFrame:
     names = ["part", "key", "used", "sums", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mixer, met, counts = shared.value, Mixer.new(), Met(), None
+        own, mixer, counts = shared.value, Mixer.new(), None
+        met, done = Met(own), [0] * len(KINDS)
         for batch in T.blocks(batches, "text", STEP_BYTES):
             counts = counts or Counts(own, bits)
-            leaf, kind, _, context = symbols(own, batch.column("text"), met)
-            for piece in pieces(own, leaf, PIECE if counts.seen else PIECE // 16):  # at first, little is counted
-                of, depth, bit, node, slots = decisions(own, bits, leaf[piece], context[:, piece])
-                mixer.learn(counts.read(node, slots), kind[piece][of], depth, bit)
-                counts.add(node, bit, slots)
+            for kind, leaf, context, times in to_learn(own, batch.column("text"), met, done):
+                for of, depth, bit, node, slots in levels(own, bits, leaf, context):
+                    often = None if times is None else times[of]
+                    mixer.learn(counts.add(node, bit, slots, often), kind, min(depth, DEPTHS - 1), bit, often)
         if counts is None:
             return
         for k, (values, used) in enumerate(zip(mixer.parts(), mixer.used)):
@@ -571,14 +733,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     norm = model.train_tokens + 0.5 * (model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, spelt = shared.value, Spelt()
         for batch in T.blocks(batches, "text", STEP_BYTES):
             n = batch.num_rows
             texts = batch.column("text")
-            bits = own.code_length(texts)
+            t = _tokens(texts)
+            found = own.code.find(t.word)
+            bits = own.bits_of(t, found, n, spelt)
             _, offsets = T.utf8(texts)
-            _, word, _, _, _, row, _ = _tokens(texts)
-            count, known = own.code.counts(word)
+            word, row = t.word, t.row
+            count, known = own.code.counts(found)
             base = np.bincount(row[known], np.log10((count[known] + 0.5) / norm), n)
             n_known = np.bincount(row, known, n).astype(np.int64)
             rest, rest_row = word[~known], row[~known]

@@ -269,6 +269,43 @@ def test_mixing_learns_from_every_training_row(spark):
     assert not np.allclose(model.mixer.by_gate, fresh.by_gate) and not np.allclose(model.mixer.refined, fresh.refined)
 
 
+def test_mixing_folds_equal_spelled_bytes():
+    """A word that is spelled often is worked out once, with the counts and costs of all its places."""
+    model = random_model(np.random.default_rng(11))
+    code, texts = model.code, pa.array(["unseen stone " * 300, "stone unseen river"] * 3)
+    leaf, kind, _, context = mixing.symbols(code, texts)
+    plain, folded, met, done = mixing.Counts(code, 16), mixing.Counts(code, 16), mixing.Met(code), [10**9] * 3
+    _, _, bit, node, slots = mixing.decisions(code, 16, leaf, context)
+    plain.add(node, bit, slots)
+    symbols, spelled = 0, (kind == mixing.BYTES).sum()
+    for k, own, contexts, times in mixing.to_learn(code, texts, met, done):
+        symbols += len(own) if k == mixing.BYTES else 0
+        for of, _, bit, node, slots in mixing.levels(code, 16, own, contexts):
+            folded.add(node, bit, slots, None if times is None else times[of])
+    assert symbols < spelled / 50
+    # words with a leaf are spelled once besides: stone and river
+    assert folded.node.sum() - plain.node.sum() == sum(code.length[code.first[2] + b] for b in [*b"stoneriver", 256, 256])
+    assert [k for k, *_ in mixing.to_learn(code, pa.array(["river stone"]), met, done)] == [mixing.BLANKS, mixing.WORDS]
+
+
+def test_mixing_often_counted_cells_keep_their_ratio():
+    """More equal bytes than a cell can hold are counted without overflow."""
+    code = random_model(np.random.default_rng(7)).code
+    spelled = np.full(mixing.SPELLED, ord("x"), np.uint64)
+    texts = pa.array([" ".join(["x"] * mixing.SPELLED)])
+    assert (mixing._spelled(np.frombuffer(b"x", np.uint8), np.array([0]), np.array([1]))[0][0] == spelled[0]).all()
+    counts, total = mixing.Counts(code, 16), 0
+    for _, leaf, context, times in mixing.to_learn(code, texts, mixing.Met(code), [10**9] * 3):
+        for of, _, bit, node, slots in mixing.levels(code, 16, leaf, context):
+            counts.add(node, bit, slots, None if times is None else times[of])
+            total += len(of) if times is None else times[of].sum()
+    assert counts.node.sum() == total
+    x = code.first[2] + ord("x")
+    _, _, bit, node, slots = mixing.decisions(code, 16, np.array([x]), mixing._bytes(code, spelled[:1])[1])
+    own = counts.cell[slots[0]]
+    assert (own[np.arange(len(bit)), bit] > 8000).all() and (own[np.arange(len(bit)), 1 - bit] < 100).all()
+
+
 def test_mixing_counts_are_whole(spark):
     """Full cells keep their ratio, and packed blocks come back as they were."""
     code = random_model(np.random.default_rng(7)).code
