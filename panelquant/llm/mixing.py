@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import itertools
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -48,50 +48,55 @@ HEAD_WORDS, HEAD_BLANKS = 1 << 17, 1 << 8
 #: log2 of the largest table of a context, contexts besides the node alone, and cells that travel together (log2).
 TABLE_BITS, CONTEXTS, BLOCK_BITS = 23, 3, 16
 #: Text bytes whose decisions are held at once, and those of a counting task.
-STEP_BYTES, TASK_BYTES = 1 << 19, 80 << 20
+STEP_BYTES, TASK_BYTES = 1 << 20, 80 << 20
 #: Symbols whose decisions are worked through at once, level by level, so that their columns stay in the processor's cache
 #: (when learning, at first an 8th of the symbols before them, as little is counted), and spelled bytes, whose equals are one.
-PIECE, LEAST, SPELLED = 1 << 15, 1 << 10, 1 << 17
+PIECE, LEAST, SPELLED = 1 << 15, 1 << 10, 1 << 20
 PRIOR, SCALE = 0.4, 16.0
 #: Kinds of symbols: white space, words, bytes of rare ones.
 KINDS = BLANKS, WORDS, BYTES = 0, 1, 2
 DEPTHS, STAGES, LEVELS = 8, 33, 27
 END_WORD, END_BYTE = 0x6A09E667F3BCC908, 256
 
+_SPACE = T.hashes(np.array([32], np.uint8), np.array([0]), np.array([1]))[0]
 _SPREAD = np.uint64(int(T._ODD) * T._BASE % (1 << 64))
-_LOGS = (np.log(np.arange(1 << 16) + PRIOR) * SCALE).astype(np.float32)
+#: 128 times SCALE times the logarithm of each count.
+_LOGS = np.rint(np.log(np.arange(1 << 16) + PRIOR) * (128 * SCALE)).astype(np.int16)
 #: A cell is halved from 32768 on; so many decisions at once add no more than what is left up to 65535.
 _FULL, _AT_ONCE = np.uint32(0x80008000), 1 << 15
 
 
-def tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(start, length, node, bit, nodes): each leaf's path in the Huffman tree of the weights; the root has the last number."""
+def tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(path, length, base): each leaf's path in a Huffman tree of the weights, its bits from the highest of 64 on.
+
+    Codes are canonical: at each depth leaves come before nodes, so a node's number is the bits that lead to it plus ``base`` of its depth.
+    """
     order = np.argsort(weight, kind="stable").tolist()
     n = len(order)
-    parent, side = [0] * (2 * n - 1), [0] * (2 * n - 1)
+    parent = [0] * (2 * n - 1)
     leaves, made = deque((float(weight[i]), i) for i in order), deque()
     for number in range(n, 2 * n - 1):
         total = 0.0
-        for s in (0, 1):
+        for _ in range(2):
             source = leaves if leaves and (not made or leaves[0][0] <= made[0][0]) else made
             w, i = source.popleft()
-            parent[i], side[i] = number, s
+            parent[i] = number
             total += w
         made.append((total, number))
     depth = np.zeros(2 * n - 1, np.int64)
-    parent, side = np.array(parent, np.int64), np.array(side, np.int8)
     for i in range(2 * n - 3, -1, -1):
         depth[i] = depth[parent[i]] + 1
     length = depth[:n]
-    start = np.cumsum(length) - length
-    node, bit = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.int8)
-    at, place = np.arange(n), start + length - 1
-    while len(at):
-        going = at != 2 * n - 2
-        at, place = at[going], place[going]
-        node[place], bit[place] = parent[at] - n, side[at]
-        at, place = parent[at], place - 1
-    return start, length, node, bit, n - 1
+    leaves_at = np.bincount(length).tolist()
+    path, base, first, nodes, total = np.zeros(n, np.uint64), [], 0, 0, 1
+    for d, many in enumerate(leaves_at):
+        own = np.flatnonzero(length == d)
+        if d:
+            path[own] = (first + np.arange(len(own))).astype(np.uint64) << np.uint64(64 - d)
+        first += many
+        base.append(nodes - first)
+        nodes, first, total = nodes + total - many, 2 * first, 2 * (total - many)
+    return path, length, np.array(base, np.int64)
 
 
 @dataclass
@@ -103,10 +108,9 @@ class Code:
     word_counts: np.ndarray
     word_leaf: np.ndarray  # among those of the words; the escape for words that were met once
     first: tuple[int, int, int]  # leaf
-    start: np.ndarray
+    path: np.ndarray  # of leaves, as :func:`tree` gives them
     length: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    base: tuple[np.ndarray, ...]  # of kinds
     nodes: int
 
     @classmethod
@@ -114,21 +118,39 @@ class Code:
         twice = (word_counts > 1) | (words == np.uint64(END_WORD))
         leaf = np.where(twice, np.cumsum(twice) - 1, twice.sum())
         parts = [np.append(blank_counts, blank_escape), np.append(word_counts[twice], word_escape), byte_counts + 0.5]
-        start, length, node, bit, nodes, used = [], [], [], [], 0, 0
+        path, length, base, nodes = [], [], [], 0
         for weight in parts:
-            s, n, v, b, k = tree(weight)
-            start.append(s + used)
+            p, n, b = tree(weight)
+            path.append(p)
             length.append(n)
-            node.append(v + nodes)
-            bit.append(b)
-            nodes, used = nodes + k, used + len(v)
+            base.append(b + nodes)
+            nodes += len(weight) - 1
         first = (0, len(parts[0]), len(parts[0]) + len(parts[1]))
-        return cls(blanks, words, word_counts, leaf, first, *map(np.concatenate, (start, length, node, bit)), nodes)
+        return cls(blanks, words, word_counts, leaf, first, np.concatenate(path), np.concatenate(length).astype(np.int16), tuple(base), nodes)
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        """Where each leaf's path begins in :attr:`node` and :attr:`bit`, which hold all paths one after another."""
+        length = self.length.astype(np.int64)
+        return np.cumsum(length) - length
 
     @cached_property
-    def step(self) -> np.ndarray:
-        """Node and bit of each place of the paths, as one number."""
-        return self.node * np.int32(2) + self.bit
+    def _steps(self) -> tuple[np.ndarray, np.ndarray]:
+        node, bit = np.zeros(int(self.length.sum()), np.int64), np.zeros(int(self.length.sum()), np.int8)
+        for kind, (a, b) in enumerate(itertools.pairwise([*self.first, len(self.length)])):
+            for depth, base in enumerate(self.base[kind].tolist()):
+                leaf = a + np.flatnonzero(self.length[a:b] > depth)
+                taken = self.path[leaf] >> np.uint64(63 - depth)
+                node[self.start[leaf] + depth], bit[self.start[leaf] + depth] = (taken >> np.uint64(1)).astype(np.int64) + base, taken & np.uint64(1)
+        return node, bit
+
+    @property
+    def node(self) -> np.ndarray:
+        return self._steps[0]
+
+    @property
+    def bit(self) -> np.ndarray:
+        return self._steps[1]
 
     @cached_property
     def near(self) -> np.ndarray:
@@ -177,7 +199,7 @@ class Met:
     """The leaves that a task has met."""
 
     def __init__(self, code: Code):
-        self.seen = np.zeros(len(code.start), bool)
+        self.seen = np.zeros(len(code.length), bool)
 
     def new(self, leaf: np.ndarray) -> np.ndarray:
         """Whether each leaf is met for the first time, once a leaf."""
@@ -224,7 +246,7 @@ class Tokens:
 
 def _tokens(texts: pa.Array) -> Tokens:
     data, offsets = T.utf8(texts)
-    data = T.LOWER[data]
+    data = data | (data - np.uint8(65) < np.uint8(26)).view(np.uint8) << np.uint8(5)  # A-Z become a-z
     starts, ends, first = T.spans(data, offsets, T.BLANK)
     sums = T.hash_sums(data)
     n = len(texts)
@@ -238,8 +260,11 @@ def _tokens(texts: pa.Array) -> Tokens:
     blank = np.empty(total, np.int64)
     blank[1:] = end[:-1]
     blank[begin] = offsets[:-1]
+    space = np.full(total, _SPACE)
+    other = np.flatnonzero((start - blank != 1) | (np.append(data, np.uint8(0))[blank] != 32))
+    space[other] = T.hashes(data, blank[other], start[other], sums)
     row = np.repeat(np.arange(n), np.diff(first) + 1)
-    return Tokens(data, token, T.hashes(data, blank, start, sums), start, end, blank, row, np.arange(total) - begin[row])
+    return Tokens(data, token, space, start, end, blank, row, np.arange(total) - begin[row])
 
 
 def _joined(*parts: np.ndarray) -> np.ndarray:
@@ -313,60 +338,85 @@ def _runs(t: Tokens, blank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate([t.blank[blank], t.start[word]]), np.concatenate([t.start[blank], t.end[word]])
 
 
-def to_learn(code: Code, texts: pa.Array, met: Met, done: list[int]):
-    """(kind, leaf, contexts x symbols, times) of pieces of the texts' symbols; ``done``: how many of each kind there were, which it brings up to date.
+def to_learn(code: Code, columns: Iterable[pa.Array], done: list[int] | None = None):
+    """(kind, leaf, contexts x symbols, times) of pieces of a task's symbols; ``done``: how many of each kind it has learned before.
 
-    Words that ``met`` hasn't are spelled too. Equal spelled bytes of a piece are folded; ``times`` is None for other kinds.
+    Words with a leaf are spelled too when they are met first. Kinds share neither nodes nor weights, so spelled bytes
+    wait for more of their kind, and equal ones are folded; ``times`` is None for other kinds.
     """
-    t = _tokens(texts)
-    leaf, context, blank, word = _whole(code, t, code.find(t.word))
-    n = len(t.word)
-    spelled, _ = _spelled(t.data, *_runs(t, blank, word | (met.new(leaf[n:]) & (t.end > t.start))))
-    for kind, total, most in ((BLANKS, n, PIECE), (WORDS, n, PIECE), (BYTES, len(spelled), SPELLED)):
-        a = 0
-        while a < total:
-            b = min(total, a + min(max(done[kind] // 8, LEAST), most))
-            if kind == BYTES:
-                value, times = np.unique(spelled[a:b], return_counts=True)
-                # none counts so often at once that a cell could overflow
-                copies = -(-times // (_AT_ONCE // 2))
-                place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                value, times, copies = (np.repeat(x, copies) for x in (value, times, copies))
-                times = times * (place + 1) // copies - times * place // copies
-                yield kind, *_bytes(code, value), times
-            else:
-                own = slice(a + kind * n, b + kind * n)
-                yield kind, leaf[own], context[:, own], None
-            done[kind] += b - a
-            a = b
-
+    met, done, waiting = Met(code), done or [0] * len(KINDS), []
+
+    def size(kind: int, most: int) -> int:
+        return min(max(done[kind] // 8, LEAST), most)
+
+    def folded(spelled: np.ndarray):
+        value, times = np.unique(spelled, return_counts=True)
+        # none counts so often at once that a cell could overflow
+        copies = -(-times // (_AT_ONCE // 2))
+        place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        value, times, copies = (np.repeat(x, copies) for x in (value, times, copies))
+        times = times * (place + 1) // copies - times * place // copies
+        for a in range(0, len(value), PIECE):
+            own = slice(a, a + PIECE)
+            yield BYTES, *_bytes(code, value[own]), times[own]
+        done[BYTES] += len(spelled)
 
-def levels(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
-    """(symbols, depth, outcome, node, slots) of the decisions at each depth; slots: the cells of the contexts, contexts x decisions."""
+    for texts in columns:
+        t = _tokens(texts)
+        leaf, context, blank, word = _whole(code, t, code.find(t.word))
+        n = len(t.word)
+        waiting.append(_spelled(t.data, *_runs(t, blank, word | (met.new(leaf[n:]) & (t.end > t.start))))[0])
+        for kind in (BLANKS, WORDS):
+            a = kind * n
+            while a < (kind + 1) * n:
+                own = slice(a, min((kind + 1) * n, a + size(kind, PIECE)))
+                yield kind, leaf[own], context[:, own], None
+                done[kind] += own.stop - a
+                a = own.stop
+        if sum(map(len, waiting)) >= size(BYTES, SPELLED):
+            spelled, a = np.concatenate(waiting), 0
+            while len(spelled) - a >= (most := size(BYTES, SPELLED)):
+                yield from folded(spelled[a : a + most])
+                a += most
+            waiting = [spelled[a:]]
+    if waiting:
+        yield from folded(np.concatenate(waiting))
+
+
+def levels(code: Code, bits: int, kind: int, leaf: np.ndarray, context: np.ndarray):
+    """(symbols, depth, outcome, node, slots) of the decisions of symbols of a kind at each depth; slots: the cells of the contexts, contexts x decisions."""
     length = code.length[leaf]
-    order = np.argsort(-length.astype(np.int16), kind="stable")
+    order = np.argsort(-length, kind="stable")
     going = len(leaf) - np.cumsum(np.bincount(length))
-    path = code.start[leaf[order]]
+    path = code.path[leaf[order]]
     # (context + node * odd) * base, the products taken once a symbol and once a decision
     context = context[:, order] * np.uint64(T._BASE)
     for depth, n in enumerate(going[:-1].tolist()):
-        step = code.step.take(path[:n] + depth, mode="clip")
-        node = (step >> 1).astype(np.int64)
+        node = path[:n] >> np.uint64(63 - depth)
+        bit = (node & np.uint64(1)).astype(np.int8)
+        node >>= np.uint64(1)
+        node = node.view(np.int64)
+        node += code.base[kind][depth]
         spread = node.view(np.uint64) * _SPREAD
         slots = np.empty((CONTEXTS, n), np.int64)
         for k in range(CONTEXTS):
             hashed = slots[k].view(np.uint64)
             np.add(context[k, :n], spread, out=hashed)
             hashed >>= np.uint64(64 - bits)
-            hashed |= np.uint64(k << bits)
-        yield order[:n], depth, (step & 1).astype(np.int8), node, slots
+            if k:
+                hashed |= np.uint64(k << bits)
+        yield order[:n], depth, bit, node, slots
 
 
 def decisions(code: Code, bits: int, leaf: np.ndarray, context: np.ndarray):
-    """(symbol number, depth, outcome, node, slots) of all decisions, the levels one after another."""
-    of, depth, bit, node, slots = zip(*levels(code, bits, leaf, context))
-    depth = np.repeat(np.minimum(depth, DEPTHS - 1), [len(x) for x in of])
-    return np.concatenate(of), depth, np.concatenate(bit), np.concatenate(node), np.concatenate(slots, axis=1)
+    """(symbol number, depth, outcome, node, slots) of all decisions of any symbols, kind by kind and level by level."""
+    kinds = np.searchsorted(code.first, leaf, side="right") - 1
+    parts = []
+    for kind in KINDS:
+        own = np.flatnonzero(kinds == kind)
+        for of, depth, *rest in levels(code, bits, kind, leaf[own], context[:, own]):
+            parts.append((own[of], np.full(len(of), min(depth, DEPTHS - 1)), *rest))
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*parts))
 
 
 def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -387,7 +437,9 @@ class Counts:
         out = np.empty((CONTEXTS + 1, len(node)), np.int8)
         pair = self.node.take(node, axis=0, mode="wrap").astype(np.float32)
         pair += np.float32(PRIOR)
-        self._odds(np.log(pair, out=pair).reshape(-1) * np.float32(SCALE), out[0])
+        np.log(pair, out=pair)
+        sure = (pair[:, 1] - pair[:, 0]) * np.float32(SCALE)
+        out[0] = np.clip(np.rint(sure, out=sure), -127, 127, out=sure)
         np.add.at(self.node.reshape(-1), node * 2 + bit, np.int64(1) if times is None else times)
         one = bit.astype(np.uint32)
         one *= np.uint32(65535)
@@ -404,24 +456,20 @@ class Counts:
                 if np.bitwise_or.reduce(pair, initial=0) & _FULL:
                     self.cell[np.unique(place[pair & _FULL > 0])] >>= 1
                 np.add.at(self.both, place, one[own])
-                self._odds(_LOGS.take(pair.view("<u2"), mode="clip"), before)
+                logs = _LOGS.take(pair.view("<u2"), mode="clip")
+                sure = logs[1::2] - logs[::2]
+                sure += np.int16(64)
+                sure >>= np.int16(7)
+                before[:] = np.clip(sure, np.int16(-127), np.int16(127), out=sure)
         return out
 
-    @staticmethod
-    def _odds(logs: np.ndarray, out: np.ndarray) -> None:
-        """From the logarithms of each cell's zeros and ones, in turn."""
-        sure = logs[1::2] - logs[::2]
-        np.rint(sure, out=sure)
-        np.clip(sure, -127, 127, out=sure)
-        out[:] = sure
-
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """(block, touched cells) of the nodes (from block 0 on) and then of the contexts' cells; :func:`_cells` reads them."""
         size, base = 1 << BLOCK_BITS, 0
         for table in (self.node, self.cell):
             for a in range(0, len(table), size):
                 own = table[a : a + size]
-                touched = np.flatnonzero(own.any(axis=1))
+                touched = np.flatnonzero(own[:, 0] | own[:, 1])
                 if len(touched):
                     parts = (touched.astype("<u2"), *own[touched].T.copy())
                     # byte by byte, as the high ones are mostly 0
@@ -569,7 +617,7 @@ class Model:
         for a in range(0, len(leaf), PIECE):
             own = slice(a, a + PIECE)
             total, order = np.zeros(len(leaf[own])), None
-            for of, depth, bit, node, slots in levels(self.code, self.bits, leaf[own], context[:, own]):
+            for of, depth, bit, node, slots in levels(self.code, self.bits, kind, leaf[own], context[:, own]):
                 order = of if order is None else order  # those of later levels are the first of it
                 raw = np.empty((CONTEXTS + 1, len(of)), np.int8)
                 self.nodes.take(node, out=raw[0], mode="clip")
@@ -636,13 +684,11 @@ def _learned(docs: DataFrame, code: Code, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mixer, counts = shared.value, Mixer.new(), None
-        met, done = Met(own), [0] * len(KINDS)
-        for batch in T.blocks(batches, "text", STEP_BYTES):
+        for kind, leaf, context, times in to_learn(own, (batch.column("text") for batch in T.blocks(batches, "text", STEP_BYTES))):
             counts = counts or Counts(own, bits)
-            for kind, leaf, context, times in to_learn(own, batch.column("text"), met, done):
-                for of, depth, bit, node, slots in levels(own, bits, leaf, context):
-                    often = None if times is None else times[of]
-                    mixer.learn(counts.add(node, bit, slots, often), kind, min(depth, DEPTHS - 1), bit, often)
+            for of, depth, bit, node, slots in levels(own, bits, kind, leaf, context):
+                often = None if times is None else times[of]
+                mixer.learn(counts.add(node, bit, slots, often), kind, min(depth, DEPTHS - 1), bit, often)
         if counts is None:
             return
         for k, (values, used) in enumerate(zip(mixer.parts(), mixer.used)):
@@ -685,7 +731,10 @@ def _summed(learned: DataFrame, n_nodes: int, bits: int) -> tuple[np.ndarray, np
                     used, total = (None, np.zeros((1 << BLOCK_BITS, 2), np.int64)) if part == 3 else (0.0, np.zeros(len(sums)))
                 if part == 3:
                     place, count = _cells(cells.as_buffer().to_pybytes())
-                    total[place] += count
+                    if len(place) == len(total):
+                        total += count
+                    else:
+                        total[place] += count
                 else:
                     used, total = used + n, total + sums
         if own is not None:
@@ -734,6 +783,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, spelt = shared.value, Spelt()
+        own.table = own.table.copy()  # in memory of its own, which comes in large pages
         for batch in T.blocks(batches, "text", STEP_BYTES):
             n = batch.num_rows
             texts = batch.column("text")
@@ -745,18 +795,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             count, known = own.code.counts(found)
             base = np.bincount(row[known], np.log10((count[known] + 0.5) / norm), n)
             n_known = np.bincount(row, known, n).astype(np.int64)
+            # each text's other words, once each
             rest, rest_row = word[~known], row[~known]
-            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest_row, np.arange(n + 1)), pa.int32()), T.array(rest))
+            order = np.lexsort((rest, rest_row))
+            rest, rest_row = rest[order], rest_row[order]
+            first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])])[: len(rest)])
+            rest = pa.StructArray.from_arrays([T.array(rest[first]), pa.array(np.diff(np.append(first, len(rest))))], ["key", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest_row[first], np.arange(n + 1)), pa.int32()), rest)
             yield pa.record_batch(
                 [batch.column("id"), pa.array(np.diff(offsets)), pa.array(bits), pa.array(np.bincount(row, minlength=n)), pa.array(n_known), pa.array(base), rest],
                 ["id", "n_bytes", "bits", "n_tokens", "n_known", "base", "rest"],
             )
 
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    first = named.mapInArrow(run, "id bigint, n_bytes bigint, bits double, n_tokens bigint, n_known bigint, base double, rest array<bigint>")
+    first = named.mapInArrow(run, "id bigint, n_bytes bigint, bits double, n_tokens bigint, n_known bigint, base double, rest array<struct<key: bigint, k: bigint>>")
     first = stored(first.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rest = first.select("uid", F.explode("rest").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k"))
-    joined = rest.join(counts, "key", "left")
+    rest = first.select("uid", F.inline("rest"))
+    joined = rest.join(counts.hint("shuffle_hash"), "key", "left")  # neither side needs an order
     term = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(norm))
     found = joined.groupBy("uid").agg(
         F.sum(F.col("k") * term).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("known")

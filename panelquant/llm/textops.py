@@ -105,7 +105,9 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
 def hash_sums(data: np.ndarray) -> np.ndarray:
     """Running sums that :func:`hashes` takes differences of; callers with several sets of spans make them once."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power_table(_BASE, len(data)), out=total[1:])
+    value = _BYTE_VALUE[data]
+    value *= _power_table(_BASE, len(data))
+    np.cumsum(value, out=total[1:])
     return total
 
 

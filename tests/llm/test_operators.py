@@ -274,18 +274,19 @@ def test_mixing_folds_equal_spelled_bytes():
     model = random_model(np.random.default_rng(11))
     code, texts = model.code, pa.array(["unseen stone " * 300, "stone unseen river"] * 3)
     leaf, kind, _, context = mixing.symbols(code, texts)
-    plain, folded, met, done = mixing.Counts(code, 16), mixing.Counts(code, 16), mixing.Met(code), [10**9] * 3
+    plain, folded = mixing.Counts(code, 16), mixing.Counts(code, 16)
     _, _, bit, node, slots = mixing.decisions(code, 16, leaf, context)
     plain.add(node, bit, slots)
     symbols, spelled = 0, (kind == mixing.BYTES).sum()
-    for k, own, contexts, times in mixing.to_learn(code, texts, met, done):
+    for k, own, contexts, times in mixing.to_learn(code, [texts], [10**9] * 3):
         symbols += len(own) if k == mixing.BYTES else 0
-        for of, _, bit, node, slots in mixing.levels(code, 16, own, contexts):
+        for of, _, bit, node, slots in mixing.levels(code, 16, k, own, contexts):
             folded.add(node, bit, slots, None if times is None else times[of])
     assert symbols < spelled / 50
     # words with a leaf are spelled once besides: stone and river
     assert folded.node.sum() - plain.node.sum() == sum(code.length[code.first[2] + b] for b in [*b"stoneriver", 256, 256])
-    assert [k for k, *_ in mixing.to_learn(code, pa.array(["river stone"]), met, done)] == [mixing.BLANKS, mixing.WORDS]
+    pieces = list(mixing.to_learn(code, [pa.array(["river stone"])] * 9, [10**9] * 3))
+    assert sum(times.sum() for k, *_, times in pieces if k == mixing.BYTES) == len("river") + len("stone") + 2
 
 
 def test_mixing_often_counted_cells_keep_their_ratio():
@@ -295,8 +296,8 @@ def test_mixing_often_counted_cells_keep_their_ratio():
     texts = pa.array([" ".join(["x"] * mixing.SPELLED)])
     assert (mixing._spelled(np.frombuffer(b"x", np.uint8), np.array([0]), np.array([1]))[0][0] == spelled[0]).all()
     counts, total = mixing.Counts(code, 16), 0
-    for _, leaf, context, times in mixing.to_learn(code, texts, mixing.Met(code), [10**9] * 3):
-        for of, _, bit, node, slots in mixing.levels(code, 16, leaf, context):
+    for kind, leaf, context, times in mixing.to_learn(code, [texts], [10**9] * 3):
+        for of, _, bit, node, slots in mixing.levels(code, 16, kind, leaf, context):
             counts.add(node, bit, slots, None if times is None else times[of])
             total += len(of) if times is None else times[of].sum()
     assert counts.node.sum() == total
